@@ -16,38 +16,39 @@ from pyspark.sql import functions as F
 from pitpanel.functions.scalars import log_or_null
 from pitpanel.operators.asof import asof_backward
 
-_BARS = Window.partitionBy("symbol").orderBy("trade_date")
+def _bars():
+    return Window.partitionBy("symbol").orderBy("trade_date")
 
 
 def lagged_return(bars: int = 90, price: str = "adj_close") -> Column:
-    past = F.lag(price, bars).over(_BARS)
+    past = F.lag(price, bars).over(_bars())
     return F.when(past != 0, F.col(price) / past) - 1
 
 
 def log_return(price: str = "adj_close") -> Column:
-    past = F.lag(price).over(_BARS)
+    past = F.lag(price).over(_bars())
     return F.when(past > 0, log_or_null(F.col(price) / past))
 
 
 def rolling_max(column: str, bars: int, minimum: int) -> Column:
-    frame = _BARS.rowsBetween(-(bars - 1), 0)
+    frame = _bars().rowsBetween(-(bars - 1), 0)
     return F.when(F.count(column).over(frame) >= minimum, F.max(column).over(frame))
 
 
 def rolling_std(column: str, bars: int = 90, per_year: int = 252) -> Column:
-    frame = _BARS.rowsBetween(-(bars - 1), 0)
+    frame = _bars().rowsBetween(-(bars - 1), 0)
     return F.when(F.count(column).over(frame) >= bars // 2,
                   F.stddev_samp(column).over(frame) * F.lit(math.sqrt(per_year)))
 
 
 def rolling_median(column: str, bars: int = 90) -> Column:
-    frame = _BARS.rowsBetween(-(bars - 1), 0)
+    frame = _bars().rowsBetween(-(bars - 1), 0)
     return F.when(F.count(column).over(frame) >= bars // 2, F.percentile(column, F.lit(0.5)).over(frame))
 
 
 def forward_drawdown(horizon: int = 60, price: str = "adj_close") -> Column:
     """Worst return over the next ``horizon`` bars against this bar; NULL unless all bars exist."""
-    frame = _BARS.rowsBetween(1, horizon)
+    frame = _bars().rowsBetween(1, horizon)
     full = F.count(price).over(frame) == horizon
     return F.when(full & (F.col(price) > 0), F.min(price).over(frame) / F.col(price) - 1)
 
@@ -55,7 +56,7 @@ def forward_drawdown(horizon: int = 60, price: str = "adj_close") -> Column:
 def price_breaks(prices: DataFrame, floor: float = -0.35) -> DataFrame:
     """One-bar returns below the floor: (symbol, trade_date, prev_close, close, bar_return)."""
     marked = prices.select(
-        "symbol", "trade_date", F.lag("adj_close").over(_BARS).alias("prev_close"),
+        "symbol", "trade_date", F.lag("adj_close").over(_bars()).alias("prev_close"),
         F.col("adj_close").alias("close"), lagged_return(1).alias("bar_return"))
     return marked.where(F.col("bar_return") < floor)
 
@@ -64,13 +65,13 @@ def numbered_bars(prices: DataFrame, *, return_bars: int = 90, floor: float = -0
     """Bars with their position from 0, running returns and the nearest break on either side."""
     base = prices.select(
         "symbol", "trade_date", "adj_close", "volume",
-        (F.row_number().over(_BARS) - 1).alias("pos"),
+        (F.row_number().over(_bars()) - 1).alias("pos"),
         log_return().alias("log_return"),
         lagged_return(return_bars).alias("lagged_return"),
         (lagged_return(1) < floor).alias("is_break"),
         F.count("*").over(Window.partitionBy("symbol")).alias("n_bars"))
     at = F.when(F.col("is_break"), F.col("pos"))
-    before = _BARS.rowsBetween(Window.unboundedPreceding, 0)
+    before = _bars().rowsBetween(Window.unboundedPreceding, 0)
     # Reversed order keeps the look-ahead linear; a frame that ends in the far future would not be.
     after = Window.partitionBy("symbol").orderBy(F.desc("trade_date")).rowsBetween(Window.unboundedPreceding, -1)
     return base.select(
@@ -191,7 +192,7 @@ def nth_session_after(prices: DataFrame, anchors: DataFrame, n: int) -> DataFram
 
     Past the end of the history it is the last bar.
     """
-    bars = prices.select("symbol", "trade_date", (F.row_number().over(_BARS) - 1).alias("pos"),
+    bars = prices.select("symbol", "trade_date", (F.row_number().over(_bars()) - 1).alias("pos"),
                          F.count("*").over(Window.partitionBy("symbol")).alias("n_bars"))
     placed = asof_backward(
         anchors.select("symbol", "observation_date", F.date_sub("observation_date", 1).alias("__eve")),

@@ -95,8 +95,8 @@ def window_features(observations: DataFrame, material: DataFrame, windows: tuple
         F.struct(F.lit(w).alias("window_days"), F.col(f"n_events_{w}").alias("count"),
                  (F.col(f"created_{w}") - F.col(f"released_{w}")).alias("net"),
                  F.col(f"created_{w}").alias("created")) for w in windows]))
-    return sums.select("symbol", "observation_date", per_window.alias("w")).select(
-        "symbol", "observation_date", "w.*")
+    return sums.select("symbol", "observation_date", per_window.alias("__w")).select(
+        "symbol", "observation_date", "__w.*")
 
 
 def threshold_features(observations: DataFrame, events: DataFrame, thresholds: tuple[float, ...], *,
@@ -123,4 +123,4 @@ def threshold_features(observations: DataFrame, events: DataFrame, thresholds: t
     rows = F.explode(F.array(*[
         F.struct(F.lit(float(t)).alias("min_pct_equity"), F.col(f"n_{i}").alias("count"),
                  (F.col(f"c_{i}") - F.col(f"r_{i}")).alias("net")) for i, t in enumerate(thresholds)]))
-    return sums.select("symbol", "observation_date", rows.alias("t")).select("symbol", "observation_date", "t.*")
+    return sums.select("symbol", "observation_date", rows.alias("__w")).select("symbol", "observation_date", "__w.*")

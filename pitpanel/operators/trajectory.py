@@ -10,7 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_QUARTERS = Window.partitionBy("symbol").orderBy("quarter_end")
+
+def _quarters():
+    return Window.partitionBy("symbol").orderBy("quarter_end")
+
+
+# Columns a skipped quarter takes over from the quarter before.
 CARRIED = ["promoter_holding_pct", "pledge_pct_promoter", "pledge_pct_equity", "submission_date", "pledge_status"]
 
 
@@ -24,20 +29,20 @@ def latest_known_filing(filings: DataFrame, lag_days: int = 30,
     picked = filings.groupBy(*key).agg(
         F.max_by(F.when(in_time, row), F.when(in_time, rank)).alias("known"),
         F.min_by(row, rank).alias("earliest"))
-    return picked.select(*key, F.coalesce("known", "earliest").alias("f")).select(*key, "f.*")
+    return picked.select(*key, F.coalesce("known", "earliest").alias("__pick")).select(*key, "__pick.*")
 
 
 def last_per_quarter(state: DataFrame, order: tuple[str, ...]) -> DataFrame:
     """Last row per (symbol, quarter_end) along an explicit order."""
     key = ["symbol", "quarter_end"]
     rest = [c for c in state.columns if c not in key]
-    picked = state.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r"))
-    return picked.select(*key, "r.*")
+    picked = state.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__pick"))
+    return picked.select(*key, "__pick.*")
 
 
 def carried(column: str, limit: int = 1) -> Column:
     """Last known value of at most ``limit`` quarters ago."""
-    return F.last(column, ignorenulls=True).over(_QUARTERS.rowsBetween(-limit, 0))
+    return F.last(column, ignorenulls=True).over(_quarters().rowsBetween(-limit, 0))
 
 
 def rising_streak(df: DataFrame, column: str, out: str = "consecutive_rising_q") -> DataFrame:
@@ -46,10 +51,10 @@ def rising_streak(df: DataFrame, column: str, out: str = "consecutive_rising_q")
     NULL when this or the previous quarter is unknown; a flat or falling quarter is 0. Every row
     that does not rise opens a new island, and the streak counts rows inside the island.
     """
-    prev = F.lag(column).over(_QUARTERS)
+    prev = F.lag(column).over(_quarters())
     marked = df.withColumn("__rise", F.coalesce((F.col(column) > prev).cast("int"), F.lit(0))).withColumn(
         "__known", F.col(column).isNotNull() & prev.isNotNull())
-    so_far = _QUARTERS.rowsBetween(Window.unboundedPreceding, 0)
+    so_far = _quarters().rowsBetween(Window.unboundedPreceding, 0)
     island = marked.withColumn("__island", F.sum(1 - F.col("__rise")).over(so_far))
     in_island = Window.partitionBy("symbol", "__island").orderBy("quarter_end").rowsBetween(
         Window.unboundedPreceding, 0)
@@ -57,16 +62,15 @@ def rising_streak(df: DataFrame, column: str, out: str = "consecutive_rising_q")
     return island.withColumn(out, streak).drop("__rise", "__known", "__island")
 
 
-def trajectory_features(state: DataFrame, quarters: DataFrame, *, max_fill: int = 1,
+def trajectory_features(state: DataFrame, quarters: Column, *, max_fill: int = 1,
                         rolling_max: int = 4) -> DataFrame:
     """Eight features per (symbol, quarter) for every symbol in ``state``; one row per quarter of the grid.
 
-    ``state`` holds one row per (symbol, quarter_end). UNAVAILABLE percentages are unknown, not zero.
+    ``state`` holds one row per (symbol, quarter_end); ``quarters`` is the array of quarter ends.
+    UNAVAILABLE percentages are unknown, not zero.
     The fill works per column, so a blanked percentage is carried without marking the row stale.
     """
-    days = F.broadcast(quarters.agg(F.sort_array(F.collect_set("quarter_end")).alias("qs")).withColumn("k", F.lit(1)))
-    grid = state.select("symbol").distinct().withColumn("k", F.lit(1)).join(days, "k").select(
-        "symbol", F.explode("qs").alias("quarter_end"))
+    grid = state.select("symbol").distinct().select("symbol", F.explode(quarters).alias("quarter_end"))
     blank = F.col("pledge_status") == "UNAVAILABLE"
     known = state.select(
         "symbol", "quarter_end", "submission_date", "pledge_status", "promoter_holding_pct",
@@ -76,13 +80,13 @@ def trajectory_features(state: DataFrame, quarters: DataFrame, *, max_fill: int
         "__seen", F.col("pledge_status").isNotNull())
     filled = full.select("symbol", "quarter_end", "__seen", *[carried(c, max_fill).alias(c) for c in CARRIED])
     level = F.col("pledge_pct_promoter")
-    one = level - F.lag(level, 1).over(_QUARTERS)
+    one = level - F.lag(level, 1).over(_quarters())
     stepped = filled.select(
         "*",
         (~F.col("__seen") & F.col("pledge_status").isNotNull()).cast("int").alias("is_stale"),
         one.alias("pledge_chg_1q"),
-        (level - F.lag(level, 2).over(_QUARTERS)).alias("pledge_chg_2q"),
-        F.max(level).over(_QUARTERS.rowsBetween(-(rolling_max - 1), 0)).alias("pledge_max_4q"))
+        (level - F.lag(level, 2).over(_quarters())).alias("pledge_chg_2q"),
+        F.max(level).over(_quarters().rowsBetween(-(rolling_max - 1), 0)).alias("pledge_max_4q"))
     accel = stepped.withColumn(
-        "pledge_accel", F.col("pledge_chg_1q") - F.lag("pledge_chg_1q", 1).over(_QUARTERS))
+        "pledge_accel", F.col("pledge_chg_1q") - F.lag("pledge_chg_1q", 1).over(_quarters()))
     return rising_streak(accel, "pledge_pct_promoter").drop("__seen")

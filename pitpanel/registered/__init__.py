@@ -1 +1,6 @@
+"""All runnable queries. Importing a module registers its queries."""
 
+from pitpanel.registered.base import ORACLES, QUERIES
+from pitpanel.registered import panels  # noqa: F401
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -105,7 +105,11 @@ def symbols(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("symbol"))
 
 
+def quarter_array():
+    """The study's quarter ends as an array column."""
+    return scalars.quarter_ends(F.lit(FIRST_QUARTER), F.lit(LAST_QUARTER))
+
+
 def quarters(spark) -> DataFrame:
-    """The study's quarter ends: a calendar, so its size does not depend on the data."""
-    return spark.range(1).select(
-        F.explode(scalars.quarter_ends(F.lit(FIRST_QUARTER), F.lit(LAST_QUARTER))).alias("quarter_end"))
+    """The study's quarter ends as rows: a calendar, so its size does not depend on the data."""
+    return spark.range(1).select(F.explode(quarter_array()).alias("quarter_end"))
