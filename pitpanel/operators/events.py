@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitpanel.functions.scalars import rounded
+
 
 def is_material(min_pct_equity: float = 0.01) -> Column:
     return F.coalesce("pct_equity", F.lit(0.0)) >= min_pct_equity
@@ -54,9 +56,14 @@ def _visible(observations: DataFrame, daily: DataFrame, lag_days: int, reach: in
     return ends.alias("o").join(daily.alias("e"), same & wanted, "left")
 
 
+def _steady(total: Column) -> Column:
+    """Sums of percentages to 9 places: equal windows stay equal whatever the order of summation."""
+    return rounded(F.coalesce(total, F.lit(0.0)).cast("double"))
+
+
 def _since(column: str, days: int) -> Column:
     inside = F.col("event_date") >= F.date_sub("end_date", days)
-    return F.coalesce(F.sum(F.when(inside, F.col(column))), F.lit(0.0)).cast("double")
+    return _steady(F.sum(F.when(inside, F.col(column))))
 
 
 def event_features(
@@ -80,7 +87,7 @@ def event_features(
         _since("n_invoked", invocation_days).alias("event_invocations_365d"),
     ).select(
         "symbol", "observation_date", "event_created_90d", "event_released_90d",
-        (F.col("event_created_90d") - F.col("event_released_90d")).alias("event_net_90d"),
+        _steady(F.col("event_created_90d") - F.col("event_released_90d")).alias("event_net_90d"),
         "event_count_90d", (-F.col("__last")).cast("double").alias("event_days_since"),
         "event_invocations_365d")
 
@@ -93,7 +100,7 @@ def window_features(observations: DataFrame, material: DataFrame, windows: tuple
         *[_since(c, w).alias(f"{c}_{w}") for w in windows for c in ("created", "released", "n_events")])
     per_window = F.explode(F.array(*[
         F.struct(F.lit(w).alias("window_days"), F.col(f"n_events_{w}").alias("count"),
-                 (F.col(f"created_{w}") - F.col(f"released_{w}")).alias("net"),
+                 _steady(F.col(f"created_{w}") - F.col(f"released_{w}")).alias("net"),
                  F.col(f"created_{w}").alias("created")) for w in windows]))
     return sums.select("symbol", "observation_date", per_window.alias("__w")).select(
         "symbol", "observation_date", "__w.*")
@@ -122,5 +129,5 @@ def threshold_features(observations: DataFrame, events: DataFrame, thresholds: t
           for i in range(len(thresholds)) for p in "ncr"])
     rows = F.explode(F.array(*[
         F.struct(F.lit(float(t)).alias("min_pct_equity"), F.col(f"n_{i}").alias("count"),
-                 (F.col(f"c_{i}") - F.col(f"r_{i}")).alias("net")) for i, t in enumerate(thresholds)]))
+                 _steady(F.col(f"c_{i}") - F.col(f"r_{i}")).alias("net")) for i, t in enumerate(thresholds)]))
     return sums.select("symbol", "observation_date", rows.alias("__w")).select("symbol", "observation_date", "__w.*")

@@ -144,8 +144,8 @@ FROM market_raw m LEFT JOIN break_gap b ON b.symbol = m.symbol AND b.observation
       "market_raw", "break_gap")
 piece("material", "SELECT * FROM pledge_events WHERE COALESCE(pct_equity, 0) >= 0.01", "pledge_events")
 piece("event_block", """SELECT g.symbol, g.observation_date,
-  COALESCE(SUM(pct_equity) FILTER (event_type = 'creation' AND event_date >= observation_date - 104), 0) AS event_created_90d,
-  COALESCE(SUM(pct_equity) FILTER (event_type = 'release' AND event_date >= observation_date - 104), 0) AS event_released_90d,
+  ROUND(COALESCE(SUM(pct_equity) FILTER (event_type = 'creation' AND event_date >= observation_date - 104), 0), 9) AS event_created_90d,
+  ROUND(COALESCE(SUM(pct_equity) FILTER (event_type = 'release' AND event_date >= observation_date - 104), 0), 9) AS event_released_90d,
   CAST(COUNT(event_date) FILTER (event_date >= observation_date - 104) AS DOUBLE) AS event_count_90d,
   CAST(MIN(observation_date - 14 - event_date) AS DOUBLE) AS event_days_since,
   CAST(COUNT(event_date) FILTER (event_type = 'invocation' AND event_date >= observation_date - 379) AS DOUBLE) AS event_invocations_365d
@@ -155,7 +155,7 @@ piece("panel", """SELECT p.symbol, p.observation_date, p.quarter_end,
   promoter_holding_pct, pledge_pct_promoter, pledge_pct_equity, pledge_chg_1q, pledge_chg_2q, pledge_accel,
   consecutive_rising_q, pledge_max_4q,
   volatility_90d, trailing_dd_60d, return_90d, rel_return_90d, log_turnover_90d,
-  event_created_90d, event_released_90d, event_created_90d - event_released_90d AS event_net_90d,
+  event_created_90d, event_released_90d, ROUND(event_created_90d - event_released_90d, 9) AS event_net_90d,
   event_count_90d, event_days_since, event_invocations_365d,
   COALESCE(is_stale, 0) AS is_stale, fwd_max_drawdown,
   CASE WHEN fwd_max_drawdown <= -0.32e0 THEN 1 WHEN fwd_max_drawdown IS NOT NULL THEN 0 END AS label,
