@@ -3,7 +3,7 @@
 A whole cross-section (all companies on one date) may be a large share of the table, so a plain
 ``Window.partitionBy(date)`` would sort it in one task. Here each group is first cut into ordered
 buckets along a small random sample of its own sort keys; every bucket is sorted by its own task
-and shifted by the size of the buckets before it. Results are exact, lazy and deterministic.
+and shifted by the size of the buckets before it. Results are exact and deterministic.
 
 Group keys must be few (dates, folds, runs, features), because two tables of at most
 ``groups x BUCKETS`` rows are broadcast. They do not grow with the number of rows. Pass
@@ -17,6 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitpanel.session import materialise
+
 BUCKETS = 64
 _BUCKET, _BOUNDS = "__bucket", "__bounds"
 
@@ -73,6 +75,8 @@ def running(
             *[F.sum(c).over(run).alias(n) for n, c in sums.items()],
             *[F.sum(c).over(part).alias(f"{n}_total") for n, c in sums.items()],
         )
+    # Three passes follow (sample, bucket sizes, rows), so the input is written once.
+    df = materialise(df, "ordered")
     cut = spread(df, group, order, buckets)
     sizes = cut.groupBy(*group, _BUCKET).agg(*[F.sum(c).alias(f"__s_{n}") for n, c in sums.items()])
     part = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pitpanel.functions.scalars import verdict
 from pitpanel.operators.metrics import auc_from_counts, percent_rank_avg, with_skip_reason
+from pitpanel.session import materialise
 
 _BLOCK = 500
 
@@ -133,6 +134,14 @@ def visible_rows(control: DataFrame, panel: DataFrame, features: list[str], key:
     return control.join(mask, key, "left").withColumn("visible", F.coalesce("visible", F.lit(False)))
 
 
+def control_rows(oof: DataFrame, pairs: DataFrame, masks: DataFrame,
+                 key: tuple[str, ...] = ("symbol", "observation_date")) -> DataFrame:
+    """The baseline's rows once per experiment, with what that experiment can see."""
+    control = oof.withColumnRenamed("experiment", "baseline").join(F.broadcast(pairs), "baseline")
+    return control.join(masks, ["experiment", *key], "left").withColumn(
+        "visible", F.coalesce("visible", F.lit(False)))
+
+
 def oracle_ceiling(control: DataFrame, by: list[str], *, min_rows: int = 10,
                    date: str = "observation_date") -> DataFrame:
     """The largest gain if every visible row were ranked right: one row per ``by``.
@@ -141,11 +150,13 @@ def oracle_ceiling(control: DataFrame, by: list[str], *, min_rows: int = 10,
     per distinct score, so equal scores never meet as rows.
     """
     keys = [*by, date]
-    clean = control.where(F.col("probability").isNotNull() & F.col("label").isNotNull())
-    cells = clean.groupBy(*keys, F.col("probability").alias("score")).agg(
+    known = F.col("probability").isNotNull() & F.col("label").isNotNull()
+    every = materialise(control.groupBy(*keys, F.when(known, F.col("probability")).alias("score")).agg(
         *[F.count_if((F.col("label") == y) & (F.col("visible") == F.lit(v))).alias(f"c{y}{int(v)}")
-          for y in (0, 1) for v in (False, True)], F.count("*").alias("n"))
-    ranked = percent_rank_avg(cells, keys)
+          for y in (0, 1) for v in (False, True)],
+        F.count("*").alias("n"), F.count_if("visible").alias("seen")), "ceiling-cells")
+    cells = every.where(F.col("score").isNotNull())
+    ranked = materialise(percent_rank_avg(cells, keys), "ceiling-ranks")
     base = ranked.select(*keys, F.col("pct_rank").alias("score"), (F.col("c10") + F.col("c11")).alias("pos"), "n")
     moved = ranked.select(*keys, F.explode(F.array(
         F.struct(F.col("pct_rank").alias("score"), F.col("c10").alias("pos"), (F.col("c10") + F.col("c00")).alias("n")),
@@ -157,9 +168,9 @@ def oracle_ceiling(control: DataFrame, by: list[str], *, min_rows: int = 10,
     def mean_auc(counts: DataFrame, name: str) -> DataFrame:
         return with_skip_reason(auc_from_counts(counts, keys), min_rows).groupBy(*by).agg(F.avg("auc").alias(name))
 
-    cover = control.groupBy(*by).agg(
-        F.avg(F.col("visible").cast("double")).alias("coverage"), F.count_if("visible").alias("rows_visible"),
-        F.count("*").alias("rows_total"))
+    cover = every.groupBy(*by).agg(
+        (F.sum("seen") / F.sum("n")).alias("coverage"), F.sum("seen").alias("rows_visible"),
+        F.sum("n").alias("rows_total"))
     out = cover.join(mean_auc(base, "baseline_auc"), by, "left").join(mean_auc(moved, "oracle_auc"), by, "left")
     return out.select(
         *by, "baseline_auc", "oracle_auc", (F.col("oracle_auc") - F.col("baseline_auc")).alias("ceiling"),
@@ -178,8 +189,5 @@ def power_report(oof: DataFrame, pairs: DataFrame, masks: DataFrame, *, by: str
     pairs = pairs.where(F.col("experiment") != F.col("baseline"))
     detail = within_date_auc(oof, [by, "experiment"], min_rows=min_rows)
     delta = paired_delta(detail, pairs, [by], n_bootstrap=n_bootstrap, seed=seed, confidence=confidence)
-    control = oof.withColumnRenamed("experiment", "baseline").join(F.broadcast(pairs), "baseline")
-    seen = control.join(masks, ["experiment", "symbol", "observation_date"], "left").withColumn(
-        "visible", F.coalesce("visible", F.lit(False)))
-    ceiling = oracle_ceiling(seen, [by, "experiment", "baseline"], min_rows=min_rows)
+    ceiling = oracle_ceiling(control_rows(oof, pairs, masks), [by, "experiment", "baseline"], min_rows=min_rows)
     return delta.join(ceiling, [by, "experiment", "baseline"], "left")

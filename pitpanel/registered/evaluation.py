@@ -410,9 +410,8 @@ def join_key_not_position(spark, sf):
 
 @query("oracle_ceiling", f"SELECT {_IDS}, {_CEIL} FROM ceilings", "ceilings")
 def oracle_ceiling(spark, sf):
-    control = model_oof(spark, sf).where(F.col("experiment") == "exp0_null").withColumnRenamed("experiment", "baseline")
-    seen = masks(spark, sf).join(control, ["symbol", "observation_date"], "right").withColumn(
-        "visible", F.coalesce("visible", F.lit(False)))
+    present = pairs(spark).where(F.col("experiment").isin("expB_full", "expC_events"))
+    seen = power.control_rows(model_oof(spark, sf), present, masks(spark, sf))
     return tidy(power.oracle_ceiling(seen, ["model", "experiment", "baseline"]))
 
 
