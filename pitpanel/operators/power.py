@@ -102,7 +102,8 @@ def paired_delta(detail: DataFrame, pairs: DataFrame, by: list[str], *, n_bootst
     """Interval and verdict for treatment - control over the dates both sides scored."""
     both = paired_dates(detail, pairs, by, date)
     keys = [*by, "experiment", "baseline"]
-    diff = both.withColumn("delta", F.col("treatment") - F.col("control"))
+    # One row per (comparison, date), read by three branches below.
+    diff = materialise(both.withColumn("delta", F.col("treatment") - F.col("control")), "paired-dates")
     shared = diff.where(F.col("delta").isNotNull())
     counts = diff.groupBy(*keys).agg(
         F.count("delta").alias("n_dates"), F.avg("delta").alias("delta"),

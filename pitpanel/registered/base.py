@@ -55,7 +55,13 @@ def r(expr: str, places: int = 9, alias: str | None = None) -> str:
     return f"ROUND({expr}, {places}) + 0e0 AS {alias or expr}"
 
 
-_LINEITEM = {"lineitem": "lineitem"}
+_LINEITEM = {"lineitem": "lineitem", "orders": "orders"}
+piece("runs", adapters.RUNS.format(**_LINEITEM))
+piece("run_metrics", adapters.METRICS.format(**_LINEITEM))
+piece("predictions", adapters.PREDICTIONS.format(**_LINEITEM))
+piece("explanations", adapters.EXPLANATIONS.format(**_LINEITEM))
+piece("companies", """SELECT s_suppkey AS symbol, s_name AS company_name, n_name AS industry, s_acctbal AS acctbal,
+CAST(s_acctbal >= 0 AS INT) AS in_universe FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey""")
 piece("prices", adapters.PRICES.format(**_LINEITEM))
 piece("bench", adapters.BENCHMARK.format(**_LINEITEM))
 piece("filings", adapters.FILINGS.format(**_LINEITEM))

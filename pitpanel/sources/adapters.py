@@ -57,13 +57,58 @@ FROM (SELECT l_suppkey AS symbol,
              MIN(l_orderkey) AS k, CASE WHEN CAST(SUM(l_quantity) AS BIGINT) % 4 = 0 THEN 1 ELSE 0 END AS label
       FROM {lineitem} GROUP BY 1, 2) g"""
 
+# Runs: one per (month of order, model, experiment); the run with most orders is active.
+_RUN_ORDERS = """SELECT o_orderkey, o_custkey, o_totalprice, CAST(o_orderdate AS DATE) AS order_date, model_name, experiment,
+       CONCAT(CAST(YEAR(o_orderdate) * 100 + MONTH(o_orderdate) AS STRING), 'T0000_', model_name, '_', experiment) AS run_id
+FROM (SELECT *, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'logreg' WHEN o_orderpriority = '3-MEDIUM' THEN 'randomforest'
+             ELSE 'xgboost' END AS model_name,
+             CASE o_orderstatus WHEN 'F' THEN 'expB_full' WHEN 'O' THEN 'exp0_null' ELSE 'expA_pledge' END AS experiment
+      FROM {orders}) x"""
+
+RUNS = """SELECT run_id, model_name, experiment, MIN(order_date) AS created_at, COUNT(*) AS n_train_rows,
+       CAST(COUNT(DISTINCT order_date) AS INT) AS n_folds,
+       CASE WHEN ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, run_id) = 1 THEN 1 ELSE 0 END AS is_active
+FROM (""" + _RUN_ORDERS + """) r GROUP BY run_id, model_name, experiment"""
+
+METRICS = """SELECT run_id, -1 AS fold, 'within_quarter_auc' AS metric_name, SQRT(AVG(o_totalprice) / 1e6) AS metric_value FROM (""" + _RUN_ORDERS + """) r GROUP BY run_id
+UNION ALL SELECT run_id, -1, 'pr_auc', MIN(o_totalprice) / 1e6 FROM (""" + _RUN_ORDERS + """) r GROUP BY run_id
+UNION ALL SELECT run_id, CAST(o_custkey % 3 AS INT), 'within_quarter_auc', SQRT(AVG(o_totalprice) / 1e6) FROM (""" + _RUN_ORDERS + """) r GROUP BY run_id, CAST(o_custkey % 3 AS INT)"""
+
+PREDICTIONS = """SELECT l_orderkey * 10 + l_linenumber AS prediction_id, run_id, l_suppkey AS symbol,
+       CAST(LAST_DAY(CAST(DATE_TRUNC('quarter', l_shipdate) + INTERVAL 2 MONTH AS DATE)) AS DATE) AS observation_date,
+       l_discount * 1e1 AS probability, CASE WHEN l_returnflag = 'A' THEN 'api' ELSE 'backtest' END AS source
+FROM {lineitem} JOIN (""" + _RUN_ORDERS + """) r ON r.o_orderkey = l_orderkey"""
+
+EXPLANATIONS = """SELECT l_orderkey * 10 + l_linenumber AS prediction_id, 'volatility_90d' AS feature_name,
+       l_quantity / 1e2 AS feature_value, l_discount - 0.05e0 AS shap_value FROM {lineitem}
+UNION ALL SELECT l_orderkey * 10 + l_linenumber, 'pledge_pct_promoter', l_quantity, l_tax - 0.04e0 FROM {lineitem}
+UNION ALL SELECT l_orderkey * 10 + l_linenumber, 'pledge_pct_promoter_missing', CAST(NULL AS DOUBLE), (l_tax - l_discount) / 4e0 FROM {lineitem}
+UNION ALL SELECT l_orderkey * 10 + l_linenumber, 'pledge_chg_1q', l_quantity - 2.5e1, l_quantity / 1e3 - 0.025e0 FROM {lineitem}"""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    return spark.sql(text, lineitem=table(spark, sf_dir, "lineitem"))
+    used = {t: table(spark, sf_dir, t) for t in ("lineitem", "orders") if "{" + t + "}" in text}
+    return spark.sql(text, **used)
+
+
+def runs(spark, sf_dir) -> DataFrame:
+    return _view(spark, sf_dir, RUNS)
+
+
+def run_metrics(spark, sf_dir) -> DataFrame:
+    return _view(spark, sf_dir, METRICS)
+
+
+def predictions(spark, sf_dir) -> DataFrame:
+    return _view(spark, sf_dir, PREDICTIONS)
+
+
+def explanations(spark, sf_dir) -> DataFrame:
+    return _view(spark, sf_dir, EXPLANATIONS)
 
 
 def prices(spark, sf_dir) -> DataFrame:
