@@ -119,10 +119,11 @@ def quantiles(
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group; NULLs are ignored.
 
-    Equal values are counted before any ordering, and only the rows that hold the wanted ranks
-    reach the last aggregate's result.
+    Equal values are counted before any ordering; a ``__weight`` column, if present, says how often
+    a row counts.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("__c"))
+    weight = F.sum("__weight") if "__weight" in df.columns else F.count("*")
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(weight.alias("__c"))
     ranked = running(counts, group, [value], {"__end": F.col("__c")}, buckets)
     start, n = F.col("__end") - F.col("__c"), F.col("__end_total")
 

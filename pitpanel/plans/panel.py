@@ -148,3 +148,25 @@ def event_coverage(panel: DataFrame) -> DataFrame:
         F.count_if(F.col("event_invocations_365d") > 0).alias("rows_with_invocation"),
         F.count("event_days_since").alias("rows_with_days_since"),
         F.countDistinct(F.when(active, F.col("symbol"))).alias("companies_with_event"))
+
+
+def entity_history(companies: DataFrame, state: DataFrame, events: DataFrame, predictions: DataFrame) -> DataFrame:
+    """(symbol, company_name, industry, page, filings, events, predictions): nested, sorted history.
+
+    A page is one calendar year and one of 16 hash slots, so that a company with very many rows is
+    never gathered into one array; companies without history keep one empty page.
+    """
+    def nested(df: DataFrame, date: str, name: str) -> DataFrame:
+        rest = [c for c in df.columns if c not in ("symbol", date)]
+        row = F.struct(date, *rest)
+        page = F.struct(F.year(date).alias("year"), F.pmod(F.xxhash64(*df.columns), F.lit(16)).alias("slot"))
+        return df.groupBy("symbol", page.alias("page")).agg(F.sort_array(F.collect_list(row)).alias(name))
+
+    parts = [nested(state, "quarter_end", "filings"), nested(events, "event_date", "events"),
+             nested(predictions, "observation_date", "predictions")]
+    joined = parts[0]
+    for p in parts[1:]:
+        joined = joined.join(p, ["symbol", "page"], "full_outer")
+    out = companies.select("symbol", "company_name", "industry").join(joined, "symbol", "left")
+    return out.select("symbol", "company_name", "industry", "page", *[
+        F.coalesce(c, F.array().cast(out.schema[c].dataType)).alias(c) for c in ("filings", "events", "predictions")])
