@@ -74,16 +74,20 @@ METRICS = """SELECT run_id, -1 AS fold, 'within_quarter_auc' AS metric_name, SQR
 UNION ALL SELECT run_id, -1, 'pr_auc', MIN(o_totalprice) / 1e6 FROM (""" + _RUN_ORDERS + """) r GROUP BY run_id
 UNION ALL SELECT run_id, CAST(o_custkey % 3 AS INT), 'within_quarter_auc', SQRT(AVG(o_totalprice) / 1e6) FROM (""" + _RUN_ORDERS + """) r GROUP BY run_id, CAST(o_custkey % 3 AS INT)"""
 
+# One row per (order, line): the raw table repeats some line numbers.
+_LINES = """SELECT l_orderkey, l_linenumber, MIN(l_suppkey) AS l_suppkey, MIN(l_shipdate) AS l_shipdate, MIN(l_discount) AS l_discount,
+       MIN(l_tax) AS l_tax, MIN(l_quantity) AS l_quantity, MIN(l_returnflag) AS l_returnflag FROM {lineitem} GROUP BY l_orderkey, l_linenumber"""
+
 PREDICTIONS = """SELECT l_orderkey * 10 + l_linenumber AS prediction_id, run_id, l_suppkey AS symbol,
        CAST(LAST_DAY(CAST(DATE_TRUNC('quarter', l_shipdate) + INTERVAL 2 MONTH AS DATE)) AS DATE) AS observation_date,
        l_discount * 1e1 AS probability, CASE WHEN l_returnflag = 'A' THEN 'api' ELSE 'backtest' END AS source
-FROM {lineitem} JOIN (""" + _RUN_ORDERS + """) r ON r.o_orderkey = l_orderkey"""
+FROM (""" + _LINES + """) l JOIN (""" + _RUN_ORDERS + """) r ON r.o_orderkey = l_orderkey"""
 
 EXPLANATIONS = """SELECT l_orderkey * 10 + l_linenumber AS prediction_id, 'volatility_90d' AS feature_name,
-       l_quantity / 1e2 AS feature_value, l_discount - 0.05e0 AS shap_value FROM {lineitem}
-UNION ALL SELECT l_orderkey * 10 + l_linenumber, 'pledge_pct_promoter', l_quantity, l_tax - 0.04e0 FROM {lineitem}
-UNION ALL SELECT l_orderkey * 10 + l_linenumber, 'pledge_pct_promoter_missing', CAST(NULL AS DOUBLE), (l_tax - l_discount) / 4e0 FROM {lineitem}
-UNION ALL SELECT l_orderkey * 10 + l_linenumber, 'pledge_chg_1q', l_quantity - 2.5e1, l_quantity / 1e3 - 0.025e0 FROM {lineitem}"""
+       l_quantity / 1e2 AS feature_value, l_discount - 0.05e0 AS shap_value FROM (""" + _LINES + """) l
+UNION ALL SELECT l_orderkey * 10 + l_linenumber, 'pledge_pct_promoter', l_quantity, l_tax - 0.04e0 FROM (""" + _LINES + """) l
+UNION ALL SELECT l_orderkey * 10 + l_linenumber, 'pledge_pct_promoter_missing', CAST(NULL AS DOUBLE), (l_tax - l_discount) / 4e0 FROM (""" + _LINES + """) l
+UNION ALL SELECT l_orderkey * 10 + l_linenumber, 'pledge_chg_1q', l_quantity - 2.5e1, l_quantity / 1e3 - 0.025e0 FROM (""" + _LINES + """) l"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,6 +111,10 @@ def predictions(spark, sf_dir) -> DataFrame:
     return _view(spark, sf_dir, PREDICTIONS)
 
 
+def lines(spark, sf_dir) -> DataFrame:
+    return _view(spark, sf_dir, _LINES)
+
+
 def explanations(spark, sf_dir) -> DataFrame:
     return _view(spark, sf_dir, EXPLANATIONS)
 
