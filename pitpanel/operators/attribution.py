@@ -87,3 +87,86 @@ def sentences(records: DataFrame, scored: DataFrame, keys: list[str], top_n: int
     band = F.col("risk_band") if "risk_band" in scored.columns else None
     head = sentence_head(F.col("probability"), decile, band)
     return scored.join(sides, keys).select(*keys, sentence(head, F.col("up"), F.col("down")).alias("summary"))
+
+
+# Boosted trees -------------------------------------------------------------------------------
+
+def leaf_paths(spark, model_path: str, max_depth: int = 5) -> DataFrame:
+    """Leaves of a stored boosted model: (leaf, parts), parts = (feature, conds, share) per feature on the path.
+
+    ``leaf`` is the tree's weight times the leaf's value; ``share`` is the part of the training rows
+    that follows the path at this feature's splits. A few thousand rows, whatever the data's size.
+    """
+    nodes = spark.read.parquet(f"{model_path}/data").select("treeID", "nodeData.*")
+    weights = spark.read.parquet(f"{model_path}/treesMetadata")
+    tree, weight = weights.columns[0], weights.columns[-1]
+    weights = weights.select(F.col(tree).alias("treeID"), F.col(weight).alias("weight"))
+    step = "struct<feature: int, threshold: double, left: boolean, share: double>"
+    paths = nodes.where(F.col("id") == 0).withColumn("steps", F.array().cast(f"array<{step}>"))
+    below = nodes.select("treeID", *[F.col(c).alias(f"c_{c}") for c in nodes.columns if c != "treeID"])
+    leaves = []
+    for _ in range(max_depth + 1):
+        leaves.append(paths.where(F.col("leftChild") < 0).select("treeID", "prediction", "steps"))
+        inner = paths.where(F.col("leftChild") >= 0)
+        joined = inner.join(below, "treeID").where(F.col("c_id").isin(F.col("leftChild"), F.col("rightChild")))
+        taken = F.struct(
+            F.col("split.featureIndex").cast("int").alias("feature"),
+            F.get("split.leftCategoriesOrThreshold", 0).cast("double").alias("threshold"),
+            (F.col("c_id") == F.col("leftChild")).alias("left"), (F.col("c_rawCount") / F.col("rawCount")).alias("share"))
+        paths = joined.withColumn("steps", F.concat("steps", F.array(taken))).select(
+            "treeID", "steps", *[F.col(f"c_{c}").alias(c) for c in nodes.columns if c != "treeID"])
+    every = leaves[0]
+    for more in leaves[1:]:
+        every = every.unionByName(more)
+
+    def part(f: Column) -> Column:
+        mine = F.filter("steps", lambda s: s["feature"] == f)
+        return F.struct(f.alias("feature"), mine.alias("conds"),
+                        F.aggregate(mine, F.lit(1.0), lambda acc, s: acc * s["share"]).alias("share"))
+
+    parts = F.transform(F.array_distinct(F.transform("steps", lambda s: s["feature"])), part)
+    return every.join(F.broadcast(weights), "treeID").select(
+        (F.col("prediction") * F.col("weight")).alias("leaf"), parts.alias("parts"))
+
+
+def tree_contributions(rows: DataFrame, paths: DataFrame, names: list[str], keys: list[str],
+                       values: str = "x") -> DataFrame:
+    """Path-dependent Shapley values of the margin: (keys, feature_name, shap_value).
+
+    Per leaf, a feature's part is leaf x (follows - share) x the weighted sum over the subsets of the
+    path's other features, which is a small polynomial. ``values`` is the model's input as an array.
+    All leaves travel as one broadcast row; a row's leaf parts are summed by its own task before the
+    shuffle, so only one number per row and feature moves.
+    """
+    all_leaves = paths.agg(F.collect_list(F.struct("leaf", "parts")).alias("leaves")).withColumn("__one", F.lit(1))
+    per_leaf = rows.select(*keys, values, F.lit(1).alias("__one")).join(F.broadcast(all_leaves), "__one").select(
+        *keys, values, F.explode("leaves").alias("l"))
+    x = F.col(values)
+    seen = F.transform("l.parts", lambda p: F.struct(
+        p["feature"].alias("feature"), p["share"].alias("share"),
+        F.forall(p["conds"], lambda c: (F.get(x, c["feature"]) <= c["threshold"]) == c["left"]).cast("double").alias("follows")))
+    cells = per_leaf.select(*keys, F.col("l.leaf").alias("leaf"), seen.alias("seen"))
+
+    def subsets(me: Column) -> Column:
+        others = F.filter("seen", lambda o: o["feature"] != me["feature"])
+        poly = F.aggregate(
+            others, F.array(F.lit(1.0)),
+            lambda acc, o: F.zip_with(
+                F.concat(F.transform(acc, lambda v: v * o["share"]), F.array(F.lit(0.0))),
+                F.concat(F.array(F.lit(0.0)), F.transform(acc, lambda v: v * o["follows"])), lambda a, b: a + b))
+        m = F.size("seen")
+        weighted = F.transform(poly, lambda v, k: v * F.factorial(k) * F.factorial(m - k - 1) / F.factorial(m))
+        return F.aggregate(weighted, F.lit(0.0), lambda a, b: a + b)
+
+    effect = F.transform("seen", lambda me: F.struct(
+        me["feature"].alias("feature"),
+        (F.col("leaf") * (me["follows"] - me["share"]) * subsets(me)).alias("value")))
+    parts = cells.select(*keys, F.explode(effect).alias("e"))
+    label = F.get(F.array(*[F.lit(n) for n in names]), F.col("e.feature"))
+    return parts.groupBy(*keys, label.alias("feature_name")).agg(F.sum("e.value").alias("shap_value"))
+
+
+def tree_base_value(paths: DataFrame) -> DataFrame:
+    """(base): the margin when nothing about a row is known."""
+    share = F.aggregate("parts", F.lit(1.0), lambda acc, p: acc * p["share"])
+    return paths.agg(F.sum(F.col("leaf") * share).alias("base"))
