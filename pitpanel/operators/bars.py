@@ -62,8 +62,11 @@ def price_breaks(prices: DataFrame, floor: float = -0.35) -> DataFrame:
 
 
 def numbered_bars(prices: DataFrame, *, return_bars: int = 90, floor: float = -0.35) -> DataFrame:
-    """Bars with their position from 0, running returns and the nearest break on either side."""
-    base = prices.select(
+    """Bars with their position from 0, running returns and the nearest break on either side.
+
+    The NULL filter is what a join on symbol would add later; having it here lets all uses share one shuffle.
+    """
+    base = prices.where(F.col("symbol").isNotNull()).select(
         "symbol", "trade_date", "adj_close", "volume",
         (F.row_number().over(_bars()) - 1).alias("pos"),
         log_return().alias("log_return"),
@@ -95,25 +98,6 @@ def benchmark_returns(dates: DataFrame, benchmark: DataFrame, return_bars: int =
     return asof_backward(dates, series, [], "observation_date", "trade_date", ["bench_return"])
 
 
-def _window_stats(anchors: DataFrame, bars: DataFrame, back: int, ahead: int, stats: list[Column]) -> DataFrame:
-    """Aggregate, per anchor, the bars at positions [pos - back, pos + ahead].
-
-    Both sides stay partitioned by symbol: no further shuffle of the bars, and each bar meets only
-    the few observation dates of its own symbol.
-    """
-    b = bars.select("symbol", F.col("pos").alias("bar_pos"), F.col("adj_close").alias("close"),
-                    "volume", "log_return").alias("b")
-    a = anchors.select("symbol", "observation_date", "pos").alias("a")
-    near = F.col("bar_pos").between(F.col("pos") - back, F.col("pos") + ahead)
-    joined = a.join(b, (F.col("a.symbol") == F.col("b.symbol")) & near, "left").withColumn(
-        "off", F.col("bar_pos") - F.col("pos"))
-    return joined.groupBy(F.col("a.symbol").alias("symbol"), "observation_date").agg(*stats)
-
-
-def _back(column: Column, bars: int) -> Column:
-    return F.when(F.col("off").between(-(bars - 1), 0), column)
-
-
 def market_and_label(
     observations: DataFrame,
     prices: DataFrame,
@@ -125,29 +109,48 @@ def market_and_label(
     market: bool = True,
     label: bool = True,
 ) -> DataFrame:
-    """Market features and label per (symbol, observation_date), from one numbering of the bars.
+    """Market features and label per (symbol, observation_date), from one pass over the bars.
+
+    A bar belongs to the last n bars before a date exactly when the bar n places later is after that
+    date, and to the next h bars exactly when the bar h places earlier is not. So a few neighbouring
+    dates on each bar decide membership: one join by symbol, where each bar meets the few observation
+    dates of its own symbol, and one aggregate on the same partitioning.
 
     ``blank_breaks`` voids a feature when a break lies within its own window, both ends included;
     ``void_breaks`` voids the label when a break lies in the bars after the entry, up to the horizon.
     Only the nearest break matters for either test, so both are plain comparisons.
     """
-    bars = numbered_bars(prices, return_bars=w.return_bars, floor=w.break_floor)
-    anchors = anchor(observations, bars)
-    in_vol, in_dd = _back(F.col("log_return"), w.volatility_bars), _back(F.col("close"), w.drawdown_bars)
-    turnover = _back(F.col("close") * F.coalesce("volume", F.lit(0.0)), w.turnover_bars)
-    ahead = F.when(F.col("off") > 0, F.col("close"))
-    stats = []
+    backs = {"vol": w.volatility_bars, "dd": w.drawdown_bars, "turn": w.turnover_bars} if market else {}
+    reach = max([1, *backs.values()])
+    bars = numbered_bars(prices, return_bars=w.return_bars, floor=w.break_floor).select(
+        "*", F.lead("trade_date", 1).over(_bars()).alias("next_1"), F.lead("trade_date", reach).over(_bars()).alias("next_reach"),
+        *[F.lead("trade_date", n).over(_bars()).alias(f"next_{k}") for k, n in backs.items()],
+        F.lag("trade_date", w.horizon_bars).over(_bars()).alias("prev_h"))
+    day, seen = F.col("trade_date"), F.col("observation_date")
+
+    def among_last(column: str) -> Column:
+        return (day <= seen) & F.coalesce(F.col(column) > seen, F.lit(True))
+
+    ahead = (day > seen) & F.coalesce(F.col("prev_h") <= seen, F.lit(True))
+    near = among_last("next_reach") | ahead if label else among_last("next_reach")
+    # Bars are already partitioned and sorted by symbol; a merge join keeps that for the aggregate.
+    joined = observations.select("symbol", "observation_date").alias("a").join(
+        bars.alias("b").hint("merge"), (F.col("a.symbol") == F.col("b.symbol")) & near, "left")
+
+    entry = among_last("next_1")
+    stats = [F.max(F.when(entry, F.col(c))).alias(c) for c in ANCHOR]
     if market:
+        in_vol = F.when(among_last("next_vol"), F.col("log_return"))
+        in_dd = F.when(among_last("next_dd"), F.col("adj_close"))
+        in_turn = F.when(among_last("next_turn"), F.col("adj_close") * F.coalesce("volume", F.lit(0.0)))
         stats += [
-            F.stddev_samp(in_vol).alias("sd"), F.count(in_vol).alias("n_sd"),
-            F.max(in_dd).alias("top"), F.count(in_dd).alias("n_top"),
-            F.percentile(turnover, F.lit(0.5)).alias("mid"), F.count(turnover).alias("n_mid")]
+            F.stddev_samp(in_vol).alias("sd"), F.count(in_vol).alias("n_sd"), F.max(in_dd).alias("top"),
+            F.count(in_dd).alias("n_top"), F.percentile(in_turn, F.lit(0.5)).alias("mid"), F.count(in_turn).alias("n_mid")]
     if label:
-        stats += [F.min(ahead).alias("trough"), F.count(ahead).alias("n_ahead")]
-    back = max(w.volatility_bars, w.drawdown_bars, w.turnover_bars) - 1 if market else 0
-    found = anchors.join(
-        _window_stats(anchors, bars, back, w.horizon_bars if label else 0, stats),
-        ["symbol", "observation_date"])
+        later = F.when(ahead, F.col("adj_close"))
+        stats += [F.min(later).alias("trough"), F.count(later).alias("n_ahead")]
+    found = joined.groupBy(F.col("a.symbol").alias("symbol"), "observation_date").agg(*stats)
+
     out = [F.col("symbol"), F.col("observation_date"), F.col("pos"), F.col("adj_close").alias("entry_price"),
            "last_break", "next_break"]
     if market:

@@ -53,7 +53,8 @@ def _visible(observations: DataFrame, daily: DataFrame, lag_days: int, reach: in
     for k in extra_keys:
         same = same & (F.col(f"o.{k}") == F.col(f"e.{k}"))
     wanted = (day <= end) & ((day >= F.date_sub(end, reach)) | nxt.isNull() | (nxt > end))
-    return ends.alias("o").join(daily.alias("e"), same & wanted, "left")
+    # The event days are already partitioned and sorted by symbol; a merge join keeps that.
+    return ends.alias("o").join(daily.alias("e").hint("merge"), same & wanted, "left")
 
 
 def _steady(total: Column) -> Column:

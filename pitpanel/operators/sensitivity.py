@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pitpanel.operators.events import filter_material, is_material, threshold_features, window_features
 from pitpanel.operators.metrics import within_date_auc
+from pitpanel.session import materialise
 
 # The default sweep points.
 WINDOWS = (30, 90, 180, 365, 730)
@@ -22,6 +23,7 @@ def feature_auc(long: DataFrame, keys: list[str], min_rows: int) -> DataFrame:
 
 def _sweep(built: DataFrame, labelled: DataFrame, key: str, measures: list[str], min_rows: int) -> DataFrame:
     """Coverage and one AUC column per measure for each sweep point."""
+    built = materialise(built, "sweep")
     cover = built.groupBy(key).agg(F.avg((F.col("count") > 0).cast("double")).alias("coverage"))
     joined = built.join(labelled.select("symbol", "observation_date", "label"), ["symbol", "observation_date"])
     long = joined.unpivot([key, "observation_date", "label"], measures, "measure", "value")
@@ -56,7 +58,10 @@ def materiality_sweep(events: DataFrame, labelled: DataFrame, *, thresholds=THRE
 
 
 def univariate_table(labelled: DataFrame, features: list[str], *, min_rows: int = 10) -> DataFrame:
-    """Every feature's own AUC, its mirror, strength, coverage and share of nonzero values."""
+    """Every feature's own AUC, its mirror, strength, coverage and share of nonzero values.
+
+    ``labelled`` is read twice; pass a stored panel.
+    """
     present = [f for f in features if f in labelled.columns]
     long = labelled.select("observation_date", "label", *[F.col(f).cast("double").alias(f) for f in present]).unpivot(
         ["observation_date", "label"], present, "feature", "value")

@@ -8,6 +8,7 @@ from pitpanel.functions import scalars as fx
 from pitpanel.operators import backtest, metrics, ordering, power, sensitivity
 from pitpanel.registered.base import compose, piece, query, r
 from pitpanel.registered.panels import panel, tidy
+from pitpanel.session import materialise
 from pitpanel.settings import ALL_FEATURES, EVENT_FEATURES, EXPERIMENTS
 from pitpanel.sources import adapters as src
 
@@ -458,7 +459,7 @@ def sweep_windows(spark, sf):
 
 def labelled(spark, sf, features=()):
     cols = ["symbol", "observation_date", "quarter_end", "label", "label_is_valid", *features]
-    return panel(spark, sf, cols).where(F.col("label_is_valid") == 1)
+    return materialise(panel(spark, sf, cols), "panel").where(F.col("label_is_valid") == 1)
 
 
 @query("sweep_materiality", f"""SELECT v.min_pct_equity, {r('v.coverage', 9, 'coverage')}, {r('a.auc', 9, 'count_auc')},
