@@ -2,8 +2,7 @@
 
 As-of joins are written as union-and-carry: both sides are tagged, sorted once by (key, time, side)
 and the last payload is carried along, which is linear in the rows. A key that may hold a large
-share of the rows is split by calendar period; a small table per (key, period) carries the value
-across the seams.
+share of the left rows is looked up once per distinct time, so no task orders more than a calendar.
 """
 
 from __future__ import annotations
@@ -35,31 +34,25 @@ def asof_backward(
     left_time: str,
     right_time: str,
     payload: list[str],
-    period: str | None = None,
+    by_time: bool = False,
 ) -> DataFrame:
     """Left rows with the payload of the last right row at or before their time, else NULLs.
 
-    ``period`` (for instance ``"year"``) splits hot keys; leave it out when the right side holds at
-    most one row per key and calendar day.
+    The right side holds one row per key and day. When the left side may hold very many rows per key,
+    ``by_time`` looks each distinct (key, time) up once and joins the answers back: what is ordered
+    is then bounded by the calendar, and the join back is an equi-join that adaptive execution splits.
     """
+    if {*key, left_time} & {*payload}:
+        raise ValueError("payload columns must not repeat the key or the left time")
+    if by_time:
+        asked = left.select(*key, left_time).distinct()
+        found = asof_backward(asked, right, key, left_time, right_time, [*payload])
+        answers = found.select(*key, left_time, F.struct(*payload).alias("__pay"))
+        return left.join(answers, [*key, left_time], "left").select(
+            *[F.col(c) for c in left.columns], *[F.col(f"__pay.{c}").alias(c) for c in payload])
     tagged = _tagged(left, right, key, left_time, right_time, payload, left_side=1)
-    if period is None:
-        carried = _carry(tagged, [F.col(k) for k in key] or [F.lit(0)], 1)
-        return carried.select("__row.*", *[F.col(f"__pay.{c}").alias(c) for c in payload])
-    cut = F.trunc("__t", period)
-    inside = _carry(tagged.withColumn("__p", cut), [*map(F.col, key), F.col("__p")], 1)
-    # One row per (key, period): the last payload of each period, carried to later periods.
-    ends = right.select(*key, F.col(right_time).alias("__t"), F.struct(*payload).alias("__pay")).groupBy(
-        *key, F.trunc("__t", period).alias("__p")).agg(F.max_by("__pay", "__t").alias("__pay"))
-    asked = left.select(*key, F.trunc(left_time, period).alias("__p")).distinct()
-    steps = asked.withColumn("__side", F.lit(0)).unionByName(
-        ends.withColumn("__side", F.lit(1)), allowMissingColumns=True)
-    run = Window.partitionBy(*key).orderBy("__p", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    earlier = steps.withColumn("__old", F.last("__pay", ignorenulls=True).over(run)).where(
-        F.col("__side") == 0).select(*key, "__p", "__old")
-    joined = inside.join(earlier, [*key, "__p"], "left")
-    best = F.coalesce("__pay", "__old")
-    return joined.select("__row.*", *[best.getField(c).alias(c) for c in payload])
+    carried = _carry(tagged, [F.col(k) for k in key] or [F.lit(0)], 1)
+    return carried.select("__row.*", *[F.col(f"__pay.{c}").alias(c) for c in payload])
 
 
 def asof_forward(left: DataFrame, right: DataFrame, key: list[str], left_time: str, right_time: str,

@@ -5,9 +5,10 @@ A whole cross-section (all companies on one date) may be a large share of the ta
 buckets along a small random sample of its own sort keys; every bucket is sorted by its own task
 and shifted by the size of the buckets before it. Results are exact and deterministic.
 
-Group keys must be few (dates, folds, runs, features), because two tables of at most
-``groups x BUCKETS`` rows are broadcast. They do not grow with the number of rows. Pass
-``buckets=1`` for groups that the calendar bounds (bars or quarters of one symbol).
+Two side tables have at most ``groups x BUCKETS`` rows. Groups are dates, folds, runs or features, so
+these tables do not grow with the rows; the number of groups is counted, and beyond
+``FEW_GROUPS`` the side tables are joined by shuffle instead of broadcast. Pass ``buckets=1`` for
+groups that the calendar bounds (bars or quarters of one symbol).
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from pitpanel.session import materialise
 
 BUCKETS = 64
+FEW_GROUPS = 10_000
 _BUCKET, _BOUNDS = "__bucket", "__bounds"
 
 
@@ -37,7 +39,13 @@ def _search(bounds: Column, key: Column, buckets: int) -> Column:
     )
 
 
-def spread(df: DataFrame, group: list[str], order: list[str], buckets: int = BUCKETS) -> DataFrame:
+def few_groups(df: DataFrame, group: list[str]) -> bool:
+    """Whether ``groups x BUCKETS`` rows are safe to broadcast. Reads the group columns only."""
+    return not group or df.select(*group).distinct().limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
+
+
+def spread(df: DataFrame, group: list[str], order: list[str], buckets: int = BUCKETS,
+           small: bool | None = None) -> DataFrame:
     """Add ``__bucket``: rises with the order inside each group and holds about n/buckets rows.
 
     The sample is one row per hash stratum, the one with the least hash, so it is bounded,
@@ -45,12 +53,13 @@ def spread(df: DataFrame, group: list[str], order: list[str], buckets: int = BUC
     """
     if buckets <= 1:
         return df.withColumn(_BUCKET, F.lit(0))
+    side = F.broadcast if (few_groups(df, group) if small is None else small) else (lambda x: x)
     mark = F.xxhash64(*group, *order)
     sample = df.groupBy(*group, F.pmod(mark, F.lit(buckets)).alias("__stratum")).agg(
         F.min_by(_key(order), mark).alias("__key"))
     if group:
         bounds = sample.groupBy(*group).agg(F.sort_array(F.collect_list("__key")).alias(_BOUNDS))
-        joined = df.join(F.broadcast(bounds), group)
+        joined = df.join(side(bounds), group)
     else:
         bounds = sample.agg(F.sort_array(F.collect_list("__key")).alias(_BOUNDS))
         joined = df.withColumn("__one", F.lit(1)).join(
@@ -77,7 +86,8 @@ def running(
         )
     # Three passes follow (sample, bucket sizes, rows), so the input is written once.
     df = materialise(df, "ordered")
-    cut = spread(df, group, order, buckets)
+    small = few_groups(df, group)
+    cut = spread(df, group, order, buckets, small)
     sizes = cut.groupBy(*group, _BUCKET).agg(*[F.sum(c).alias(f"__s_{n}") for n, c in sums.items()])
     part = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     before = part.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
@@ -88,7 +98,7 @@ def running(
         *[F.sum(f"__s_{n}").over(part).alias(f"{n}_total") for n in names],
     )
     inner = Window.partitionBy(*group, _BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = cut.join(F.broadcast(offsets), [*group, _BUCKET])
+    out = cut.join(F.broadcast(offsets) if small else offsets, [*group, _BUCKET])
     keep = df.columns
     return out.select(
         *keep,

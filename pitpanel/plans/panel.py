@@ -150,17 +150,22 @@ def event_coverage(panel: DataFrame) -> DataFrame:
         F.countDistinct(F.when(active, F.col("symbol"))).alias("companies_with_event"))
 
 
-def entity_history(companies: DataFrame, state: DataFrame, events: DataFrame, predictions: DataFrame) -> DataFrame:
+def entity_history(companies: DataFrame, state: DataFrame, events: DataFrame, predictions: DataFrame,
+                   page_rows: int = 10_000) -> DataFrame:
     """(symbol, company_name, industry, page, filings, events, predictions): nested, sorted history.
 
-    A page is one calendar year and one of 16 hash slots, so that a company with very many rows is
-    never gathered into one array; companies without history keep one empty page.
+    A page is a calendar year and a slot. A year gets as many slots as its rows need, so a company
+    with very many rows is spread over many short arrays, and equal rows become one with ``copies``.
+    A company without history keeps one row with empty arrays.
     """
     def nested(df: DataFrame, date: str, name: str) -> DataFrame:
         rest = [c for c in df.columns if c not in ("symbol", date)]
-        row = F.struct(date, *rest)
-        page = F.struct(F.year(date).alias("year"), F.pmod(F.xxhash64(*df.columns), F.lit(16)).alias("slot"))
-        return df.groupBy("symbol", page.alias("page")).agg(F.sort_array(F.collect_list(row)).alias(name))
+        once = df.groupBy(*df.columns).agg(F.count("*").alias("copies")).withColumn("year", F.year(date))
+        sizes = once.groupBy("symbol", "year").agg(F.count("*").alias("__n"))
+        slot = F.pmod(F.xxhash64(*df.columns), F.ceil(F.col("__n") / page_rows)).cast("int")
+        page = F.struct("year", slot.alias("slot"))
+        return once.join(sizes, ["symbol", "year"]).groupBy("symbol", page.alias("page")).agg(
+            F.sort_array(F.collect_list(F.struct(date, *rest, "copies"))).alias(name))
 
     parts = [nested(state, "quarter_end", "filings"), nested(events, "event_date", "events"),
              nested(predictions, "observation_date", "predictions")]

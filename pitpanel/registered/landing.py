@@ -95,8 +95,7 @@ def scan_filing_list_json(spark, sf):
     item = F.struct(F.upper(F.date_format("quarter_end", "dd-MMM-yyyy")).alias("date"),
                     F.when(F.col("promoter_holding_pct") > 4, F.date_format("submission_date", "dd-MMM-yyyy HH:mm:ss")).alias("submissionDate"),
                     url.alias("xbrl"))
-    path = land(spark, f.groupBy(F.col("symbol").cast("string").alias("symbol"), "quarter_end").agg(
-        F.collect_list(item).alias("data")).drop("quarter_end"), "filing-lists")
+    path = land(spark, f.select(F.col("symbol").cast("string").alias("symbol"), F.array(item).alias("data")), "filing-lists")
     window = fx.quarter_ends(F.lit(src.FIRST_QUARTER), F.date_sub(F.lit(src.LAST_QUARTER), 1))
     return landed.filing_list_json(spark, path, window).drop("status")
 
@@ -113,8 +112,7 @@ def scan_disclosures_json(spark, sf):
         F.when(kind == "invocation", "-").otherwise(F.concat(F.lit("P"), "symbol", F.lit(" "))).alias("promoterName"),
         F.when(kind == "creation", "Created").when(kind == "release", "Revocation ").otherwise("INVOKED").alias("typeOfEvent"),
         F.format_number(F.col("shares") * 1000, 0).alias("numofShares"), F.col("pct_equity").cast("string").alias("perofShares"))
-    path = land(spark, e.groupBy(F.col("symbol").cast("string").alias("symbol"), F.trunc("event_date", "month").alias("m")).agg(
-        F.collect_list(item).alias("data")).drop("m"), "disclosures")
+    path = land(spark, e.select(F.col("symbol").cast("string").alias("symbol"), F.array(item).alias("data")), "disclosures")
     return landed.disclosures_json(spark, path).select("symbol", "event_date", "promoter_name", "event_type", "shares", "pct_equity")
 
 

@@ -172,10 +172,10 @@ def join_asof_forward(spark, sf):
 FROM (SELECT o_orderkey, o_custkey % 10 AS symbol, CAST(o_orderdate AS DATE) AS d FROM orders) o
 ASOF LEFT JOIN prices p ON p.symbol = o.symbol AND p.trade_date <= o.d""", "prices")
 def join_asof_backward(spark, sf):
-    """Ten hot keys share all orders, so the as-of join is split by year."""
+    """Ten hot keys share all orders, so each distinct (key, day) is looked up once."""
     orders = src.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("order_id"), (F.col("o_custkey") % 10).alias("symbol"), F.col("o_orderdate").cast("date").alias("d"))
-    out = asof.asof_backward(orders, src.prices(spark, sf), ["symbol"], "d", "trade_date", ["trade_date", "adj_close"], period="year")
+    out = asof.asof_backward(orders, src.prices(spark, sf), ["symbol"], "d", "trade_date", ["trade_date", "adj_close"], by_time=True)
     return out.select("order_id", "trade_date", fx.rounded(F.col("adj_close"), 6).alias("adj_close"))
 
 
@@ -225,8 +225,8 @@ def join_entity_history(spark, sf):
     nested = plan.entity_history(
         src.companies(spark, sf), state(spark, sf), ev.filter_material(src.events(spark, sf)), src.predictions(spark, sf))
     return nested.groupBy("symbol", "company_name").agg(
-        F.sum(F.size("filings")).alias("n_filings"), F.sum(F.size("events")).alias("n_events"),
-        F.sum(F.size("predictions")).alias("n_predictions"),
+        *[F.sum(F.aggregate(c, F.lit(0).cast("bigint"), lambda acc, x: acc + x["copies"])).alias(f"n_{c}")
+          for c in ("filings", "events", "predictions")],
         F.min(F.array_min(F.transform("filings", lambda x: x.quarter_end))).alias("first_filing"),
         F.max(F.array_max(F.transform("events", lambda x: x.event_date))).alias("last_event"))
 

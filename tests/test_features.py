@@ -195,11 +195,11 @@ def test_unknown_percentage_is_kept_at_zero_and_summed_as_nothing(spark):
     assert events.event_features(obs, rows).first().event_created_90d == 2.0
 
 
-def test_asof_split_by_year_equals_plain(spark):
-    left = spark.sql("SELECT id AS k, 'hot' AS key, date_add(DATE '2000-01-01', CAST(id * 37 % 5000 AS INT)) AS d FROM range(400)")
+def test_asof_by_time_equals_plain(spark):
+    left = spark.sql("SELECT id AS k, 'hot' AS key, date_add(DATE '2000-01-01', CAST(id * 37 % 150 * 30 AS INT)) AS d FROM range(400)")
     right = spark.sql("SELECT 'hot' AS key, date_add(DATE '2001-06-01', CAST(id * 61 AS INT)) AS t, id AS v FROM range(40)")
     plain = asof.asof_backward(left, right, ["key"], "d", "t", ["v", "t"])
-    split = asof.asof_backward(left, right, ["key"], "d", "t", ["v", "t"], period="year")
+    split = asof.asof_backward(left, right, ["key"], "d", "t", ["v", "t"], by_time=True)
     assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, split.collect()), key=str)
     assert plain.where("v IS NULL").count() > 0
 

@@ -76,3 +76,15 @@ def test_top_k_ties_go_by_symbol(spark):
     df = spark.createDataFrame([("b", 0.5), ("a", 0.5), ("c", 0.9)], "symbol string, p double").withColumn("g", F.lit(1))
     got = [r.symbol for r in top_k(df, ["g"], [F.desc("p"), F.col("symbol")], 2).orderBy("position").collect()]
     assert got == ["c", "a"]
+
+
+def test_many_groups_join_by_shuffle(rows, monkeypatch):
+    from pitpanel.operators import ordering
+
+    frame, df = rows
+    monkeypatch.setattr(ordering, "FEW_GROUPS", 1)
+    got = positions(df, ["day"], ["probability", "symbol"]).toPandas().set_index("symbol")["position"]
+    ordered = frame.sort_values(["probability", "symbol"])
+    want = ordered.groupby("day").cumcount() + 1
+    want.index = ordered["symbol"]
+    assert (got.sort_index() == want.sort_index()).all()
