@@ -201,12 +201,23 @@ def _state_columns(df):
                           "pledge_pct_promoter", "pledge_pct_equity"), places=6)
 
 
+# One filing per (symbol, quarter, order): its first line. The id keeps the order of the orders.
+_FIRST = ["line_no", "submission_date", "promoter_holding_pct", "pledge_pct_promoter", "pledge_pct_equity", "pledge_status"]
+piece("book", f"""SELECT * EXCLUDE (rn), (filing_id * 1000 + (YEAR(quarter_end) - 1990) * 12 + MONTH(quarter_end)) * 1000000 + symbol AS doc_number FROM (SELECT *, ROW_NUMBER() OVER
+(PARTITION BY symbol, quarter_end, filing_id ORDER BY {', '.join(_FIRST)}) AS rn FROM filings) f WHERE rn = 1""", "filings")
+piece("book_chosen", """SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY symbol, quarter_end ORDER BY submission_date <= quarter_end + 30 DESC,
+CASE WHEN submission_date <= quarter_end + 30 THEN submission_date END DESC, CASE WHEN submission_date <= quarter_end + 30 THEN doc_number END DESC,
+submission_date, doc_number) AS pick FROM book) b WHERE pick = 1""", "book")
+
+
 def _ledger_of(spark, sf):
     """The filings as a downloaded ledger with unique ids, and their documents."""
     from pitpanel.session import materialise
 
-    rows = materialise(src.filings(spark, sf).dropDuplicates(["symbol", "quarter_end", "filing_id"]).withColumn(
-        "doc_number", F.col("filing_id") * 10000 + F.col("symbol")), "ledger")
+    first = src.filings(spark, sf).groupBy("symbol", "quarter_end", "filing_id").agg(F.min(F.struct(*_FIRST)).alias("__pick"))
+    rows = materialise(first.select("symbol", "quarter_end", "filing_id", "__pick.*").withColumn(
+        "doc_number", (F.col("filing_id") * 1000 + (F.year("quarter_end") - 1990) * 12 + F.month("quarter_end")) * 1_000_000
+        + F.col("symbol")), "ledger")
     book = rows.select(F.col("doc_number").alias("filing_id"), "symbol", "quarter_end", "submission_date",
                        F.lit("downloaded").alias("status"), F.concat(F.lit("raw/"), "doc_number", F.lit(".xml")).alias("local_path"))
     docs = documents(spark, sf, rows.withColumn("symbol", F.col("doc_number"))).select(
@@ -220,12 +231,13 @@ def pipe_parse_filings(spark, sf):
     return _state_columns(parsed.where(F.col("reason").isNull()))
 
 
-@query("pipe_parse_ledger")
+@query("pipe_parse_ledger", """SELECT (SELECT COUNT(*) FROM book) AS downloaded, COUNT(*) FILTER (promoter_holding_pct <> 2) AS parsed,
+COUNT(*) FILTER (promoter_holding_pct = 2) AS quarantined, (SELECT COUNT(*) FROM book) - COUNT(*) AS superseded FROM book_chosen""", "book", "book_chosen")
 def pipe_parse_ledger(spark, sf):
     return parse.parse_ledger(*_ledger_of(spark, sf))["stats"]
 
 
-@query("sink_quarantine")
+@query("sink_quarantine", """SELECT doc_number AS filing_id, symbol, quarter_end, TRUE AS malformed, TRUE AS same_reason FROM book_chosen WHERE promoter_holding_pct = 2""", "book_chosen")
 def sink_quarantine(spark, sf):
     """Truncated documents end up in the quarantine table with a reason, and their ledger rows say so."""
     book, docs = _ledger_of(spark, sf)
@@ -234,7 +246,8 @@ def sink_quarantine(spark, sf):
     landed.write_quarantine(out["rejected"], path)
     after = merge.merge_update(book.withColumn("error_message", F.lit(None).cast("string")), out["changes"], ["filing_id"])
     return spark.read.parquet(path).join(after.where(F.col("status") == "quarantined"), "local_path").select(
-        "filing_id", "symbol", "quarter_end", "reason", "error_message")
+        "filing_id", "symbol", "quarter_end", F.col("reason").startswith("malformed XML").alias("malformed"),
+        (F.col("reason") == F.col("error_message")).alias("same_reason"))
 
 
 @query("stream_land_filings", f"SELECT {_STATE} FROM docs_expected WHERE NOT broken", "docs_expected")
