@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitpanel.llm import bpe, shards
+from pitpanel.llm import bpe, chat, langid, quality, shards, urls
 from pitpanel.llm.common import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,44 @@ def op3_sharding(spark, sf_dir):
     placed = shards.positions(shards.assign(records, versions.filter("version = 1")), ["doc_id", "text_crc32", "size"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("position").cast("long").alias("slot"),
                          F.lit(None).cast("int").alias("grown_shard"), F.col("slot").alias("virtual_slot"))
+
+
+HELD_OUT = "coalesce(pmod(crc32(cast(doc_id as string)), 5) = 0, false)"
+
+
+@query
+def op5_language_id(spark, sf_dir):
+    """The language of every document, learned from four fifths of the labelled ones."""
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.learn(docs.filter(~F.expr(HELD_OUT)))
+    return model.predict(docs, ["doc_id"]).select("doc_id", F.expr(HELD_OUT).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op6_quality(spark, sf_dir):
+    """Base measures and the verdict of line-first cleaning for every document."""
+    return quality.measure(_table(spark, sf_dir, "documents"), ["doc_id"]).drop("cleaned")
+
+
+@query
+def op7_chat(spark, sf_dir):
+    """All conversations as windows, and what the windows say when they are read back."""
+    marks = "\\### Assistant: </turn> ok"
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.createDataFrame([(-7, 0, "user", marks), (-7, 1, "assistant", marks)], turns.schema)
+    return chat.read_back(chat.format_windows(turns.unionByName(tricky)))
+
+
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+@query
+def op8_url_filter(spark, sf_dir):
+    """Every page's verdict: by the longest rule that fits its URL, else by trees trained on the URLs that rules decide."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    rule, verdict = urls.fitting_rule(urls.host_of(F.col("url")), urls.path_of(F.col("url")), URL_RULES)
+    trees = urls.fit(pages.select("url", verdict.alias("verdict")), "url", "verdict")
+    judged = trees.judge(pages, ["page_id"], "url")
+    rule, verdict = urls.fitting_rule(F.col("host"), F.col("path"), URL_RULES)
+    by_trees = F.when(F.col("p_block") >= 0.5, "block").otherwise("allow")
+    return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_trees).alias("verdict"), "p_block")
