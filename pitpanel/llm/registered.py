@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitpanel.llm import bpe, chat, langid, quality, shards, urls
+from pitpanel.llm import bpe, chat, langid, neardup, quality, shards, urls
 from pitpanel.llm.common import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,9 @@ def op8_url_filter(spark, sf_dir):
     rule, verdict = urls.fitting_rule(F.col("host"), F.col("path"), URL_RULES)
     by_trees = F.when(F.col("p_block") >= 0.5, "block").otherwise("allow")
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_trees).alias("verdict"), "p_block")
+
+
+@query
+def op10_near_dedup(spark, sf_dir):
+    """Groups of documents that are linked by similar sets of four-word shingles."""
+    return neardup.cluster(_table(spark, sf_dir, "documents"), k=4)[0]
