@@ -114,7 +114,7 @@ class Words:
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
         n = len(self.data)
-        power, inverse = _powers(n)
+        power, inverse = powers(n)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
         return mix((total[self.ends] - total[self.starts]) * inverse[self.starts])
@@ -140,7 +140,7 @@ _STEP = np.uint64(0xD6E8FEB86659FD93)
 _TABLES: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number modulo 2^64 and of its inverse, at least n of each."""
     if len(_TABLES.get("p", ())) < n + 1:
         size = max(1 << 16, 1 << int(n).bit_length())

@@ -4,10 +4,7 @@
 2. Signatures of classes are cut into bands. Classes that share a band are candidates, found as (bucket, least member).
 3. A candidate pair's signatures are compared batch by batch; it is dropped as soon as the posterior probability of the wanted
    similarity falls below ``MISS``. What survives is verified on the full sets.
-4. Round one tests each class against the least class of its buckets. Where that leaves a bucket in several components, every member
-   outside the largest one is tested against all others, so a bucket costs its size times its strays. A bucket with
-   more than ``STRAYS`` of them is not paired up: its members are joined on their rarest shingles instead, which finds every pair of
-   the wanted similarity (the prefix filter).
+4. Links become components, bucket by bucket (``buckets.grouped``).
 """
 
 from __future__ import annotations
@@ -20,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitpanel.llm.common import Words, drop, mix, mix_window, over_text, slices, store, utf8
-from pitpanel.llm.components import connected
+from pitpanel.llm.buckets import grouped, members_of
+from pitpanel.llm.common import Words, drop, mix, mix_window, over_text, store, utf8
 
 #: Words of a shingle, and similarity of a link in hundredths.
 SHINGLE, SIMILAR = 5, 80
@@ -29,10 +26,6 @@ SHINGLE, SIMILAR = 5, 80
 BANDS, ROWS = 24, 4
 #: Signature values compared before each Bayesian test, and the probability of missing a link that a test may risk.
 BATCH, MISS = 16, 1e-6
-#: Members outside a bucket's largest component up to which they are paired with the bucket directly.
-STRAYS = 32
-#: Pairs of one document that are verified by one task.
-PAIRS_A_TASK = 2_000
 
 _SEEDS = np.random.default_rng(20)
 _A = _SEEDS.integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -109,60 +102,6 @@ def _prune(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.mapInArrow(run, pairs.select("a", "b").schema)
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """Pairs (a, b) that are similar on their full sets. A task streams the partners of a, having read a once."""
-    salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_TASK).alias("salts"))
-    salted = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"))
-    heads = salts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
-    rows = heads.join(texts, heads.a == texts.rep).select("a", "salt", F.lit(0).alias("kind"), F.col("rep").alias("b"), "text").unionByName(
-        salted.join(texts, salted.b == texts.rep).select("a", "salt", F.lit(1).alias("kind"), "b", "text"))
-    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
-
-    def run(batches):
-        key, heads_ = None, []
-        for batch in batches:
-            for part in slices(batch, 4):
-                hits = []
-                for i, (a, kind, own) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), shingle_sets(part.column(4), k))):
-                    if kind == 0:
-                        heads_ = [*(heads_ if key == a else []), own]  # several only where texts share an id
-                        key = a
-                    elif key == a and any(100 * (both := len(np.intersect1d(h, own, True))) >= SIMILAR * (len(h) + len(own) - both) for h in heads_):
-                        hits.append(i)
-                yield part.select([0, 3]).take(pa.array(hits, pa.int64()))
-
-    return rows.mapInArrow(run, pairs.select("a", "b").schema)
-
-
-def _rare_pairs(members: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """Pairs across components that share one of their rarest shingles, as every similar pair does. members: rep, comp."""
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, 1):
-                sets = shingle_sets(part.column(1), k)
-                sizes = [len(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(len(sets)), sizes))),
-                                                  pa.array(np.repeat(sizes, sizes), pa.int64()), pa.array(np.concatenate(sets).view(np.int64))], names=["rep", "n", "shingle"])
-
-    some = texts.join(members.select("rep"), "rep", "left_semi").select("rep", "text")
-    shingles = some.mapInArrow(run, T.StructType([some.schema["rep"], *T._parse_datatype_string("n long, shingle long").fields]))
-    counted = shingles.join(shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("docs")), "shingle")
-    prefix = counted.withColumn("rank", F.expr("row_number() over (partition by rep order by docs, shingle)")).filter("docs > 1").filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * SIMILAR / 100) + 1)
-    keyed = prefix.join(members, "rep").select(F.col("shingle").alias("key"), "rep", "comp")
-    return _stray_pairs(keyed)
-
-
-def _stray_pairs(members: DataFrame) -> DataFrame:
-    """Within each key, every member outside the largest component against all members of other components. members: key, rep, comp."""
-    sizes = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("major"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-    inside = members.join(largest.drop("comps"), "key")
-    strays = inside.filter("comp <> major").select("key", F.col("rep").alias("x"), F.col("comp").alias("cx"))
-    met = strays.join(inside.drop("major"), "key").filter("cx <> comp")
-    return met.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
-
-
 def cluster(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = SHINGLE) -> tuple[DataFrame, list[str]]:
     """One row for each row of ``docs``: id, n_shingles, component_id (least id reachable over links), kept (the id is that). And scratch paths.
 
@@ -177,33 +116,10 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int
         F.min(F.struct("rep", "signature")).alias("m")).select("m.rep", "n_shingles", "fp1", "fp2", "m.signature"), "near-classes")
     members, p_members = store(_members(classes), "near-members")
     texts, p_texts = store(slim.filter("text is not null").join(members.select("rep").distinct(), "rep"), "near-texts")
-    scratch = [p_members, p_texts]
-
-    def links(pairs: DataFrame) -> DataFrame:
-        alive, p = store(_prune(pairs, classes), "near-candidates")
-        found, q = store(_verify(alive, texts, k), "near-links")
-        scratch.extend([p, q])
-        return found
-
-    found = links(members.filter("lead < rep").groupBy(F.col("rep").alias("b")).agg(F.min("lead").alias("a")).select("a", "b"))
-    roots, p_roots = connected(found)
-    labelled, p = store(members.select("key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "key", "rep", F.coalesce("root", "rep").alias("comp")), "near-buckets")
-    scratch.append(p)
-    sizes = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
-        (F.sum("n") - F.max("n")).alias("strays")).filter("strays > 0")
-    few = labelled.join(sizes.filter(F.col("strays") <= STRAYS).select("key"), "key")
-    many, p = store(labelled.join(sizes.filter(F.col("strays") > STRAYS).select("key"), "key").select("rep", "comp").distinct(), "near-strays")
-    scratch.append(p)
-    more = links(_stray_pairs(few))
-    found = found.unionByName(more)
-    if not many.isEmpty():
-        found = found.unionByName(links(_rare_pairs(many, texts, k)))
-    drop(spark, *p_roots)
-    roots, p_roots = connected(found)
+    roots, p_roots = grouped(members, texts, lambda t: shingle_sets(t, k), SIMILAR, lambda pairs: _prune(pairs, classes))
     labels, p_labels = store(classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
         "n_shingles", "fp1", "fp2", F.coalesce("root", "rep").alias("component")), "near-labels")
-    drop(spark, *scratch, *p_roots, p_classes)
+    drop(spark, p_members, p_texts, p_classes, *p_roots)
     out = signed.select("rep", "n_shingles", "fp1", "fp2").join(labels, ["n_shingles", "fp1", "fp2"], "left")
     component = F.when(F.col("rep").isNull(), F.lit(None)).otherwise(F.coalesce("component", "rep"))
     rows = out.select(F.col("rep").alias(id_col), "n_shingles", component.alias("component_id"))
@@ -216,5 +132,4 @@ def _members(classes: DataFrame) -> DataFrame:
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
     keyed = classes.select("rep", "signature", band.alias("band")).select(
         F.xxhash64("band", F.expr(f"substring(signature, band * {step} + 1, {step})")).alias("key"), "rep")
-    buckets = keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).filter("lead < last").drop("last")
-    return keyed.join(buckets, "key").select("key", "rep", "lead").distinct()
+    return members_of(keyed).distinct()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitpanel.llm import bpe, chat, langid, neardup, quality, shards, urls
+from pitpanel.llm import bpe, chat, langid, lines, neardup, quality, shards, urls
 from pitpanel.llm.common import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,9 @@ def op8_url_filter(spark, sf_dir):
 def op10_near_dedup(spark, sf_dir):
     """Groups of documents that are linked by similar sets of four-word shingles."""
     return neardup.cluster(_table(spark, sf_dir, "documents"), k=4)[0]
+
+
+@query
+def op9_line_dedup(spark, sf_dir):
+    """Every line of the documents with its group of similar lines, and whether it is the one that stays."""
+    return lines.group_lines(_table(spark, sf_dir, "documents"))[0]
