@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitpanel.llm import bpe, chat, langid, lines, neardup, quality, shards, urls
+from pitpanel.llm import bpe, chat, langid, lines, neardup, quality, repeats, shards, urls
 from pitpanel.llm.common import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,10 @@ def op10_near_dedup(spark, sf_dir):
 def op9_line_dedup(spark, sf_dir):
     """Every line of the documents with its group of similar lines, and whether it is the one that stays."""
     return lines.group_lines(_table(spark, sf_dir, "documents"))[0]
+
+
+@query
+def op2_substring_dedup(spark, sf_dir):
+    """Every document without the words of passages that an earlier document has."""
+    out = repeats.remove_repeats(_table(spark, sf_dir, "documents"))[0]
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
