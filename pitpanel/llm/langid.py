@@ -21,7 +21,8 @@ from pitpanel.llm.common import over_text, slices, utf8
 UNKNOWN = "und"
 #: Labelled texts used for each language, about (a fixed share by hash of the text).
 SAMPLE_TEXTS = 2_000
-#: An n-gram is a language's own if it makes up this share of its n-grams, so each language has 1 / LEAST_SHARE at most.
+#: An n-gram is a language's own if it makes up this share of the n-grams of its texts, each text counting one once. So a language
+#: has 1 / LEAST_SHARE of them at most.
 LEAST_SHARE = 1 / 30_000
 MOST_LANGUAGES = 64
 BITS = 20
@@ -116,7 +117,9 @@ def learn(labelled: DataFrame, lang: str = "lang", text: str = "text", sample: i
             for part in slices(batch, 1):
                 found, bounds = grams(part.column(1))
                 which = pc.index_in(part.column(0), pa.array(languages)).to_numpy(zero_copy_only=False).astype(np.uint64)
-                both, n = np.unique(np.repeat(which, np.diff(bounds)) << np.uint64(32) | found, return_counts=True)
+                texts = np.repeat(np.arange(len(which), dtype=np.uint64), np.diff(bounds))
+                once = np.unique(texts << np.uint64(32) | found)  # a text counts an n-gram once, however long it is
+                both, n = np.unique(which[once >> np.uint64(32)] << np.uint64(32) | once & np.uint64(2**32 - 1), return_counts=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array((both >> np.uint64(32)).astype(np.int32)), pa.array((both & np.uint64(2**32 - 1)).astype(np.int64)), pa.array(n.astype(np.int64))],
                     names=["k", "gram", "n"])

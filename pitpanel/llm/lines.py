@@ -161,7 +161,7 @@ def group_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
 
 def without_lines(docs: DataFrame, grouped_lines: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the lines that are not kept taken out of the text; a text all of whose lines go is left NULL.
+    """``docs`` with the lines that are not kept taken out of the text. A document all of whose lines go is left out.
 
     Texts that lose nothing, NULLs and blank texts included, stay as they are, and so do all other columns.
     """
@@ -170,17 +170,17 @@ def without_lines(docs: DataFrame, grouped_lines: DataFrame, id_col: str = "doc_
     schema = docs.schema
     names = schema.fieldNames()
     joined = docs.withColumn("_hash_", F.xxhash64(text)).join(gone, F.col(id_col).eqNullSafe(F.col("_d_")) & (F.col("_hash_") == F.col("_h_")), "left")
+    joined = joined.filter(F.coalesce("_some_", F.lit(True)))
     others = [c for c in names if c != text]
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, batch.num_columns - 1):
                 new = []
-                for body, gone_, some in zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in ("_body_", "_gone_", "_some_"))):
+                for gone_, body in zip(part.column(part.num_columns - 2).to_pylist(), part.column(part.num_columns - 1).to_pylist()):
                     drop_ = set(gone_ or ())
-                    lost_all = bool(drop_) and not some
-                    new.append(None if lost_all else body if not drop_ else "\n".join(x for i, x in enumerate(body.split("\n")) if i not in drop_))
+                    new.append("\n".join(x for i, x in enumerate(body.split("\n")) if i not in drop_) if drop_ else body)
                 cols = {c: part.column(i) for i, c in enumerate(others)} | {text: pa.array(new, pa.string())}
                 yield pa.RecordBatch.from_arrays([cols[c] for c in names], names=names)
 
-    return joined.select(*others, "_gone_", "_some_", F.col(text).alias("_body_")).mapInArrow(run, schema)
+    return joined.select(*others, "_gone_", F.col(text).alias("_body_")).mapInArrow(run, schema)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitpanel.llm import bpe, chat, langid, lines, neardup, quality, repeats, shards, urls
+from pitpanel.llm import bpe, chat, decontam, langid, lines, neardup, quality, repeats, shards, urls
 from pitpanel.llm.common import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +117,23 @@ def op2_substring_dedup(spark, sf_dir):
     """Every document without the words of passages that an earlier document has."""
     out = repeats.remove_repeats(_table(spark, sf_dir, "documents"))[0]
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+@query
+def op4_decontamination(spark, sf_dir):
+    """Every document, whether it stays, and the benchmark item it shares most with."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found, _ = decontam.matches(docs, _table(spark, sf_dir, "benchmark"))
+    most = found.groupBy("doc_id", "text_hash").agg(F.max(F.struct("run", "item_id", "slots", "changed_slots")).alias("m"))
+    own = decontam.judge(docs, found).select("doc_id", F.xxhash64("text").alias("text_hash"), "kept")
+    return own.join(most, ["doc_id", "text_hash"], "left").select("doc_id", "kept", "m.item_id", "m.run", "m.slots", "m.changed_slots")
+
+
+@query
+def pipeline(spark, sf_dir):
+    """The whole corpus pipeline over the documents."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

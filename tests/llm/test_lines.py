@@ -70,8 +70,8 @@ def test_planted_lines_and_cleaned_documents(spark):
     out = grouped.collect()
     assert heads(out) == brute(docs)
     clean = {r.doc_id: r for r in lines.without_lines(df, grouped).collect()}
-    assert set(clean) == {i for i, _ in docs} and clean[0].line == "s" and clean[0].kept == "k"
-    assert clean[0].text == docs[0][1] and clean[60].text is None and clean[61].text is None
+    assert set(clean) == {i for i, _ in docs} - {60} and clean[0].line == "s" and clean[0].kept == "k"
+    assert clean[0].text == docs[0][1] and clean[61].text is None
     own = docs[5][1].split("\n")
     assert clean[5].text == "\n".join([own[0], "", own[4]])
 
