@@ -1,9 +1,9 @@
-"""From buckets of candidates to connected groups, without ever pairing up a whole bucket.
+"""From buckets of candidates to connected groups, without ever pairing up a bucket.
 
-Round one tests each member against the least member of its buckets. Where that leaves a bucket in several components, every
-member outside the largest one is tested against all others, so a bucket costs its size times its strays. A bucket with more
-than ``STRAYS`` of them is not paired up: its members are joined on their rarest shingles, which finds every pair of the wanted
-similarity (the prefix filter). Candidate pairs inside one component are not tested; they could change nothing.
+Round one tests each member against the least member of its buckets. A bucket whose members then form one component is settled: no
+other pair in it could change anything. Members of all other buckets are joined on their rarest shingles, which finds every pair of the
+wanted similarity: a pair's first common shingle, rarest first, stands early in both sets and nearest to the front in the smaller one
+(the prefix and position filters of set joins). Only pairs across components are formed.
 """
 
 from __future__ import annotations
@@ -19,8 +19,6 @@ from pyspark.sql import types as T
 from pitpanel.llm.common import drop, slices, store
 from pitpanel.llm.components import connected
 
-#: Members outside a bucket's largest component up to which they are paired with the bucket directly.
-STRAYS = 32
 #: Pairs of one member that are verified by one task.
 PAIRS_A_TASK = 2_000
 
@@ -53,30 +51,16 @@ def grouped(members: DataFrame, texts: DataFrame, sets: Sets, similar: int, prun
     labelled, p = store(members.select("key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
         "key", "rep", F.coalesce("root", "rep").alias("comp")), "buckets")
     scratch.append(p)
-    sizes = labelled.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(
-        (F.sum("n") - F.max("n")).alias("strays")).filter("strays > 0")
-    few = labelled.join(sizes.filter(F.col("strays") <= STRAYS).select("key"), "key")
-    many, p = store(labelled.join(sizes.filter(F.col("strays") > STRAYS).select("key"), "key").select("rep", "comp").distinct(), "strays")
+    mixed = labelled.groupBy("key").agg((F.min("comp") < F.max("comp")).alias("mixed")).filter("mixed").select("key")
+    open_, p = store(labelled.join(mixed, "key").select("rep", "comp").distinct(), "unsettled")
     scratch.append(p)
-    found = found.unionByName(links(stray_pairs(few)))
-    if not many.isEmpty():
-        found = found.unionByName(links(_rare_pairs(many, texts, sets, similar)))
+    found = found.unionByName(links(_rare_pairs(open_, texts, sets, similar)))
     drop(spark, *p_roots)
     roots, p_roots = connected(found)
     drop(spark, *scratch)
     return roots, p_roots
 
 
-def stray_pairs(members: DataFrame) -> DataFrame:
-    """Within each key, every member outside the largest component against all members of other components. members: key, rep, comp."""
-    sizes = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("major"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-    inside = members.join(largest.drop("comps"), "key")
-    strays = inside.filter("comp <> major").select("key", F.col("rep").alias("x"), F.col("comp").alias("cx"))
-    met = strays.join(inside.drop("major"), "key").filter("cx <> comp")
-    return met.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
-
-
 def verified(pairs: DataFrame, texts: DataFrame, sets: Sets, similar: int) -> DataFrame:
     """Pairs (a, b) that are similar on their full sets. A task streams the partners of a, having read a once."""
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_TASK).alias("salts"))
@@ -108,7 +92,10 @@ def similar_sets(x: np.ndarray, y: np.ndarray, similar: int) -> bool:
 
 
 def _rare_pairs(members: DataFrame, texts: DataFrame, sets: Sets, similar: int) -> DataFrame:
-    """Pairs across components that share one of their rarest shingles, as every similar pair does. members: rep, comp."""
+    """Pairs across components that share an early shingle, as every similar pair does. members: rep, comp.
+
+    Within a shingle, members outside its largest component meet the others, so those of a large component do not meet each other.
+    """
 
     def run(batches):
         for batch in batches:
@@ -121,6 +108,16 @@ def _rare_pairs(members: DataFrame, texts: DataFrame, sets: Sets, similar: int)
     some = texts.join(members.select("rep"), "rep", "left_semi").select("rep", "text")
     shingles = some.mapInArrow(run, T.StructType([some.schema["rep"], *T._parse_datatype_string("n long, shingle long").fields]))
     counted = shingles.join(shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("docs")), "shingle")
-    prefix = counted.withColumn("rank", F.expr("row_number() over (partition by rep order by docs, shingle)"))
-    prefix = prefix.filter("docs > 1").filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * similar / 100) + 1)
-    return stray_pairs(prefix.join(members, "rep").select(F.col("shingle").alias("key"), "rep", "comp"))
+    ranked = counted.withColumn("at", F.expr("row_number() over (partition by rep order by docs, shingle)")).filter("docs > 1")
+    early = F.col("at") <= F.col("n") - F.ceil(F.col("n") * 2 * similar / (100 + similar)) + 1
+    prefix = ranked.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * similar / 100) + 1).withColumn("early", early).join(members, "rep")
+    shares = prefix.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("c"), F.max("early").alias("early"))
+    useful = shares.groupBy("shingle").agg(F.max(F.struct("c", "comp"))["comp"].alias("largest"), F.count(F.lit(1)).alias("comps"),
+                                           F.max("early").alias("any_early")).filter("comps > 1 and any_early").select("shingle", "largest")
+    inside = prefix.join(useful, "shingle").select("shingle", "rep", "comp", "n", "at", "early", "largest")
+    x = inside.filter("comp <> largest").select("shingle", *(F.col(c).alias("x_" + c) for c in ("rep", "comp", "n", "at", "early")))
+    left_over = F.least(F.col("n") - F.col("at"), F.col("x_n") - F.col("x_at")) + 1
+    fits = (F.col("comp") != F.col("x_comp")) & ((F.col("early") & (F.col("n") <= F.col("x_n"))) | (F.col("x_early") & (F.col("x_n") <= F.col("n")))) & (
+        left_over * (100 + similar) >= similar * (F.col("n") + F.col("x_n")))
+    met = x.join(inside.drop("largest"), "shingle").filter(fits)
+    return met.select(F.least("x_rep", "rep").alias("a"), F.greatest("x_rep", "rep").alias("b")).distinct()
