@@ -22,12 +22,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pitpanel.llm.common import over_text
+from pitpanel.llm.common import SLICE_BYTES, over_text
 
 #: Bytes of the widest matrix row; longer pieces go through the heap.
 WIDEST = 512
-#: Pieces kept with their ids between slices, and pieces of a long text that are joined at once.
-CACHE_PIECES = 200_000
+#: Pieces kept with their ids between slices of texts.
+CACHE_PIECES = 300_000
 _NONE = np.int32(2**31 - 1)
 _ROWS = 4096
 
@@ -187,25 +187,26 @@ def _encoder(rank_file: bytes, pattern: str) -> Callable[[pa.Array], list[pa.Arr
     merges, cache = _merges(rank_file)
     split = regex.compile(pattern)
 
-    def ids_of(pieces: list[str]) -> bytes:
-        new = list(set(pieces).difference(cache))
-        if new:
-            if len(cache) + len(new) > CACHE_PIECES:
-                cache.clear()
-                new = list(set(pieces))
-            cache.update(zip(new, merges.encode_pieces([x.encode() for x in new])))
-        return b"".join(map(cache.__getitem__, pieces))
+    def learn(pieces: set[str]) -> None:
+        new = list(pieces.difference(cache))
+        if len(cache) + len(new) > CACHE_PIECES:
+            cache.clear()
+            new = list(pieces)
+        cache.update(zip(new, merges.encode_pieces([x.encode() for x in new])))
+
+    def long_text(text: str) -> bytes:  # never all pieces of a very long text at once
+        found, parts = split.finditer(text), []
+        while some := [m.group() for m in islice(found, CACHE_PIECES // 2)]:
+            learn(set(some))
+            parts.append(b"".join(map(cache.__getitem__, some)))
+        return b"".join(parts)
 
     def work(texts: pa.Array) -> list[pa.Array]:
-        out = []
-        for text in texts.to_pylist():
-            if len(text) <= CACHE_PIECES:
-                out.append(ids_of(split.findall(text)))
-            else:  # never all pieces of a very long text at once
-                found, parts = split.finditer(text), []
-                while some := [m.group() for m in islice(found, CACHE_PIECES // 2)]:
-                    parts.append(ids_of(some))
-                out.append(b"".join(parts))
+        every = texts.to_pylist()
+        pieces = [split.findall(x) if len(x) <= SLICE_BYTES else None for x in every]
+        learn(set().union(*(x for x in pieces if x)))
+        out = [b"".join(map(cache.__getitem__, x)) if x is not None else None for x in pieces]
+        out = [long_text(x) if y is None else y for x, y in zip(every, out)]
         return [pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())]
 
     return work

@@ -13,7 +13,7 @@ from pitpanel.llm import bpe
 VOCABULARY = P.path("byte_bpe_50k.tiktoken")
 TEXTS = [None, "", " ", "a", "hello world", "Hello  world\n\n\n  next\tline 12345 don't we'll", "naïve café — ünïcödé 日本語テキスト 🙂🙂🙂",
          "a" * 5000, "ab" * 700, "  " * 3000, "!?" * 900, "<|endoftext|> not special", "\u0000\u0001 x", "hello world",
-         "".join(random.Random(1).choice("etaoinshrdlu") for _ in range(3000)), "x y z " * 80_000]
+         "".join(random.Random(1).choice("etaoinshrdlu") for _ in range(3000)), "x y z " * 400_000]
 
 
 @pytest.fixture(scope="module")
