@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitpanel.functions.text import base_name, sentence, sentence_head
+from pitpanel.session import materialise
 
 
 def linear_contributions(rows: DataFrame, background: DataFrame, coefficients: dict[str, float], keys: list[str],
@@ -89,25 +90,33 @@ def sentences(records: DataFrame, scored: DataFrame, keys: list[str], top_n: int
     return scored.join(sides, keys).select(*keys, sentence(head, F.col("up"), F.col("down")).alias("summary"))
 
 
-# Boosted trees -------------------------------------------------------------------------------
+# Trees ---------------------------------------------------------------------------------------
 
-def leaf_paths(spark, model_path: str, max_depth: int = 5) -> DataFrame:
-    """Leaves of a stored boosted model: (leaf, parts), parts = (feature, conds, share) per feature on the path.
+def leaf_paths(spark, model_path: str) -> DataFrame:
+    """Leaves of a stored boosted model or forest: (leaf, parts), parts = (feature, conds, share) per feature on the path.
 
-    ``leaf`` is the tree's weight times the leaf's value; ``share`` is the part of the training rows
-    that follows the path at this feature's splits. A few thousand rows, whatever the data's size.
+    ``leaf`` is the tree's weight times the leaf's value, which sum to a boosted model's margin and to a forest's probability of
+    class 1; ``share`` is the part of the training rows that follows the path at
+    this feature's splits. The walk goes on until no inner node is left. The rows are the model's leaves, whatever the data's size.
     """
     nodes = spark.read.parquet(f"{model_path}/data").select("treeID", "nodeData.*")
     weights = spark.read.parquet(f"{model_path}/treesMetadata")
     tree, weight = weights.columns[0], weights.columns[-1]
     weights = weights.select(F.col(tree).alias("treeID"), F.col(weight).alias("weight"))
+    if "RandomForestClassificationModel" in spark.read.text(f"{model_path}/metadata").first()[0]:
+        classes = F.col("impurityStats")
+        nodes = nodes.withColumn("prediction", F.get(classes, F.lit(1)) / F.aggregate(classes, F.lit(0.0), lambda a, b: a + b))
+        weights = weights.withColumn("weight", F.col("weight") / F.sum("weight").over(Window.partitionBy(F.lit(0))))  # a row a tree
     step = "struct<feature: int, threshold: double, left: boolean, share: double>"
     paths = nodes.where(F.col("id") == 0).withColumn("steps", F.array().cast(f"array<{step}>"))
     below = nodes.select("treeID", *[F.col(c).alias(f"c_{c}") for c in nodes.columns if c != "treeID"])
     leaves = []
-    for _ in range(max_depth + 1):
+    while True:
+        paths = materialise(paths, "tree-level")
         leaves.append(paths.where(F.col("leftChild") < 0).select("treeID", "prediction", "steps"))
         inner = paths.where(F.col("leftChild") >= 0)
+        if inner.isEmpty():
+            break
         joined = inner.join(below, "treeID").where(F.col("c_id").isin(F.col("leftChild"), F.col("rightChild")))
         taken = F.struct(
             F.col("split.featureIndex").cast("int").alias("feature"),
@@ -135,35 +144,39 @@ def tree_contributions(rows: DataFrame, paths: DataFrame, names: list[str], keys
 
     Per leaf, a feature's part is leaf x (follows - share) x the weighted sum over the subsets of the
     path's other features, which is a small polynomial. ``values`` is the model's input as an array.
-    All leaves travel as one broadcast row; a row's leaf parts are summed by its own task before the
-    shuffle, so only one number per row and feature moves.
+    All leaves travel as one broadcast row and are folded inside each row: nothing is exploded per leaf, nothing shuffled.
     """
-    all_leaves = paths.agg(F.collect_list(F.struct("leaf", "parts")).alias("leaves")).withColumn("__one", F.lit(1))
-    per_leaf = rows.select(*keys, values, F.lit(1).alias("__one")).join(F.broadcast(all_leaves), "__one").select(
-        *keys, values, F.explode("leaves").alias("l"))
+    all_leaves = paths.agg(F.collect_list(F.struct("leaf", "parts")).alias("__leaves")).withColumn("__one", F.lit(1))
+    beside = rows.select(*keys, values, F.lit(1).alias("__one")).join(F.broadcast(all_leaves), "__one")
     x = F.col(values)
-    seen = F.transform("l.parts", lambda p: F.struct(
-        p["feature"].alias("feature"), p["share"].alias("share"),
-        F.forall(p["conds"], lambda c: (F.get(x, c["feature"]) <= c["threshold"]) == c["left"]).cast("double").alias("follows")))
-    cells = per_leaf.select(*keys, F.col("l.leaf").alias("leaf"), seen.alias("seen"))
 
-    def subsets(me: Column) -> Column:
-        others = F.filter("seen", lambda o: o["feature"] != me["feature"])
+    def follows(part: Column) -> Column:
+        return F.struct(part["feature"].alias("feature"), part["share"].alias("share"), F.forall(
+            part["conds"], lambda c: (F.get(x, c["feature"]) <= c["threshold"]) == c["left"]).cast("double").alias("follows"))
+
+    def subsets(seen: Column, me: Column) -> Column:
+        others = F.filter(seen, lambda o: o["feature"] != me["feature"])
         poly = F.aggregate(
             others, F.array(F.lit(1.0)),
             lambda acc, o: F.zip_with(
                 F.concat(F.transform(acc, lambda v: v * o["share"]), F.array(F.lit(0.0))),
                 F.concat(F.array(F.lit(0.0)), F.transform(acc, lambda v: v * o["follows"])), lambda a, b: a + b))
-        m = F.size("seen")
+        m = F.size(seen)
         weighted = F.transform(poly, lambda v, k: v * F.factorial(k) * F.factorial(m - k - 1) / F.factorial(m))
         return F.aggregate(weighted, F.lit(0.0), lambda a, b: a + b)
 
-    effect = F.transform("seen", lambda me: F.struct(
-        me["feature"].alias("feature"),
-        (F.col("leaf") * (me["follows"] - me["share"]) * subsets(me)).alias("value")))
-    parts = cells.select(*keys, F.explode(effect).alias("e"))
-    label = F.get(F.array(*[F.lit(n) for n in names]), F.col("e.feature"))
-    return parts.groupBy(*keys, label.alias("feature_name")).agg(F.sum("e.value").alias("shap_value"))
+    def effects(leaf: Column) -> Column:
+        once = F.array(F.transform(leaf["parts"], follows))  # bound to ``seen`` once a leaf
+        return F.get(F.transform(once, lambda seen: F.transform(seen, lambda me: F.struct(
+            me["feature"].alias("feature"), (leaf["leaf"] * (me["follows"] - me["share"]) * subsets(seen, me)).alias("value")))), F.lit(0))
+
+    def add(sums: Column, leaf: Column) -> Column:
+        return F.aggregate(effects(leaf), sums, lambda acc, e: F.transform(
+            acc, lambda v, i: v + F.when(i == e["feature"], e["value"]).otherwise(0.0)))
+
+    totals = F.aggregate("__leaves", F.array_repeat(F.lit(0.0), len(names)), add)
+    return beside.select(*keys, F.posexplode(totals).alias("__at", "shap_value")).select(
+        *keys, F.get(F.array(*[F.lit(n) for n in names]), F.col("__at")).alias("feature_name"), "shap_value")
 
 
 def tree_base_value(paths: DataFrame) -> DataFrame:

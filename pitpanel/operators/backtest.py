@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitpanel.operators.metrics import median, rank_groups
+from pitpanel.operators.ordering import join_groups
 
 # The measures of the side-by-side table, in order.
 COMPARED = [
@@ -68,7 +69,7 @@ def summary(table: DataFrame, group: list[str], n: int = 5, date: str = "observa
         median(F.col("separation_ratio")).alias("ratio_median"), F.min("separation_ratio").alias("ratio_min"),
         F.max("separation_ratio").alias("ratio_max"),
         F.count_if(F.col("separation_ratio").isNull()).alias("n_dates_ratio_undefined"))
-    return separation(pool_quintiles(table, group), group, n).join(spread, group)
+    return join_groups(separation(pool_quintiles(table, group), group, n), spread, group)
 
 
 def compare(summaries: DataFrame, key: str, headline: str, null: str) -> DataFrame:

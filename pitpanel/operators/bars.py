@@ -134,7 +134,7 @@ def market_and_label(
     ahead = (day > seen) & F.coalesce(F.col("prev_h") <= seen, F.lit(True))
     near = among_last("next_reach") | ahead if label else among_last("next_reach")
     # Bars are already partitioned and sorted by symbol; a merge join keeps that for the aggregate.
-    joined = observations.select("symbol", "observation_date").alias("a").join(
+    joined = observations.select("symbol", "observation_date").distinct().alias("a").join(
         bars.alias("b").hint("merge"), (F.col("a.symbol") == F.col("b.symbol")) & near, "left")
 
     entry = among_last("next_1")
@@ -195,14 +195,12 @@ def nth_session_after(prices: DataFrame, anchors: DataFrame, n: int) -> DataFram
 
     Past the end of the history it is the last bar.
     """
-    bars = prices.select("symbol", "trade_date", (F.row_number().over(_bars()) - 1).alias("pos"),
-                         F.count("*").over(Window.partitionBy("symbol")).alias("n_bars"))
+    bars = prices.select("symbol", "trade_date", (F.row_number().over(_bars()) - 1).alias("pos"))
+    sizes = prices.groupBy("symbol").agg((F.count("*") - 1).alias("last_pos"))
     placed = asof_backward(
         anchors.select("symbol", "observation_date", F.date_sub("observation_date", 1).alias("__eve")),
         bars, ["symbol"], "__eve", "trade_date", ["pos"])
     first = placed.select("symbol", "observation_date", (F.coalesce("pos", F.lit(-1)) + 1).alias("first_pos"))
-    ends = bars.select("symbol", F.col("pos").alias("end_pos"), F.col("trade_date").alias("session_end"), "n_bars")
-    last = F.col("n_bars") - 1
-    joined = first.join(ends, "symbol").where(
-        (F.col("first_pos") <= last) & (F.col("end_pos") == F.least(F.col("first_pos") + n, last)))
-    return joined.select("symbol", "observation_date", "session_end")
+    wanted = first.join(sizes, "symbol").where(F.col("first_pos") <= F.col("last_pos")).select(
+        "symbol", "observation_date", F.least(F.col("first_pos") + n, F.col("last_pos")).cast("int").alias("pos"))
+    return wanted.join(bars, ["symbol", "pos"]).select("symbol", "observation_date", F.col("trade_date").alias("session_end"))

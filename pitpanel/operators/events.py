@@ -47,7 +47,7 @@ def _visible(observations: DataFrame, daily: DataFrame, lag_days: int, reach: in
              extra_keys: tuple[str, ...] = ()) -> DataFrame:
     """Each observation with the event days of its longest window, and the last day before that."""
     ends = observations.select(*extra_keys, "symbol", "observation_date",
-                               F.date_sub("observation_date", lag_days).alias("end_date"))
+                               F.date_sub("observation_date", lag_days).alias("end_date")).distinct()
     day, end, nxt = F.col("event_date"), F.col("end_date"), F.col("next_date")
     same = F.col("o.symbol") == F.col("e.symbol")
     for k in extra_keys:
@@ -122,7 +122,7 @@ def threshold_features(observations: DataFrame, events: DataFrame, thresholds: t
         *[c for i, t in enumerate(thresholds) for c in parts(i, t)]).withColumn(
         "next_date", F.lit(None).cast("date"))
     ends = observations.select("symbol", "observation_date",
-                               F.date_sub("observation_date", lag_days).alias("end_date"))
+                               F.date_sub("observation_date", lag_days).alias("end_date")).distinct()
     inside = F.col("event_date").between(F.date_sub("end_date", window_days), F.col("end_date"))
     seen = ends.alias("o").join(daily.alias("e"), (F.col("o.symbol") == F.col("e.symbol")) & inside, "left")
     sums = seen.groupBy(F.col("o.symbol").alias("symbol"), "observation_date").agg(

@@ -27,11 +27,27 @@ def _check_columns(target: DataFrame, payload: DataFrame, key: list[str]) -> Non
         raise ValueError(f"the payload lacks key columns {missing}")
 
 
-def merge_update(target: DataFrame, payload: DataFrame, key: list[str]) -> DataFrame:
+def last_per_key(payload: DataFrame, key: list[str], order: str | None) -> DataFrame:
+    """One payload row per key: the last along ``order``; without an order, a repeated key fails the job."""
+    rest = [c for c in payload.columns if c not in key and c != order]
+    row = F.struct(*rest, F.lit(1).alias("__some"))
+    if order is not None:
+        picked = payload.groupBy(*key).agg(F.max_by(row, F.col(order)).alias("__row"), F.max(order).alias(order))
+        return picked.select(*key, order, *[F.col(f"__row.{c}").alias(c) for c in rest])
+    once = payload.groupBy(*key).agg(F.first(row).alias("__row"), F.count("*").alias("__n"))
+    repeated = F.raise_error(F.concat(F.lit("repeated payload key "), F.to_json(F.struct(*key)))).cast("boolean")
+    return once.where(F.when(F.col("__n") > 1, repeated).otherwise(F.lit(True))).select(*key, *[F.col(f"__row.{c}").alias(c) for c in rest])
+
+
+def merge_update(target: DataFrame, payload: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
     """Upsert. A column the payload lacks keeps its value; an explicit NULL overwrites.
 
-    The key is unique on both sides, so a join key matches at most one row.
+    The key is unique in the target. Of payload rows that share a key the last along ``order`` counts; without an order
+    they fail the job. ``order`` itself is stored only if the target has such a column.
     """
+    stored = order is None or order in target.columns
+    payload = last_per_key(payload, key, order)
+    payload = payload if stored else payload.drop(order)
     _check_columns(target, payload, key)
     t = target.withColumn("__t", F.lit(1)).alias("t")
     p = payload.withColumn("__p", F.lit(1)).alias("p")
@@ -95,7 +111,7 @@ def update_status(ledger: DataFrame, changes: DataFrame, now: Column) -> DataFra
     A status of ``downloaded`` stamps fetched_at.
     """
     merged = merge_update(ledger, changes, ["filing_id"]) if "filing_id" in changes.columns else ledger
-    touched = changes.where(F.col("status") == "downloaded").select("filing_id", F.lit(True).alias("__hit"))
+    touched = changes.where(F.col("status") == "downloaded").select("filing_id", F.lit(True).alias("__hit")).distinct()
     stamped = merged.join(touched, "filing_id", "left")
     return stamped.withColumn(
         "fetched_at", F.when(F.col("__hit"), now).otherwise(F.col("fetched_at"))).select(*ledger.columns)

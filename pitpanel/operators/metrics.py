@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitpanel.operators.ordering import positions, quantiles, running, top_k
+from pitpanel.operators.ordering import join_groups, positions, quantiles, running, top_k
 
 
 def score_counts(df: DataFrame, group: list[str], score: str = "probability", label: str = "label") -> DataFrame:
@@ -112,7 +112,7 @@ def precision_at_k(df: DataFrame, group: list[str], k: int = 20, *, tie_break: s
     base = clean.groupBy(*group).agg(F.count("*").alias("n"), F.avg(label).alias("base_rate"))
     best = top_k(clean.select(*group, score, label, tie_break), group, [F.desc(score), F.col(tie_break)], k)
     hit = best.groupBy(*group).agg(F.avg(label).alias("precision_at_k"))
-    return base.join(hit, group)
+    return join_groups(base, hit, group)
 
 
 def calibration_bins(df: DataFrame, group: list[str], n_bins: int = 10, score: str = "probability",
@@ -121,8 +121,7 @@ def calibration_bins(df: DataFrame, group: list[str], n_bins: int = 10, score: s
     clean = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
     edges = {f"e{i}": i / n_bins for i in range(1, n_bins)}
     cuts = quantiles(clean.select(*group, score), group, score, edges)
-    # One row of edges per group.
-    placed = clean.join(F.broadcast(cuts), group)
+    placed = join_groups(clean, cuts, group)
     slot = sum(((F.col(e) < F.col(score)).cast("int") for e in edges), F.lit(0))
     return placed.groupBy(*group, slot.alias("bin")).agg(
         F.count("*").alias("n"), F.avg(score).alias("mean_probability"), F.avg(label).alias("event_rate"))
@@ -153,7 +152,7 @@ def evaluate_all(df: DataFrame, group: list[str], *, k: int = 20, min_rows: int
     at_k = precision_at_k(df, [*group, date], k).groupBy(*group).agg(F.avg("precision_at_k").alias(f"precision_at_{k}"))
     base = df.groupBy(*group).agg(F.avg("label").alias("base_rate"))
     for part in (pooled_auc(df, group), average_precision(df, group), base, at_k, brier(df, group)):
-        out = out.join(part, group, "left")
+        out = join_groups(out, part, group, "left")
     return out
 
 
@@ -165,7 +164,7 @@ def histogram(df: DataFrame, group: list[str], value: str, low: float, high: flo
     counted = df.where(v.between(low, high)).groupBy(*group, slot.alias("bin")).agg(F.count("*").alias("n"))
     every = (df.select(*group).distinct() if group else df.sparkSession.range(1).select()).select(
         *group, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    return every.join(counted, [*group, "bin"], "left").select(
+    return join_groups(every, counted, [*group, "bin"], "left").select(
         *group, "bin", (F.lit(low) + F.col("bin") * F.lit(step)).alias("lower"),
         (F.lit(low) + (F.col("bin") + 1) * F.lit(step)).alias("upper"), F.coalesce("n", F.lit(0)).alias("n"))
 

@@ -39,6 +39,13 @@ def _search(bounds: Column, key: Column, buckets: int) -> Column:
     )
 
 
+def join_groups(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys that may be NULL: a NULL group is a group like any other."""
+    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    return left.join(renamed, same, how).drop(*[f"__r_{k}" for k in keys])
+
+
 def few_groups(df: DataFrame, group: list[str]) -> bool:
     """Whether ``groups x BUCKETS`` rows are safe to broadcast. Reads the group columns only."""
     return not group or df.select(*group).distinct().limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
@@ -59,7 +66,7 @@ def spread(df: DataFrame, group: list[str], order: list[str], buckets: int = BUC
         F.min_by(_key(order), mark).alias("__key"))
     if group:
         bounds = sample.groupBy(*group).agg(F.sort_array(F.collect_list("__key")).alias(_BOUNDS))
-        joined = df.join(side(bounds), group)
+        joined = join_groups(df, side(bounds), group)
     else:
         bounds = sample.agg(F.sort_array(F.collect_list("__key")).alias(_BOUNDS))
         joined = df.withColumn("__one", F.lit(1)).join(
@@ -98,7 +105,7 @@ def running(
         *[F.sum(f"__s_{n}").over(part).alias(f"{n}_total") for n in names],
     )
     inner = Window.partitionBy(*group, _BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = cut.join(F.broadcast(offsets) if small else offsets, [*group, _BUCKET])
+    out = join_groups(cut, F.broadcast(offsets) if small else offsets, [*group, _BUCKET])
     keep = df.columns
     return out.select(
         *keep,

@@ -151,7 +151,7 @@ def parse_ledger(ledger: DataFrame, documents: DataFrame, lag_days: int = 30) ->
             "promoter_holding_pct", "pledge_pct_promoter", "pledge_pct_equity", "pledge_status", "filing_id", "schema_generation"),
         "rejected": parsed.where(~good).select("filing_id", "symbol", "quarter_end", "local_path", "reason"),
         "changes": parsed.select("filing_id", F.when(good, "parsed").otherwise("quarantined").alias("status"),
-                                 F.substring("reason", 1, 300).alias("error_message")),
+                                 F.col("reason").alias("error_message")),
         "stats": total.join(F.broadcast(stats), "__one").drop("__one").withColumn(
             "superseded", F.col("downloaded") - F.col("parsed") - F.col("quarantined")),
     }

@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitpanel.operators.asof import asof_backward
 from pitpanel.operators.events import filter_material
 from pitpanel.operators.ordering import positions
 
@@ -34,7 +35,7 @@ def label_window_after_observation(panel: DataFrame, prices: DataFrame, horizon:
     """Recompute the drawdown from ranks of the bars after each date.
 
     The entry is the last bar at or before the date; the window is the first ``horizon`` bars after
-    it. Each label meets the bars of its own symbol only, at most one per calendar day.
+    it. The entry comes from an as-of join, and each label then meets its own ``horizon`` ranks only.
     """
     keys = ["symbol", "observation_date"]
     labelled = panel.where(F.col("label_is_valid") == 1).select(*keys, "fwd_max_drawdown")
@@ -42,11 +43,11 @@ def label_window_after_observation(panel: DataFrame, prices: DataFrame, horizon:
     # A rank per (symbol, day) counts bars without touching the pipeline's own numbering.
     ranked = bars.withColumn("n", F.count("*").over(
         Window.partitionBy("symbol").orderBy("trade_date").rangeBetween(Window.unboundedPreceding, 0)))
-    entry = labelled.join(ranked, "symbol").where(F.col("trade_date") <= F.col("observation_date")).groupBy(
-        *keys, "fwd_max_drawdown").agg(
-        F.max("n").alias("entry_n"), F.max_by("adj_close", "trade_date").alias("entry"))
-    ahead = entry.join(ranked, "symbol").where(
-        (F.col("n") > F.col("entry_n")) & (F.col("n") <= F.col("entry_n") + horizon))
+    entry = asof_backward(labelled, ranked, ["symbol"], "observation_date", "trade_date", ["n", "adj_close"]).where(
+        F.col("n").isNotNull()).select(*keys, "fwd_max_drawdown", F.col("n").alias("entry_n"), F.col("adj_close").alias("entry"))
+    # Exactly ``horizon`` ranks per label, met by equality.
+    ahead = entry.select("*", F.explode(F.sequence(F.col("entry_n") + 1, F.col("entry_n") + horizon)).alias("n")).join(
+        ranked.select("symbol", "n", "adj_close"), ["symbol", "n"])
     again = ahead.groupBy(*keys, "fwd_max_drawdown", "entry").agg(
         F.min("adj_close").alias("trough"), F.count("*").alias("n_bars"))
     off = F.abs(F.col("trough") / F.col("entry") - 1 - F.col("fwd_max_drawdown"))

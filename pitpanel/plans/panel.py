@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from pitpanel.operators.events import event_features, filter_material
 from pitpanel.operators.trajectory import trajectory_features
 from pitpanel.settings import EVENT_FEATURES, PANEL_COLUMNS, Windows
 
+_FILED = "__filed"
+
 
 def observation_grid(symbols: DataFrame, quarters: Column, benchmark: DataFrame, lag_days: int = 30) -> DataFrame:
     """Every symbol at every usable quarter, with the date all symbols share.
@@ -41,17 +45,19 @@ def point_in_time(grid: DataFrame, features: DataFrame, *, strict: bool = True)
     merged = grid.join(features, ["symbol", "quarter_end"], "left")
     late = F.col("submission_date") > F.col("observation_date")
     columns = [c for c in features.columns if c not in ("symbol", "quarter_end")]
-    out = blank_when(merged, late, columns)
-    return assert_point_in_time(out) if strict else out
+    out = blank_when(merged.withColumn(_FILED, F.col("submission_date")), late, columns)
+    return (assert_point_in_time(out, columns, _FILED) if strict else out).drop(_FILED)
 
 
-def assert_point_in_time(df: DataFrame) -> DataFrame:
-    """Fail the job if a row carries data filed after its observation date."""
-    late = F.col("submission_date") > F.col("observation_date")
+def assert_point_in_time(df: DataFrame, columns: list[str], filed: str = "submission_date") -> DataFrame:
+    """Fail the job if a row carries a value of ``columns`` although ``filed`` is after its observation date.
+
+    The test is a filter, so it runs whichever columns are read afterwards.
+    """
+    carries = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in columns])
     message = F.concat(F.lit("filed after its observation date: "), F.col("symbol").cast("string"),
                        F.lit(" "), F.col("quarter_end").cast("string"))
-    checked = F.when(late, F.raise_error(message).cast("date")).otherwise(F.col("submission_date"))
-    return df.withColumn("submission_date", checked)
+    return df.where(F.when((F.col(filed) > F.col("observation_date")) & carries, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
 
 
 def filing_lag_report(features: DataFrame, grid: DataFrame, lag_days: int = 30) -> DataFrame:
@@ -151,27 +157,28 @@ def event_coverage(panel: DataFrame) -> DataFrame:
 
 
 def entity_history(companies: DataFrame, state: DataFrame, events: DataFrame, predictions: DataFrame,
-                   page_rows: int = 10_000) -> DataFrame:
-    """(symbol, company_name, industry, page, filings, events, predictions): nested, sorted history.
+                   panel: DataFrame | None = None) -> DataFrame:
+    """(symbol, company_name, industry, page, filings, events, predictions, panel): nested, sorted history.
 
-    A page is a calendar year and a slot. A year gets as many slots as its rows need, so a company
-    with very many rows is spread over many short arrays, and equal rows become one with ``copies``.
-    A company without history keeps one row with empty arrays.
+    A page is a calendar month, whatever it holds; equal rows become one with ``copies``. A company without
+    history keeps one row with empty arrays, and without a ``panel`` that block is left out.
     """
     def nested(df: DataFrame, date: str, name: str) -> DataFrame:
         rest = [c for c in df.columns if c not in ("symbol", date)]
-        once = df.groupBy(*df.columns).agg(F.count("*").alias("copies")).withColumn("year", F.year(date))
-        sizes = once.groupBy("symbol", "year").agg(F.count("*").alias("__n"))
-        slot = F.pmod(F.xxhash64(*df.columns), F.ceil(F.col("__n") / page_rows)).cast("int")
-        page = F.struct("year", slot.alias("slot"))
-        return once.join(sizes, ["symbol", "year"]).groupBy("symbol", page.alias("page")).agg(
+        once = df.groupBy(*df.columns).agg(F.count("*").alias("copies"))
+        page = F.struct(F.year(date).alias("year"), F.month(date).alias("month"))
+        return once.groupBy("symbol", page.alias("page")).agg(
             F.sort_array(F.collect_list(F.struct(date, *rest, "copies"))).alias(name))
 
     parts = [nested(state, "quarter_end", "filings"), nested(events, "event_date", "events"),
              nested(predictions, "observation_date", "predictions")]
+    names = ["filings", "events", "predictions"]
+    if panel is not None:
+        parts.append(nested(panel, "observation_date", "panel"))
+        names.append("panel")
     joined = parts[0]
     for p in parts[1:]:
         joined = joined.join(p, ["symbol", "page"], "full_outer")
     out = companies.select("symbol", "company_name", "industry").join(joined, "symbol", "left")
     return out.select("symbol", "company_name", "industry", "page", *[
-        F.coalesce(c, F.array().cast(out.schema[c].dataType)).alias(c) for c in ("filings", "events", "predictions")])
+        F.coalesce(c, F.array().cast(out.schema[c].dataType)).alias(c) for c in names])

@@ -138,7 +138,7 @@ CASE pledge_status WHEN 'NO_PLEDGE' THEN 0e0 WHEN 'PLEDGE_PRESENT' THEN pledge_p
 
 
 def documents(spark, sf, rows=None):
-    """XML filings from the chosen state rows: both taxonomies, both scales, gaps, and truncated ones."""
+    """XML filings from the chosen state rows: both taxonomies, both scales, gaps, stray entities, and truncated ones."""
     s = state(spark, sf) if rows is None else rows
     modern = F.col("quarter_end") >= F.lit("1999-01-01").cast("date")
     status, h, q = F.col("pledge_status"), F.col("promoter_holding_pct"), F.col("pledge_pct_promoter")
@@ -166,17 +166,18 @@ def documents(spark, sf, rows=None):
         F.when(present, fact(tag("shares"), "c1", h * 100 * q)).otherwise(none),
         F.when(present & (h > 50), fact(tag("pct"), "c1", q / unit)).otherwise(none),
         F.when(status != "UNAVAILABLE", fact(tag("flags"), "c1", F.when(present, "true").otherwise("No"))).otherwise(none),
-        F.lit("</xbrl>"))
+        F.when(h == 4, F.lit("R&D&nbsp;")).otherwise(none), F.lit("</xbrl>"))
     whole = F.when(h == 2, F.substring(body, 1, 300)).otherwise(body)
     return s.select(F.concat(F.col("symbol").cast("string"), F.lit("-"), F.col("quarter_end").cast("string")).alias("doc_id"),
                     whole.cast("binary").alias("content"))
 
 
 @query("shred_filing_facts", """SELECT doc_id, CASE WHEN broken THEN 1 ELSE 6 + CAST(pledge_status <> 'UNAVAILABLE' AS INT) + CAST(pledge_status = 'PLEDGE_PRESENT' AS INT)
-+ CAST(pledge_status = 'PLEDGE_PRESENT' AND promoter_holding_pct > 50 AS INT) END AS n_facts, broken FROM docs_expected""", "docs_expected")
++ CAST(pledge_status = 'PLEDGE_PRESENT' AND promoter_holding_pct > 50 AS INT) END AS n_facts, broken, promoter_holding_pct = 4 AS recovered FROM docs_expected""", "docs_expected")
 def shred_filing_facts(spark, sf):
     facts = xml.shred_filing_facts(documents(spark, sf))
-    return facts.groupBy("doc_id").agg(F.count("*").cast("int").alias("n_facts"), F.bool_or(F.col("error").isNotNull()).alias("broken"))
+    return facts.groupBy("doc_id").agg(F.count("*").cast("int").alias("n_facts"), F.bool_or(F.col("error").isNotNull()).alias("broken"),
+                                      F.bool_or("recovered").alias("recovered"))
 
 
 @query("detect_generation", "SELECT doc_id, schema_generation FROM docs_expected WHERE NOT broken", "docs_expected")

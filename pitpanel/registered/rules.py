@@ -221,7 +221,7 @@ LEFT JOIN (SELECT symbol, COUNT(*) AS n, MIN(quarter_end) AS first_filing FROM s
 LEFT JOIN (SELECT symbol, COUNT(*) AS n, MAX(event_date) AS last_event FROM material GROUP BY 1) e ON e.symbol = c.symbol
 LEFT JOIN (SELECT symbol, COUNT(*) AS n FROM predictions GROUP BY 1) p ON p.symbol = c.symbol""", "companies", "state", "material", "predictions")
 def join_entity_history(spark, sf):
-    """Counts and ends of each company's history; ``history_pages`` holds the nested rows by period."""
+    """Counts and ends of each company's nested history."""
     nested = plan.entity_history(
         src.companies(spark, sf), state(spark, sf), ev.filter_material(src.events(spark, sf)), src.predictions(spark, sf))
     return nested.groupBy("symbol", "company_name").agg(
@@ -371,8 +371,12 @@ def win_permute_within_group(spark, sf):
     return leakage.permute_labels(frame, 42)
 
 
+piece("bar_pos", """SELECT symbol, trade_date, ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY trade_date) - 1 AS pos,
+COUNT(*) OVER (PARTITION BY symbol) AS n_bars FROM (SELECT l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS trade_date FROM lineitem GROUP BY 1, 2) d""")
+
+
 @query("win_nth_session_after", """SELECT a.symbol, a.observation_date, e.trade_date AS session_end FROM
-(SELECT g.symbol, g.observation_date, MIN(b.pos) AS first_pos, MAX(b.n_bars) AS n_bars FROM grid g JOIN bars b ON b.symbol = g.symbol AND b.trade_date >= g.observation_date GROUP BY 1, 2) a
-JOIN bars e ON e.symbol = a.symbol AND e.pos = LEAST(a.first_pos + 20, a.n_bars - 1)""", "grid", "bars")
+(SELECT g.symbol, g.observation_date, MIN(b.pos) AS first_pos, MAX(b.n_bars) AS n_bars FROM grid g JOIN bar_pos b ON b.symbol = g.symbol AND b.trade_date >= g.observation_date GROUP BY 1, 2) a
+JOIN bar_pos e ON e.symbol = a.symbol AND e.pos = LEAST(a.first_pos + 20, a.n_bars - 1)""", "grid", "bar_pos")
 def win_nth_session_after(spark, sf):
     return bars.nth_session_after(src.prices(spark, sf), grid(spark, sf), 20)

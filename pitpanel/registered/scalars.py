@@ -172,12 +172,11 @@ def reported_or_ratio(spark, sf):
 
 # Arrays and maps -----------------------------------------------------------------------------
 
-_STALE = "'pledge_state forward-filled from an earlier quarter (max 1)'"
+_STALE = "'the filing is carried over; at most 1 quarter(s) back are used'"
 _BLANK = "CONCAT_WS(', ', " + ", ".join(f"CASE WHEN {f} IS NULL THEN '{f}' END" for f in MARKET_FEATURES) + ")"
 _N_BLANK = " + ".join(f"CAST({f} IS NULL AS INT)" for f in MARKET_FEATURES)
-_IMPUTED = f"""CAST({_N_BLANK} AS VARCHAR) || ' feature(s) unavailable and median-imputed: ' || {_BLANK} ||
-'. A corporate action inside the lookback window blanks market features, and the score then leans on missingness rather than on data.'"""
-_OPEN = "'this observation date has no realised outcome yet - it is a forward prediction, not a scored backtest row'"
+_IMPUTED = f"""CAST({_N_BLANK} AS VARCHAR) || ' input(s) had no value and took the training median: ' || {_BLANK} || '. Part of the score therefore reflects what is not known.'"""
+_OPEN = "'the outcome window is still open, so there is nothing to compare the score with'"
 _DATA = f"CASE WHEN is_stale = 1 THEN {_STALE} END, CASE WHEN {_N_BLANK} > 0 THEN {_IMPUTED} END"
 
 
@@ -331,5 +330,6 @@ def attrib_rows(spark, sf):
     raw = src.lines(spark, sf).select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("prediction_id"), (F.col("l_quantity") / 100).alias("volatility_90d"))
     named = attribution.with_raw_values(_records(spark, sf).drop("feature_value"), raw, ["volatility_90d"], ["prediction_id"])
-    stored = merge_update(named, named, ["prediction_id", "feature_name"])
+    older = named.where("feature_name <> 'pledge_chg_1q'").withColumn("shap_value", F.lit(0.0))  # an earlier run's rows
+    stored = merge_update(older, named, ["prediction_id", "feature_name"])
     return attribution.ranked_records(stored, ["prediction_id"])

@@ -70,7 +70,7 @@ def scan_predictions_page(spark, sf):
 
 
 @query("page_with_total", f"""SELECT {_PAGE}, (SELECT COUNT(*) FROM predictions WHERE source = 'api') AS total FROM predictions
-WHERE source = 'api' ORDER BY observation_date DESC, probability DESC, symbol, prediction_id LIMIT 500 OFFSET 100""", "predictions")
+WHERE source = 'api' ORDER BY observation_date DESC, probability DESC, symbol, prediction_id LIMIT 900 OFFSET 100""", "predictions")
 def page_with_total(spark, sf):
     return tidy(scans.page_with_total(src.predictions(spark, sf), 900, 100, source="api"))
 
@@ -196,7 +196,8 @@ def append_metrics(spark, sf):
         F.sqrt(F.avg("o_totalprice") / 1e6).alias("auc"),
         F.when(F.count("*") > 2, F.min("o_totalprice") / 1e6).alias("brier"))
     long = merge.metrics_long(wide, ["auc", "brier"])
-    return tidy(merge.merge_update(long, long, ["run_id", "fold", "metric_name"]))
+    older = long.where("fold < 2 AND metric_name = 'auc'").withColumn("metric_value", F.lit(0.0))  # an earlier run's values
+    return tidy(merge.merge_update(older, long, ["run_id", "fold", "metric_name"]))
 
 
 @query("delete_scoped", """SELECT prediction_id, run_id, symbol, observation_date, source FROM predictions WHERE NOT

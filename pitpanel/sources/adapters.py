@@ -31,6 +31,8 @@ SELECT trade_date, AVG(raw) OVER (ORDER BY trade_date
 FROM (SELECT CAST(l_shipdate AS DATE) AS trade_date, SUM(l_extendedprice) / SUM(l_quantity) AS raw
       FROM {lineitem} GROUP BY CAST(l_shipdate AS DATE)) d"""
 
+# Every line is a filing. One symbol in three files half-yearly, which leaves gaps between its quarters; how late a
+# quarter's filings come depends on symbol and quarter, so some quarters have none in time.
 FILINGS = """
 SELECT symbol, filing_id, line_no, quarter_end, quarter_end + lag_days AS submission_date,
        l_quantity * 2e0 AS promoter_holding_pct, ROUND(l_discount * 1e3, 6) AS pledge_pct_promoter,
@@ -38,9 +40,11 @@ SELECT symbol, filing_id, line_no, quarter_end, quarter_end + lag_days AS submis
        CASE WHEN l_tax > 0.075e0 THEN 'UNAVAILABLE' WHEN l_discount = 0e0 THEN 'NO_PLEDGE'
             ELSE 'PLEDGE_PRESENT' END AS pledge_status
 FROM (SELECT l_suppkey AS symbol, l_orderkey AS filing_id, l_linenumber AS line_no,
-             CAST(LAST_DAY(CAST(DATE_TRUNC('quarter', l_shipdate) + INTERVAL 2 MONTH AS DATE)) AS DATE) AS quarter_end,
-             CAST(1 + l_orderkey % 40 AS INT) AS lag_days, l_quantity, l_discount, l_tax
-      FROM {lineitem} WHERE l_returnflag = 'R' AND l_orderkey % 5 = 0) f"""
+             CAST(LAST_DAY(CAST(DATE_TRUNC('quarter', CASE WHEN l_suppkey % 3 = 0 AND QUARTER(l_shipdate) IN (1, 3)
+                  THEN l_shipdate + INTERVAL 3 MONTH ELSE l_shipdate END) + INTERVAL 2 MONTH AS DATE)) AS DATE) AS quarter_end,
+             CAST(1 + (l_suppkey * 13 + YEAR(l_shipdate) * 5 + QUARTER(l_shipdate) * 17) % 38 + l_linenumber % 3 AS INT) AS lag_days,
+             l_quantity, l_discount, l_tax
+      FROM {lineitem}) f"""
 
 EVENTS = """
 SELECT l_orderkey * 10 + l_linenumber AS event_id, l_suppkey AS symbol,

@@ -55,11 +55,11 @@ def predictions_page(predictions: DataFrame, limit: int | None = None, offset: i
     return page if limit is None else page.limit(limit)
 
 
-def page_with_total(predictions: DataFrame, limit: int = 50, offset: int = 0, max_page: int = 500, **equal) -> DataFrame:
-    """A page and, on each row, the total under the very same filters."""
+def page_with_total(predictions: DataFrame, limit: int = 50, offset: int = 0, **equal) -> DataFrame:
+    """A page and, on each row, the total under the very same filters. Past the last page: one row with the total alone."""
     total = filtered(predictions, **equal).agg(F.count("*").alias("total")).withColumn("__one", F.lit(1))
-    page = predictions_page(predictions, min(limit, max_page), offset, **equal).withColumn("__one", F.lit(1))
-    return page.join(F.broadcast(total), "__one").drop("__one")
+    page = predictions_page(predictions, limit, offset, **equal).withColumn("__one", F.lit(1))
+    return total.join(page, "__one", "left").select(*predictions.columns, "total")
 
 
 def panel_for(panel: DataFrame, features: list[str] | None = None, valid_only: bool = True) -> DataFrame:

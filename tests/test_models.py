@@ -105,7 +105,7 @@ def boosted(spark, panel):
     fitted = training.fit(panel, FEATURES, BOOSTED, SETTINGS)
     path = scratch_path(spark, "booster")
     fitted.pipeline.stages[-1].write().save(path)
-    return fitted, materialise(attribution.leaf_paths(spark, path, 3), "paths")
+    return fitted, materialise(attribution.leaf_paths(spark, path), "paths")
 
 
 def test_tree_contributions_add_up_to_the_margin(panel, boosted):
@@ -120,6 +120,25 @@ def test_tree_contributions_add_up_to_the_margin(panel, boosted):
         assert 1 / (1 + math.exp(-2 * (base + r.s))) == pytest.approx(r.p[1], abs=1e-9)
 
 
+@pytest.mark.parametrize("spec,scale", [
+    (ModelSpec("deep", "boosted", BOOSTED.params | {"max_depth": 8, "min_child_weight": 1}), "margin"),
+    (ModelSpec("forest", "random_forest", {"n_estimators": 5, "max_depth": 7, "min_samples_leaf": 2}), "probability")])
+def test_deep_trees_and_forests_add_up(spark, panel, spec, scale):
+    fitted = training.fit(panel, FEATURES, spec, SETTINGS)
+    path = scratch_path(spark, "trees")
+    fitted.pipeline.stages[-1].write().save(path)
+    paths = materialise(attribution.leaf_paths(spark, path), "paths")
+    model = fitted.pipeline.stages[-1]
+    assert paths.count() == sum((t.numNodes + 1) // 2 for t in model.trees) and max(t.depth for t in model.trees) > 5
+    rows = fitted.pipeline.transform(panel.where("symbol < 's20'")).select(
+        "symbol", "observation_date", vector_to_array("features").alias("x"), vector_to_array("probability").alias("p"))
+    shap = attribution.tree_contributions(rows, paths, list(fitted.names), ["symbol", "observation_date"])
+    base = attribution.tree_base_value(paths).first().base
+    for r in shap.groupBy("symbol", "observation_date").agg(F.sum("shap_value").alias("s")).join(rows, ["symbol", "observation_date"]).collect():
+        total = base + r.s
+        assert (1 / (1 + math.exp(-2 * total)) if scale == "margin" else total) == pytest.approx(r.p[1], abs=1e-9)
+
+
 def test_tree_contributions_equal_brute_force(panel, boosted):
     fitted, paths = boosted
     row = fitted.pipeline.transform(panel.orderBy("symbol", "observation_date").limit(1)).select(
@@ -181,5 +200,5 @@ def test_sentences(spark):
                                 "id int, feature_name string, feature_value double, shap_value double")
     scored = spark.createDataFrame([(1, 0.61, 9, "CRITICAL")], "id int, probability double, risk_decile int, risk_band string")
     got = attribution.sentences(rec, scored, ["id"]).first().summary
-    assert got == ("CRITICAL (probability 0.61, decile 9). Main drivers: 90-day volatility 42% (+0.30). "
-                   "Offsetting: pledge_accel was unavailable (-0.15).")
+    assert got == ("CRITICAL (probability 0.61, decile 9). Raised by: 90-day volatility 42% (+0.30). "
+                   "Lowered by: pledge_accel was unavailable (-0.15).")

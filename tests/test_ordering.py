@@ -29,6 +29,15 @@ def test_positions_equal_a_sort(rows, buckets):
     assert (got.sort_index() == want.sort_index()).all()
 
 
+def test_null_groups_are_kept_everywhere(spark):
+    df = spark.createDataFrame([("a", 1, 0.1, 0), ("a", 2, 0.9, 1), (None, 3, 0.2, 0), (None, 4, 0.8, 1)], "day string, symbol int, probability double, label int")
+    assert sorted((r.symbol, r.position) for r in positions(df, ["day"], ["probability"]).collect()) == [(1, 1), (2, 2), (3, 1), (4, 2)]
+    assert sorted(str(r.day) for r in quantiles(df, ["day"], "probability", {"mid": 0.5}).collect()) == ["None", "a"]
+    assert sum(r.n for r in metrics.calibration_bins(df, ["day"], 2).collect()) == 4
+    assert metrics.rank_groups(df, ["day"], "probability", 2).count() == 4
+    assert {r.day for r in metrics.evaluate_all(df.withColumn("observation_date", F.lit("x")), ["day"], min_rows=1).collect()} >= {"a", None}
+
+
 def test_buckets_split_hot_groups_and_hot_ties(rows):
     _, df = rows
     sizes = spread(df, ["day"], ["probability", "symbol"], 64).groupBy("day", "__bucket").count().toPandas()

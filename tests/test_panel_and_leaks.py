@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from pitpanel.operators import strata
+from pitpanel.operators import events as ev, strata
 from pitpanel.plans import folds, leakage, panel as plan, quality
 from pitpanel.registered.panels import W, panel, state
 from pitpanel.session import materialise
@@ -30,7 +30,22 @@ def test_late_filing_is_blanked_and_the_row_stays(spark):
     with pytest.raises(ValueError):
         plan.point_in_time(grid, feats.drop("submission_date"))
     with pytest.raises(Exception, match="filed after"):
-        plan.assert_point_in_time(grid.join(feats, ["symbol", "quarter_end"])).collect()
+        plan.assert_point_in_time(grid.join(feats, ["symbol", "quarter_end"]), ["pledge_pct_promoter"]).collect()
+
+
+def test_the_guard_runs_in_the_panel(spark, sf, monkeypatch):
+    frame = panel(spark, sf)
+    assert "filed after its observation date" in frame._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(plan, "blank_when", lambda df, condition, columns: df)  # what was filed late stays in
+    with pytest.raises(Exception, match="filed after"):
+        panel(spark, sf).agg(F.count("label")).collect()
+
+
+def test_two_quarters_on_one_date_count_once(spark):
+    seen = spark.createDataFrame([("A", D(2023, 6, 1))] * 2, "symbol string, observation_date date")
+    events = spark.createDataFrame([("A", D(2023, 5, 1), "creation", 1.0)], "symbol string, event_date date, event_type string, pct_equity double")
+    out = ev.event_features(seen, events).collect()
+    assert [(r.event_created_90d, r.event_count_90d) for r in out] == [(1.0, 1.0)]
 
 
 def test_all_checks_pass_on_the_panel(spark, sf, built):
@@ -126,8 +141,9 @@ def test_short_history_drops_the_never_observed(spark):
 
 
 def test_history_pages_hold_everything(spark, sf):
-    pages = plan.entity_history(src.companies(spark, sf), state(spark, sf), src.events(spark, sf), src.predictions(spark, sf), page_rows=20)
-    assert pages.agg(F.max(F.size("events"))).first()[0] < 60
+    pages = plan.entity_history(src.companies(spark, sf), state(spark, sf), src.events(spark, sf), src.predictions(spark, sf), panel(spark, sf, ["symbol", "observation_date", "label"]))
+    assert pages.groupBy("symbol", "page").count().where("count > 1").isEmpty()
+    assert pages.agg(F.sum(F.size("panel"))).first()[0] == panel(spark, sf, ["symbol", "observation_date", "label"]).distinct().count()
     copies = lambda c: F.sum(F.aggregate(c, F.lit(0).cast("bigint"), lambda acc, x: acc + x["copies"]))
     got = pages.agg(copies("events"), copies("predictions")).first()
     assert got[0] == src.events(spark, sf).count() and got[1] == src.predictions(spark, sf).count()

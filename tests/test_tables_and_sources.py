@@ -10,7 +10,7 @@ from pitpanel.functions import scalars as fx, text, vectors
 from pitpanel.operators import merge
 from pitpanel.plans import filings as parse
 from pitpanel.session import scratch_path
-from pitpanel.sources import filings as xml, landed, tables
+from pitpanel.sources import adapters as src, filings as xml, landed, tables, tables as scans
 from pitpanel.streaming import landing
 
 D = dt.date
@@ -180,6 +180,29 @@ def derive(spark, payload):
     return parse.state_from_facts(xml.shred_filing_facts(docs)).first()
 
 
+def test_stray_entities_are_read_as_text_and_truncated_documents_are_not(spark):
+    whole = filing(BASE.format(h=50, t=100) + "<x:Name>R&D&nbsp;&amp; more</x:Name>")
+    docs = spark.createDataFrame([("a", whole), ("b", whole[:-9]), ("c", filing(BASE.format(h=50, t=100)))], "doc_id string, content binary")
+    rows = xml.shred_filing_facts(docs).collect()
+    assert [r.value for r in rows if r.tag == "Name"] == ["R&D&nbsp;& more"]
+    assert {(r.doc_id, r.recovered, r.error is None) for r in rows} == {("a", True, True), ("b", False, False), ("c", False, True)}
+
+
+def test_repeated_payload_keys_fail_or_the_last_counts(spark):
+    target = spark.createDataFrame([("A", 1)], "symbol string, v int")
+    payload = spark.createDataFrame([("A", 2, 10), ("A", 3, 20), ("A", 4, 5)], "symbol string, v int, at int")
+    with pytest.raises(Exception, match="repeated payload key"):
+        merge.merge_update(target, payload.drop("at"), ["symbol"]).collect()
+    assert merge.merge_update(target, payload, ["symbol"], order="at").collect() == [("A", 3)]
+
+
+def test_a_page_past_the_end_keeps_the_total(spark, sf):
+    rows = src.predictions(spark, sf)
+    out = scans.page_with_total(rows, 10, 10**6).collect()
+    assert len(out) == 1 and out[0].total == rows.count() and out[0].prediction_id is None
+    assert len(scans.page_with_total(rows, 900, 0).collect()) == min(900, rows.count())
+
+
 def test_no_tag_and_no_flag_is_unavailable_never_zero(spark):
     r = derive(spark, filing(BASE.format(h=50, t=100)))
     assert r.pledge_status == "UNAVAILABLE" and r.pledged_shares is None and r.pledge_pct_promoter is None
