@@ -58,7 +58,7 @@ def _line_fails() -> str:
     return f"""(case when {bars} >= {MENU_BARS} then 'navigation'
         when {symbols} then 'punctuation'
         when not (l rlike '{SENTENCE_END}') and {spaces} between {FRAGMENT_WORDS[0] - 1} and {FRAGMENT_WORDS[1] - 1} then 'punctuation'
-        when l = upper(l) and l <> lower(l) and {spaces} >= {SHOUTED_WORDS - 1} then 'boilerplate'
+        when l rlike '\\\\p{{Lu}}' and not (l rlike '\\\\p{{Ll}}') and {spaces} >= {SHOUTED_WORDS - 1} then 'boilerplate'
         when lower(l) rlike '{phrases}' then 'boilerplate' end)"""
 
 

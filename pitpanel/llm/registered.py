@@ -18,6 +18,9 @@ ORACLES: dict[str, str] = {}
 RANK_FILE = "byte_bpe_50k.tiktoken"
 
 
+_WORDS = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[fn.__name__] = fn
     return fn
@@ -137,3 +140,44 @@ def pipeline(spark, sf_dir):
 
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
+ORACLES["op2_substring_dedup"] = f"""WITH d AS (SELECT doc_id, {_WORDS.format("COALESCE(text, '')")} AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS g FROM d, LATERAL (SELECT UNNEST(range(1, len(ws) - 11)) AS i) t),
+earliest AS (SELECT g, MIN(doc_id) AS lo FROM win GROUP BY g),
+gone AS (SELECT win.doc_id, list(DISTINCT i + k) AS p FROM win JOIN earliest USING (g), range(13) r(k) WHERE lo < win.doc_id GROUP BY 1)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(COALESCE(len(p), 0) AS BIGINT) AS n_removed,
+sha256(array_to_string(list_filter(ws, lambda x, i: NOT list_contains(COALESCE(p, []), i)), ' ')) AS kept_sha256 FROM d LEFT JOIN gone ON gone.doc_id = d.doc_id"""
+
+_SYMBOL = "regexp_extract_all({}, '[#*$%&|<>]')"
+_GAPS = "len(regexp_extract_all(trim(l), '[ \\t]+'))"
+ORACLES["op6_quality"] = f"""WITH d AS (SELECT doc_id, COALESCE(text, '') AS t, {_WORDS.format("COALESCE(text, '')")} AS ws,
+  list_filter(string_split(COALESCE(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS ls FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS g FROM d, LATERAL (SELECT UNNEST(range(1, len(ws) - 3)) AS i) t),
+twice AS (SELECT doc_id, g FROM win GROUP BY 1, 2 HAVING COUNT(*) > 1),
+covered AS (SELECT win.doc_id, COUNT(DISTINCT i + k) AS n FROM win JOIN twice ON twice.doc_id = win.doc_id AND twice.g = win.g, range({quality.WINDOW}) r(k) GROUP BY 1),
+good AS (SELECT doc_id, list_filter(ls, lambda l: NOT (length(l) - length(replace(l, '|', '')) >= {quality.MENU_BARS}
+  OR 100 * len({_SYMBOL.format("l")}) > {quality.MOST_SYMBOLS} * length(l)
+  OR (NOT regexp_matches(l, '[.!?…。！？:;]["”’»)\\]]*[ \\t\\r]*$') AND {_GAPS} BETWEEN {quality.FRAGMENT_WORDS[0] - 1} AND {quality.FRAGMENT_WORDS[1] - 1})
+  OR (regexp_matches(l, '\\p{{Lu}}') AND NOT regexp_matches(l, '\\p{{Ll}}') AND {_GAPS} >= {quality.SHOUTED_WORDS - 1})
+  OR regexp_matches(lower(l), '{"|".join(quality.BOILERPLATE)}'))) AS gs FROM d),
+m AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(len({_SYMBOL.format("t")}) AS BIGINT) AS n_symbols,
+  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(COALESCE(n, 0) AS BIGINT) AS n_repeat_words, CAST(len(ls) AS BIGINT) AS n_lines,
+  CAST(len(ls) - len(gs) AS BIGINT) AS n_lines_removed,
+  CASE WHEN len(ls) > 0 THEN 100e0 * length(array_to_string(gs, '')) / length(array_to_string(ls, '')) ELSE 0e0 END AS left_percent
+  FROM d JOIN good ON good.doc_id = d.doc_id LEFT JOIN covered ON covered.doc_id = d.doc_id)
+SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed,
+NOT (n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words) AND left_percent >= {quality.LEAST_LEFT} AS kept FROM m"""
+
+_LOWER = "translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLES["op10_near_dedup"] = f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, array_to_string(ws[i:i + 3], ' ') AS g FROM d, LATERAL (SELECT UNNEST(range(1, len(ws) - 2)) AS i) t
+  UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM d WHERE len(ws) BETWEEN 1 AND 3) x),
+sizes AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY 1),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS c FROM s a JOIN s b ON b.g = a.g AND b.doc_id > a.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a, b FROM both_ways UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.b),
+roots AS (SELECT a, MIN(LEAST(a, b)) AS root FROM reach GROUP BY 1)
+SELECT d.doc_id, COALESCE(n, 0) AS n_shingles, COALESCE(root, d.doc_id) AS component_id, COALESCE(root, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN roots ON roots.a = d.doc_id"""
