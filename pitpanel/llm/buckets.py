@@ -1,7 +1,8 @@
 """From buckets of candidates to connected groups, without ever pairing up a bucket.
 
 Round one tests each member against the least member of its buckets. A bucket whose members then form one component is settled: no
-other pair in it could change anything. Members of all other buckets are joined on their rarest shingles, which finds every pair of the
+other pair in it could change anything. Where verifying is cheap, members outside a bucket's largest component are tested against a few
+of that component next, and small buckets are finished pair by pair. Members of all other buckets are joined on their rarest shingles, which finds every pair of the
 wanted similarity: a pair's first common shingle, rarest first, stands early in both sets and nearest to the front in the smaller one
 (the prefix and position filters of set joins). Only pairs across components are formed.
 """
@@ -19,6 +20,8 @@ from pyspark.sql import types as T
 from pitpanel.llm.common import drop, slices, store
 from pitpanel.llm.components import connected
 
+#: Members of a bucket's largest component that each of its other members is tested against in round two.
+PARTNERS = 4
 #: Pairs of one member that are verified by one task.
 PAIRS_A_TASK = 2_000
 
@@ -31,11 +34,13 @@ def members_of(keyed: DataFrame) -> DataFrame:
     return keyed.join(buckets, "key").select("key", "rep", "lead")
 
 
-def grouped(members: DataFrame, texts: DataFrame, sets: Sets, similar: int, prune: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, list[str]]:
+def grouped(members: DataFrame, texts: DataFrame, sets: Sets, similar: int, prune: Callable[[DataFrame], DataFrame] | None = None,
+            pairs_a_bucket: int = 0) -> tuple[DataFrame, list[str]]:
     """(node, root) for every member that is linked to another, and the scratch paths behind it.
 
     ``members`` has (key, rep, lead), ``texts`` (rep, text) for all of them; both are stored. ``sets`` gives the shingles of texts; a link
-    takes ``similar`` hundredths of their union. ``prune`` may drop candidate pairs (a, b) before they are verified.
+    takes ``similar`` hundredths of their union. ``prune`` may drop candidate pairs (a, b) before they are verified. With ``pairs_a_bucket`` round two is
+    done, and what is left of a bucket is paired up if that takes so many pairs at most; it changes the cost, not the result.
     """
     spark = members.sparkSession
     scratch: list[str] = []
@@ -51,8 +56,18 @@ def grouped(members: DataFrame, texts: DataFrame, sets: Sets, similar: int, prun
     labelled, p = store(members.select("key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
         "key", "rep", F.coalesce("root", "rep").alias("comp")), "buckets")
     scratch.append(p)
-    mixed = labelled.groupBy("key").agg((F.min("comp") < F.max("comp")).alias("mixed")).filter("mixed").select("key")
-    open_, p = store(labelled.join(mixed, "key").select("rep", "comp").distinct(), "unsettled")
+    if pairs_a_bucket:
+        found = found.unionByName(links(_stray_pairs(labelled, PARTNERS)))
+        drop(spark, *p_roots)
+        roots, p_roots = connected(found)
+        labelled, p = store(labelled.drop("comp").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
+            "key", "rep", F.coalesce("root", "rep").alias("comp")), "buckets")
+        scratch.append(p)
+    mixed, p = store(_mixed(labelled).select("key", (F.col("n") * (F.col("n") - F.col("most"))).alias("pairs")), "mixed")
+    scratch.append(p)
+    if pairs_a_bucket:
+        found = found.unionByName(links(_stray_pairs(labelled.join(mixed.filter(F.col("pairs") <= pairs_a_bucket).select("key"), "key"))))
+    open_, p = store(labelled.join(mixed.filter(F.col("pairs") > pairs_a_bucket).select("key"), "key").select("rep", "comp").distinct(), "unsettled")
     scratch.append(p)
     found = found.unionByName(links(_rare_pairs(open_, texts, sets, similar)))
     drop(spark, *p_roots)
@@ -61,6 +76,26 @@ def grouped(members: DataFrame, texts: DataFrame, sets: Sets, similar: int, prun
     return roots, p_roots
 
 
+def _mixed(members: DataFrame) -> DataFrame:
+    """(key, n, most, largest): size, and size and name of the largest component, of every key with several components."""
+    sizes = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    whole = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("m"), F.count(F.lit(1)).alias("comps"))
+    return whole.filter("comps > 1").select("key", "n", F.col("m.n").alias("most"), F.col("m.comp").alias("largest"))
+
+
+def _stray_pairs(members: DataFrame, partners: int = 0) -> DataFrame:
+    """Within each key, members outside the largest component against the members of other components, or against
+    that many of the largest one, chosen by hash. members: key, rep, comp."""
+    inside = members.join(_mixed(members).select("key", "largest"), "key")
+    strays = inside.filter("comp <> largest").select("key", F.col("rep").alias("x"), F.col("comp").alias("cx"))
+    others = inside.select("key", "rep", "comp")
+    if partners:
+        picks = [F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", F.lit(k))) for k in range(partners)]
+        others = inside.filter("comp = largest").groupBy("key").agg(F.array(*picks).alias("picks")).select("key", F.inline("picks"))
+    met = strays.join(others, "key").filter("cx <> comp")
+    return met.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, sets: Sets, similar: int) -> DataFrame:
     """Pairs (a, b) that are similar on their full sets. A task streams the partners of a, having read a once."""
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_TASK).alias("salts"))

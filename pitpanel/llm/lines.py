@@ -21,6 +21,8 @@ from pitpanel.llm.common import SEPARATORS, drop, mix, powers, slices, store
 SHINGLE, SIMILAR = 8, 80
 #: 10 bands of 4 values share a bucket with a probability of 0.995 at similarity 0.8, and 0.9994 at 0.85.
 BANDS, ROWS = 10, 4
+#: Lines are short, so a bucket that round one leaves open may be finished with so many pairs.
+PAIRS_A_BUCKET = 512
 
 _SEEDS = np.random.default_rng(9)
 _A = _SEEDS.integers(0, 2**31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -146,7 +148,7 @@ def group_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     lines, p_lines = store(_signed(keyed), "lines")
     members, p_members = store(members_of(lines.select(F.explode("bands").alias("key"), F.col("node").alias("rep"))).distinct(), "line-members")
     texts, p_texts = store(_texts_of(keyed, lines, members.select("rep").distinct()), "line-texts")
-    roots, p_roots = grouped(members, texts, shingle_sets, SIMILAR)
+    roots, p_roots = grouped(members, texts, shingle_sets, SIMILAR, pairs_a_bucket=PAIRS_A_BUCKET)
     distinct = lines.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash", "line")).alias("first"), F.count(F.lit(1)).alias("n"),
                                          (F.min("check") != F.max("check")).alias("clash"))
     named = distinct.join(roots, "node", "left").select("node", "first", "n", "clash", F.coalesce("root", "node").alias("group"))

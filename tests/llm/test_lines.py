@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from pitpanel.llm import lines
 from pitpanel.llm.registered import QUERIES
 
@@ -55,6 +57,24 @@ def test_query_equals_brute_force(spark, sf):
     assert all(r.n_in_group == sizes[want[r.doc_id, r.line]] for r in out)
 
 
+@pytest.mark.parametrize("pairs", [0, 20, 512])
+def test_families_of_lines_by_either_way(spark, monkeypatch, pairs):
+    monkeypatch.setattr(lines, "PAIRS_A_BUCKET", pairs)
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    rows = []
+    for _ in range(4):
+        base = "".join(rng.choice(letters) for _ in range(120)).strip() + "."
+        for _ in range(25):
+            own = list(base)
+            for _ in range(rng.randint(0, 2)):
+                own[rng.randrange(len(own))] = rng.choice(letters[:-1])
+            rows.append("".join(own))
+    docs = list(enumerate(rows))
+    out = lines.group_lines(spark.createDataFrame(docs, "doc_id long, text string"))[0].collect()
+    assert heads(out) == brute(docs)
+
+
 def test_planted_lines_and_cleaned_documents(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9)))
