@@ -24,9 +24,10 @@ ORACLE_SQL = None
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: list[str] | None = None) -> DataFrame:
     """Documents in one of the languages that the labelled ones teach. NULL texts and texts without letters go."""
     model = langid.learn(docs)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("body"))
-    judged = model.predict(rows, ["row"], "body")
-    return judged.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    rows = docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("row"), F.col("text").alias("body"))
+    judged = model.predict(rows, ["row", "body"], "body")
+    kept = judged.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return kept.select(*(F.col("body").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: list[str] | None = None) -> DataFrame:

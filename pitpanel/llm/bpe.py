@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Callable
+from functools import cached_property
 from itertools import islice
 
 import numpy as np
@@ -27,36 +29,57 @@ from pitpanel.llm.common import SLICE_BYTES, over_text
 #: Bytes of the widest matrix row; longer pieces go through the heap.
 WIDEST = 512
 #: Pieces kept with their ids between slices of texts.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 100_000
 _NONE = np.int32(2**31 - 1)
 _ROWS = 4096
 
 
-class Merges:
-    """The vocabulary of a rank file: token bytes, and a hash table of mergeable pairs."""
+class Tokens:
+    """The vocabulary of a rank file as token bytes."""
 
     def __init__(self, rank_file: bytes):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in rank_file.splitlines() if line)}
+        tokens = [b""] * (max(self.ranks.values(), default=-1) + 1)
+        for token, rank in self.ranks.items():
+            tokens[rank] = token
+        self.lengths = np.array([len(t) for t in tokens], np.int64)
+        self.offsets = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes of the tokens, in order."""
+        parts = []
+        for k in range(0, len(ids), CACHE_PIECES):
+            some = ids[k : k + CACHE_PIECES]
+            n = self.lengths[some]
+            start = np.repeat(self.offsets[some] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+            parts.append(self.flat[start + np.arange(len(start))].tobytes())
+        return b"".join(parts)
+
+
+class Merges(Tokens):
+    """Also a hash table of the pairs that merge."""
+
+    def __init__(self, rank_file: bytes):
+        super().__init__(rank_file)
         missing = [i for i in range(256) if bytes([i]) not in self.ranks]
         if missing:
             raise ValueError(f"the vocabulary lacks the single bytes {missing[:5]}")
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        size = max(self.ranks.values()) + 1
-        self.tokens = [b""] * size
-        for token, rank in self.ranks.items():
-            self.tokens[rank] = token
-        self.lengths = np.array([len(t) for t in self.tokens], np.int64)
-        self.offsets = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
-        self.flat = np.frombuffer(b"".join(self.tokens), np.uint8)
-        get = self.ranks.get
-        pairs = {}
+        get, keys, values = self.ranks.get, array("Q"), array("i")
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
                 a, b = get(token[:cut]), get(token[cut:])
                 if a is not None and b is not None:
-                    pairs[a << 32 | b] = rank
-        self.pairs = pairs
-        self._fill(np.fromiter(pairs.keys(), np.uint64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs)))
+                    keys.append(a << 32 | b)
+                    values.append(rank)
+        self._fill(np.frombuffer(keys, np.uint64), np.frombuffer(values, np.int32))
+
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        """The table as a dictionary, for the heap."""
+        used = self.values != _NONE
+        return dict(zip(self.keys[used].tolist(), self.values[used].tolist()))
 
     def _fill(self, keys: np.ndarray, values: np.ndarray) -> None:
         bits = max(4, int(2 * len(keys) + 1).bit_length())
@@ -160,16 +183,6 @@ class Merges:
                 heapq.heappush(heap, (r, p, ids[p], rank))
         return np.array([x for x in ids if x >= 0], "<u4").tobytes()
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes of the tokens, in order."""
-        parts = []
-        for k in range(0, len(ids), CACHE_PIECES):
-            some = ids[k : k + CACHE_PIECES]
-            n = self.lengths[some]
-            start = np.repeat(self.offsets[some] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-            parts.append(self.flat[start + np.arange(len(start))].tobytes())
-        return b"".join(parts)
-
 
 _BUILT: dict[int, tuple[Merges, dict[str, bytes]]] = {}
 
@@ -234,11 +247,11 @@ def decode(tokens: DataFrame, vocabulary: str, keys: list[str], carry: list[str]
     names = schema.fieldNames()
 
     def run(batches):
-        merges, _ = _merges(ranks.value)
+        tokens = Tokens(ranks.value)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                got = [merges.decode(np.frombuffer(x or b"", "<u4").astype(np.int64)) for x in part.column(part.num_columns - 1).to_pylist()]
+                got = [tokens.decode(np.frombuffer(x or b"", "<u4").astype(np.int64)) for x in part.column(part.num_columns - 1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(got, pa.binary())], names=names)
 
     return slim.mapInArrow(run, schema)

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +16,7 @@ from pitpanel.session import scratch_path
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: Work inside one task goes on in slices of about this many bytes of text; a longer text is a slice alone.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 
 def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -50,18 +51,19 @@ def over_text(df: DataFrame, keys: list[str], text: str, fields: list[T.StructFi
     """One row out for each row in: the key columns and what ``make()`` computes from the texts.
 
     ``make`` is called once a task. A NULL text reaches it as the empty string. Texts arrive in slices of
-    about ``SLICE_BYTES``.
+    about ``SLICE_BYTES``. If the text is a key itself, it comes last among the keys, as it was.
     """
-    slim = df.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("_text_"))
-    schema = T.StructType([*slim.schema.fields[:-1], *fields])
+    others = [k for k in keys if k != text]
+    slim = df.select(*others, text)
+    schema = T.StructType([*slim.schema.fields[: len(others) + (text in keys)], *fields])
     names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
             for part in slices(batch, batch.num_columns - 1):
-                cols = work(part.column(part.num_columns - 1))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *cols], names=names)
+                cols = work(pc.fill_null(part.column(part.num_columns - 1), ""))
+                yield pa.RecordBatch.from_arrays([*part.columns, *cols] if text in keys else [*part.columns[:-1], *cols], names=names)
 
     return slim.mapInArrow(run, schema)
 
