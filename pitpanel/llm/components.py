@@ -22,8 +22,7 @@ def connected(edges: DataFrame, name: str = "components") -> tuple[DataFrame, li
     spark = edges.sparkSession
     start = edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
     stars, path = store(start.distinct(), name)
-    seen = _state(stars)
-    while seen[0]:
+    while not _flat(stars):
         both = stars.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(stars.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least, p1 = store(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)
         large, p2 = store(both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), name)
@@ -31,13 +30,13 @@ def connected(edges: DataFrame, name: str = "components") -> tuple[DataFrame, li
         moved = large.join(least, "hi").filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         stars, p4 = store(moved.unionByName(least.select("hi", F.col("m").alias("lo"))).distinct(), name)
         drop(spark, path, p1, p2, p3)
-        path, now = p4, _state(stars)
-        if now == seen:
-            break
-        seen = now
+        path = p4
     roots = stars.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct()
     return stars.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(roots), [path]
 
 
-def _state(stars: DataFrame) -> tuple:
-    return tuple(stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(20,0)"))).first())
+def _flat(stars: DataFrame) -> bool:
+    """Whether every upper node has one lower node, and no lower node is an upper one: then the lower ones are the roots."""
+    ends = stars.select(F.col("hi").alias("node"), F.lit(1).alias("upper"), F.lit(0).alias("lower")).unionByName(
+        stars.select(F.col("lo").alias("node"), F.lit(0).alias("upper"), F.lit(1).alias("lower")))
+    return ends.groupBy("node").agg(F.sum("upper").alias("upper"), F.max("lower").alias("lower")).filter("upper + lower > 1 and upper > 0").isEmpty()
