@@ -3,7 +3,7 @@
 Numbers, units and names become typed placeholders, so a question with other numbers or names has the same template. Blocks of
 ``BLOCK`` template words, cut one after the other from each document, are joined by hash with the windows at every offset of the benchmark
 items; a shared run of twice a block less one always holds such a block. Each hit is then extended along its diagonal: a document is
-contaminated where ``RUN`` or more template words in a row agree and the slots are filled consistently.
+contaminated where any ``RUN`` or more template words in a row agree with the slots filled consistently, or equal the item word by word.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ def tokens(text: Column, values: bool) -> Column:
 
 
 def _template(word: Column) -> Column:
-    return F.when(word.startswith(NAME) | word.startswith(NUMBER) | word.startswith(UNIT), F.left(word, F.lit(1))).otherwise(word)
+    return F.when(_is_slot(word), F.left(word, F.lit(1))).otherwise(word)
 
 
 def _let(value: Column, body) -> Column:
@@ -59,7 +59,7 @@ def _blocks(text: Column) -> Column:
 
 def _items(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
     items = benchmark.select(F.col(item_id).alias("item_id"), tokens(F.col(text), True).alias("item")).filter(F.size("item") >= RUN)
-    return items.withColumn("item_template", F.transform("item", _template))
+    return items.withColumn("item_template", F.transform("item", _template)).withColumn("earlier", _earlier(F.col("item")))
 
 
 def _windows(items: DataFrame) -> DataFrame:
@@ -70,16 +70,45 @@ def _windows(items: DataFrame) -> DataFrame:
     return cut.filter(literal >= LITERAL_WORDS).select(F.xxhash64("w").alias("hash"), "item_id", "at")
 
 
-_BEST = """aggregate(sequence(0, size(same) - 1), named_struct('len', 0, 'best', 0, 'end', 0),
-  (a, i) -> if(same[i], named_struct('len', a.len + 1, 'best', greatest(a.best, a.len + 1), 'end', if(a.len + 1 > a.best, i + 1, a.end)),
-               named_struct('len', 0, 'best', a.best, 'end', a.end)))"""
+#: The longest stretch (run, end) of an aligned pair that counts, in one pass over ``marks``. ``cut`` starts the present piece of the agreeing run, which
+#: is cut where a slot first becomes inconsistent, ``left`` the longest consistent stretch up to here, and ``equal`` counts words equal to the item's.
+#: If no piece counts, stretches of RUN to 2 RUN - 1 words are tried at every offset; one of them counts wherever any stretch does.
+_BEST = f"""aggregate(sequence(0, size(marks) - 1), named_struct('left', 0, 'cut', 0, 'literal', 0, 'equal', 0, 'run', 0, 'end', 0),
+  (a, i) -> transform(transform(array(marks[i]), m -> named_struct(
+      'left', if(m.same, greatest(a.left, m.clash + 1), i + 1),
+      'cut', if(m.same, if(m.clash >= a.cut, i, a.cut), i + 1),
+      'literal', if(m.same, if(m.clash >= a.cut, 0, a.literal) + m.literal, 0),
+      'equal', if(m.equal, a.equal + 1, 0))), s -> transform(array(greatest(
+        if(i + 1 - s.cut >= {RUN} and 100 * s.literal >= {LITERAL_PERCENT} * (i + 1 - s.cut), i + 1 - s.cut, 0),
+        if(s.equal >= {RUN}, s.equal, 0),
+        if(a.run = 0 and i + 1 - s.left >= {RUN}, coalesce(array_max(filter(sequence({RUN}, least({2 * RUN - 1}, i + 1 - s.left)),
+          n -> 100 * aggregate(slice(marks, i + 2 - n, n), 0, (c, x) -> c + x.literal) >= {LITERAL_PERCENT} * n)), 0), 0))),
+      r -> named_struct('left', s.left, 'cut', s.cut, 'literal', s.literal, 'equal', s.equal,
+                        'run', greatest(a.run, r), 'end', if(r > a.run, i + 1, a.end)))[0])[0])"""
+
+
+def _bare(word: Column) -> Column:
+    """A word without the placeholder before it."""
+    return F.when(_is_slot(word), F.substring(word, 2, 1 << 30)).otherwise(word)
+
+
+def _is_slot(word: Column) -> Column:
+    return word.startswith(NAME) | word.startswith(NUMBER) | word.startswith(UNIT)
+
+
+def _earlier(words: Column) -> Column:
+    """For each word where the same word stands last before it, or -1."""
+    at = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    pairs = _let(at, lambda s: F.transform(s, lambda x, k: F.struct(
+        x["i"].alias("i"), F.when(F.get(s, k - 1)["w"] == x["w"], F.get(s, k - 1)["i"]).otherwise(-1).alias("earlier"))))
+    return F.transform(F.array_sort(pairs), lambda x: x["earlier"])
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> tuple[DataFrame, list[str]]:
     """One row for each document and item that share a run: doc_id, text_hash, item_id, run, slots, changed_slots. And scratch paths.
 
-    ``run`` counts template words; a run whose slots are filled inconsistently (one value of the item by two of the document) does not
-    count. NULL texts share nothing; items below ``RUN`` template words are too short to be told from chance and not
+    ``run`` counts template words. Where slots are filled inconsistently (one value of the item by two of the document) the run is cut, and
+    any stretch of ``RUN`` or more consistent words counts. NULL texts share nothing; items below ``RUN`` template words are too short to be told from chance and not
     searched. Rows that repeat give one row; other columns are not looked at.
     """
     spark = docs.sparkSession
@@ -96,19 +125,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text:
         "doc_id", "text_hash", "item_id", "shift", tokens(F.col("text"), True).alias("words"))
     pairs = pairs.join(bounded(items), "item_id")
     beside = F.transform("item", lambda x, i: F.get(F.col("words"), i + F.col("shift")))
-    aligned = pairs.select("doc_id", "text_hash", "item_id", "item", "item_template", beside.alias("beside"))
+    aligned = pairs.select("doc_id", "text_hash", "item_id", "item", "item_template", "earlier", beside.alias("beside"))
     cut, p_cut = store(aligned, "bench-aligned")  # also keeps the steps below from being computed for each element
-    same = cut.withColumn("same", F.zip_with("item_template", F.transform("beside", _template), lambda a, b: F.coalesce(a == b, F.lit(False))))
-    best = same.withColumn("run", F.expr(_BEST)).filter(F.col("run.best") >= RUN)
-    pick = F.slice(F.arrays_zip("item", "beside"), F.col("run.end") - F.col("run.best") + 1, F.col("run.best"))
-    filled = best.select("doc_id", "text_hash", "item_id", F.col("run.best").alias("run"), F.filter(pick, lambda p: _template(p["item"]) != p["item"]).alias("slots"))
-    consistent = F.size(F.array_distinct("slots")) == F.size(F.array_distinct(F.transform("slots", lambda p: p["item"])))
-    literal = 100 * (F.col("run") - F.size("slots")) >= LITERAL_PERCENT * F.col("run")
-    counted = filled.filter(consistent & literal).select("doc_id", "text_hash", "item_id", "run", F.size("slots").alias("slots"),
-                                                         F.size(F.filter("slots", lambda p: p["item"] != p["beside"])).alias("changed"))
+    clash = F.transform("earlier", lambda e, i: F.when((e >= 0) & (F.get("beside", e) != F.get("beside", i)), e).otherwise(-1))
+    marked, p_marked = store(cut.select("doc_id", "text_hash", "item_id", "item", "beside", F.transform(
+        F.arrays_zip("item_template", F.transform("beside", _template).alias("other"), "item", "beside", clash.alias("clash")), lambda x: F.struct(
+            F.coalesce(x["item_template"] == x["other"], F.lit(False)).alias("same"), F.coalesce(x["item"] == x["beside"], F.lit(False)).alias("equal"),
+            (x["item_template"] == x["item"]).cast("int").alias("literal"), x["clash"].alias("clash"))).alias("marks")), "bench-marked")
+    best = marked.withColumn("best", F.expr(_BEST)).filter("best.run > 0")
+    pick = F.slice(F.arrays_zip("item", "beside"), F.col("best.end") - F.col("best.run") + 1, F.col("best.run"))
+    filled = best.select("doc_id", "text_hash", "item_id", F.col("best.run").alias("run"), F.filter(pick, lambda p: _is_slot(p["item"])).alias("slots"))
+    counted = filled.select("doc_id", "text_hash", "item_id", "run", F.size("slots").alias("slots"),
+                            F.size(F.filter("slots", lambda p: p["item"] != p["beside"])).alias("changed"))
     found, p_found = store(counted.groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct("run", "slots", "changed")).alias("m")).select(
         "doc_id", "text_hash", "item_id", "m.run", "m.slots", F.col("m.changed").alias("changed_slots")), "bench-found")
-    drop(spark, p_items, p_windows, p_hits, p_cut)
+    drop(spark, p_items, p_windows, p_hits, p_cut, p_marked)
     return found, [p_found]
 
 

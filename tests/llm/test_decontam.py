@@ -66,3 +66,20 @@ def test_query_finds_every_whole_item(spark, sf):
     near = {d for d, t in docs.items() if any(tuple(w[k : k + 8]) in windows for w in [t.split()] for k in range(len(w) - 7))}
     gone = {r.doc_id for r in QUERIES["op4_decontamination"](spark, sf).collect() if not r.kept}
     assert holds <= gone <= near
+
+
+def hits(spark, items, docs):
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    return {(r.doc_id, r.item_id): r.run for r in decontam.matches(spark.createDataFrame(docs, "doc_id int, text string"), bench)[0].collect()}
+
+
+def test_consistent_stretches_of_an_inconsistent_run_count(spark):
+    w = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40)]
+    w[5] = w[35] = "5"
+    other = [*w[:35], "6", *w[36:]]
+    roles = "she buys {} ripe apples at the market and pays {} whole dollars for them all before noon today".format
+    early = "take {} red beads and then {} blue beads away from me and hide the rest at home".format  # only a stretch between the cuts is long enough
+    mixed = ["1", "2", "aa", "1", *(f"x{chr(97 + i)}" for i in range(12))]
+    docs = [(1, " ".join(other)), (2, roles(7, 9)), (3, early(7, 9)), (4, " ".join(["3", "2", "aa", "4", *mixed[4:]])), (5, " ".join(["8", *mixed[1:12], "end"]))]
+    got = hits(spark, [(1, " ".join(w)), (2, roles(5, 5)), (3, early(5, 5)), (4, " ".join(mixed))], docs)
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (4, 4)} and got[1, 1] == 35
