@@ -83,3 +83,20 @@ def test_consistent_stretches_of_an_inconsistent_run_count(spark):
     docs = [(1, " ".join(other)), (2, roles(7, 9)), (3, early(7, 9)), (4, " ".join(["3", "2", "aa", "4", *mixed[4:]])), (5, " ".join(["8", *mixed[1:12], "end"]))]
     got = hits(spark, [(1, " ".join(w)), (2, roles(5, 5)), (3, early(5, 5)), (4, " ".join(mixed))], docs)
     assert set(got) == {(1, 1), (2, 2), (3, 3), (4, 4)} and got[1, 1] == 35
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_dense_short_and_reflowed_items_are_found(spark, monkeypatch, most):
+    monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", most)
+    monkeypatch.setattr(decontam, "WINDOWS_A_TASK", 1)
+    dense = "add up {} {} {} {} {} {} then write the whole result".format
+    series = "1 1 2 3 5 8 13 21 34 55 89 144 233 377"
+    named = "yesterday {} walked with {} over the long bridge to see {} and {} again".format
+    items = [(1, dense(1, 2, 3, 4, 5, 6)), (2, series), (3, "What is the capital of Peru?"), (4, named("Ann", "Bob", "Cid", "Dan")), (None, "one item without any id that has more than a dozen words in it"), (6, "Why?")]
+    docs = [(k, "pad " * k + dense(9, 8, 7, 11, 12, 13)) for k in range(6)]
+    docs += [(10 + k, "pad " * k + series) for k in range(7)]
+    docs += [(20, "He asked: WHAT is\nthe capital  of peru"), (21, "what is the capital of Chile, in Peru"), (22, "\n".join(named("Eve", "Fay", "Gus", "Hal").split())), (23, named("Eve", "Fay", "Gus", "Hal").replace(" ", " \t")),
+             (24, series.replace("13", "14")), (25, "pad one item without any id that has more than a dozen words in it"), (26, "and why not")]
+    got = hits(spark, items, docs)
+    assert set(got) == {(k, 1) for k in range(6)} | {(10 + k, 2) for k in range(7)} | {(20, 3), (22, 4), (23, 4), (25, None), (26, 6)}
+    assert got[10, 2] == 14 and got[20, 3] == 6
