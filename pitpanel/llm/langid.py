@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pitpanel.llm.common import over_text, slices, utf8
 
 UNKNOWN = "und"
-#: Labelled texts used for each language, about (a fixed share by hash of the text).
+#: Different labelled texts used for each language, about (a fixed share by hash of the text).
 SAMPLE_TEXTS = 2_000
 #: An n-gram is a language's own if it makes up this share of the n-grams of its texts, each text counting one once. So a language
 #: has 1 / LEAST_SHARE of them at most.
@@ -97,11 +97,12 @@ def _has_letter(texts: pa.Array) -> np.ndarray:
 def learn(labelled: DataFrame, lang: str = "lang", text: str = "text", sample: int = SAMPLE_TEXTS) -> LanguageFilter:
     """Fill the filter from labelled texts; rows without text or language are left out.
 
-    About ``sample`` texts of each language are used, chosen by a hash of the text; of those, whole texts count. What the
-    driver receives is at most 1 / LEAST_SHARE n-grams for each of at most ``MOST_LANGUAGES`` languages.
+    About ``sample`` different texts of each language are used, chosen by a hash of the text; of those, whole texts count, each once
+    however many copies it has. What the driver receives is at most 1 / LEAST_SHARE n-grams for each of at most ``MOST_LANGUAGES`` languages.
     """
     known = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()
+    texts = known.select("lang", F.xxhash64("text").alias("text_hash")).distinct()
+    counts = texts.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     languages = sorted(r["lang"] for r in counts)
@@ -110,7 +111,7 @@ def learn(labelled: DataFrame, lang: str = "lang", text: str = "text", sample: i
     if not languages:
         return LanguageFilter([], cells, np.zeros(0))
     share = F.coalesce(*(F.when(F.col("lang") == r["lang"], min(1.0, sample / r["count"])) for r in counts))
-    chosen = known.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
+    chosen = known.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20)).distinct()
 
     def count(batches):
         for batch in batches:

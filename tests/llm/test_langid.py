@@ -1,5 +1,6 @@
 """Language filters: held-out accuracy, and texts that are odd."""
 
+import random
 import zlib
 
 from pitpanel.llm import langid
@@ -33,3 +34,11 @@ def test_nothing_learned_and_no_rows(spark):
     assert model.predict(empty, ["doc_id"]).collect() == []
     docs = spark.createDataFrame([(1, "words"), (1, "words")], "doc_id int, text string")
     assert [tuple(r) for r in model.predict(docs, ["doc_id"]).collect()] == [(1, "und", 0.0)] * 2
+
+
+def test_copies_of_a_text_weigh_no_more_than_the_text(spark):
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(30)) for _ in range(60)]
+    alone, copied = (langid.learn(spark.createDataFrame([(t, "en") for t in [*texts, *texts[:1] * n]], "text string, lang string"), sample=sample)
+                     for n, sample in ((0, 60), (3000, 60)))
+    assert (alone.cells == copied.cells).all() and alone.cells.sum() > 5000
