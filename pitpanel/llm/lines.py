@@ -7,6 +7,7 @@ decides, and components over the links are the groups. Equal lines are one node
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,8 @@ from pitpanel.llm.common import SEPARATORS, drop, mix, powers, slices, store
 
 #: Characters of a shingle; a shorter line is one shingle. Similarity of a link in hundredths.
 SHINGLE, SIMILAR = 8, 80
-#: 10 bands of 4 values share a bucket with a probability of 0.995 at similarity 0.8, and 0.9994 at 0.85.
-BANDS, ROWS = 10, 4
+#: 24 bands of 4 values miss a pair at similarity 0.8 with a probability of 3e-6. So many bands are shuffled at once.
+BANDS, ROWS, BANDS_AT_ONCE = 24, 4, 8
 #: Lines are short, so a bucket that round one leaves open may be finished with so many pairs.
 PAIRS_A_BUCKET = 512
 
@@ -145,8 +146,12 @@ def group_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     """
     spark = docs.sparkSession
     keyed = _keyed(docs, id_col, text)
-    lines, p_lines = store(_signed(keyed), "lines")
-    members, p_members = store(members_of(lines.select(F.explode("bands").alias("key"), F.col("node").alias("rep"))).distinct(), "line-members")
+    signed, p_signed = store(_signed(keyed), "line-signed")
+    some = [F.explode(F.slice("bands", k + 1, BANDS_AT_ONCE)).alias("key") for k in range(0, BANDS, BANDS_AT_ONCE)]
+    parts, p_members = zip(*(store(members_of(signed.select(key, F.col("node").alias("rep"))).distinct(), "line-members") for key in some))
+    members = reduce(DataFrame.unionByName, parts)
+    lines, p_lines = store(signed.drop("bands"), "lines")
+    drop(spark, p_signed)
     texts, p_texts = store(_texts_of(keyed, lines, members.select("rep").distinct()), "line-texts")
     roots, p_roots = grouped(members, texts, shingle_sets, SIMILAR, pairs_a_bucket=PAIRS_A_BUCKET)
     distinct = lines.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash", "line")).alias("first"), F.count(F.lit(1)).alias("n"),
@@ -155,7 +160,7 @@ def group_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     named, p_named = store(named, "line-nodes")
     heads, p_heads = store(named.filter("not clash").groupBy("group").agg(F.min("first").alias("head"), F.sum("n").alias("n_in_group")), "line-groups")
     nodes, p_nodes = store(named.join(heads, "group", "left").select("node", "group", "clash", "head", "n_in_group"), "line-heads")
-    drop(spark, p_members, p_texts, *p_roots, p_named, p_heads)
+    drop(spark, *p_members, p_texts, *p_roots, p_named, p_heads)
     own = F.struct("doc_id", "text_hash", "line")
     out = lines.select("doc_id", "text_hash", "line", "node").join(nodes, "node")
     kept = F.col("clash") | own.eqNullSafe(F.col("head"))

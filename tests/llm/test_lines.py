@@ -109,3 +109,13 @@ def test_odd_rows(spark):
     assert (1, "other") in clean and (1, "") in clean and (2, " \n\t\r") in clean and (4, "x\n") in clean and len(clean) == len(rows)
     empty = docs.limit(0)
     assert lines.group_lines(empty)[0].collect() == [] and lines.without_lines(empty, lines.group_lines(empty)[0]).collect() == []
+
+
+def test_no_pair_at_the_threshold_is_missed(spark):
+    rng = random.Random(8)
+    docs = []
+    for i in range(3000):  # one character of 80: similarity 65 / 81
+        own = [rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(80)]
+        docs.append((i, "".join(own) + "\n" + "".join([*own[:40], "-", *own[41:]])))
+    out = lines.group_lines(spark.createDataFrame(docs, "doc_id long, text string"))[0].collect()
+    assert len(out) == 6000 and {(r.n_in_group, r.kept) for r in out} == {(2, True), (2, False)}
