@@ -19,7 +19,7 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SLICE_BYTES = 1_000_000
 
 
-def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def store(df: DataFrame, name: str, codec: str = "snappy") -> tuple[DataFrame, str]:
     """Write rows to the shared folder and read them back; also the path, for ``drop``.
 
     The files outlive executors, and the shuffle files behind them are released when the write ends.
@@ -29,7 +29,7 @@ def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
     finally:
         if before is None:
             spark.conf.unset(_CLEANUP)

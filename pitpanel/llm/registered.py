@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitpanel.llm import bpe, chat, decontam, langid, lines, neardup, quality, repeats, shards, urls
+from pitpanel.llm import bpe, chat, crosstok, decontam, langid, lines, neardup, quality, repeats, shards, urls
 from pitpanel.llm.common import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,6 +132,16 @@ def op4_decontamination(spark, sf_dir):
     return own.join(most, ["doc_id", "text_hash"], "left").select("doc_id", "kept", "m.item_id", "m.run", "m.slots", "m.changed_slots")
 
 
+PIECES = 32_000
+
+
+@query
+def op12_cross_tokenizer(spark, sf_dir):
+    """Every document cut where the tokens of two vocabularies end together, and how common its linked id pairs are."""
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return crosstok.aligned_scores(_table(spark, sf_dir, "documents"), *files, PIECES)[0]
+
+
 @query
 def pipeline(spark, sf_dir):
     """The whole corpus pipeline over the documents."""
