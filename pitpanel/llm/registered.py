@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitpanel.llm import bpe, chat, crosstok, decontam, langid, lines, neardup, quality, repeats, shards, urls
+from pitpanel.llm import bpe, chat, crosstok, decontam, langid, lines, neardup, quality, repeats, shards, urls, variants
 from pitpanel.llm.common import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,6 +142,12 @@ def op12_cross_tokenizer(spark, sf_dir):
     return crosstok.aligned_scores(_table(spark, sf_dir, "documents"), *files, PIECES)[0]
 
 
+@query
+def op13_spelling_variants(spark, sf_dir):
+    """Every frequent word of the documents, its more frequent variant, and the end of that chain."""
+    return variants.group_variants(variants.word_counts(_table(spark, sf_dir, "documents")))[0]
+
+
 @query
 def pipeline(spark, sf_dir):
     """The whole corpus pipeline over the documents."""
