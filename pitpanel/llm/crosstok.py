@@ -16,22 +16,29 @@ import hashlib
 import json
 import os
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitpanel.llm.common import drop, over_text, slices, store
+from pitpanel.llm.common import SLICE_BYTES, drop, over_text, slices, store
 
 LANE = 32
 #: Pairs with their counts that are broadcast at most.
 HEAD_PAIRS = 1_000_000
 #: Distinct pairs that a task gathers before it hands on what it has counted.
 GATHER = 2_000_000
+#: Pieces of text kept with their ids between slices of texts.
+PIECES = 200_000
 _FAR = np.int64(2**62)
+# How byte-level vocabularies split a text before they merge.
+_SPLITTER = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -41,8 +48,16 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+# Characters on which all engines agree what is a letter, a number, a space or neither.
+_PLAIN = regex.compile("[\t\n\r -~\u00a1-\u00ac\u00ae-\u024f\u2010-\u2027\u2030-\u205e]*")
+
+
 class ByteLevel:
-    """A byte-level vocabulary (tokenizer JSON): encodes space + text without special tokens."""
+    """A byte-level vocabulary (tokenizer JSON): encodes space + text without special tokens.
+
+    Merges never cross the pieces into which the pattern splits a text. Texts of plain characters are therefore split here, and each distinct piece is
+    encoded by the library once while it is remembered (``PIECES`` at most); other texts go through the library whole.
+    """
 
     def __init__(self, content: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -56,9 +71,37 @@ class ByteLevel:
         self.tokens = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             self.tokens[i] = token.encode() if token in special else bytes(alphabet[c] for c in token)
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        self.tokens = np.array(self.tokens, object)
+
+        self.own_split = json.loads(content).get("pre_tokenizer") == _SPLITTER and self.model.normalizer is None
+        self.known: dict[str, bytes] = {}
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: set[str]) -> None:
+        fresh = list(pieces.difference(self.known))
+        if len(self.known) + len(fresh) > PIECES:
+            self.known.clear()
+            fresh = list(pieces)
+        self.known.update(zip(fresh, self._library(fresh)))
+
+    def _pieces(self, text: str) -> bytes:
+        """A text in parts, so that never all pieces of a very long one are held."""
+        found, out = _SPLIT.finditer(text), []
+        while some := [m.group() for m in islice(found, PIECES // 2)]:
+            self._learn(set(some))
+            out.append(b"".join(map(self.known.__getitem__, some)))
+        return b"".join(out)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        every = [" " + t for t in texts]
+        plain = [self.own_split and _PLAIN.fullmatch(t) is not None for t in every]
+        split = [_SPLIT.findall(t) if p and len(t) < SLICE_BYTES else None for p, t in zip(plain, every)]
+        self._learn(set().union(*(s for s in split if s)))
+        whole = iter(self._library([t for p, t in zip(plain, every) if not p]))
+        ready = [b"".join(map(self.known.__getitem__, s)) if s is not None else None for s in split]
+        return [np.frombuffer(r if r is not None else self._pieces(t) if p else next(whole), "<u4") for r, p, t in zip(ready, plain, every)]
 
 
 class Pieces:
@@ -72,9 +115,10 @@ class Pieces:
         for i in range(self.model.vocab_size()):
             piece = self.model.id_to_piece(i)
             self.tokens.append(bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode())
+        self.tokens = np.array(self.tokens, object)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x, "<u4") for x in self.model.encode(texts, num_threads=1)]
 
 
 def gallop(values: np.ndarray, longer: np.ndarray) -> np.ndarray:
@@ -135,10 +179,9 @@ class _Aligner:
         every = texts.to_pylist()
         ids = [side.encode(every) for side in self.sides]
         whole = [(" " + t).encode() for t in every]
-        good = [bool(t) and all(b"".join(map(side.tokens.__getitem__, own[d])) == w for side, own in zip(self.sides, ids))
-                for d, (t, w) in enumerate(zip(every, whole))]
+        good = [bool(t) and all(b"".join(side.tokens[own[d]].tolist()) == w for side, own in zip(self.sides, ids)) for d, (t, w) in enumerate(zip(every, whole))]
         sizes = np.array([[len(own[d]) if good[d] else 0 for d in range(len(every))] for own in ids], np.int64)
-        flat = [np.array([i for d, x in enumerate(own) if good[d] for i in x], np.int64) for own in ids]
+        flat = [np.concatenate([np.zeros(0, "<u4"), *(x for d, x in enumerate(own) if good[d])]).astype(np.int64) for own in ids]
         ends = [np.cumsum(n[f]) for n, f in zip(self.lengths, flat)]
         bounds = [np.concatenate([[0], np.cumsum(s)]) for s in sizes]
         first, last = np.zeros(len(flat[0]), np.int64), np.zeros(len(flat[0]), np.int64)
