@@ -1,99 +1,132 @@
-"""From buckets of candidates to connected groups, without ever pairing up a bucket.
+"""From buckets of candidates to connected groups, without ever pairing up a bucket in the plan.
 
 Round one tests each member against the least member of its buckets. A bucket whose members then form one component is settled: no
-other pair in it could change anything. Where verifying is cheap, members outside a bucket's largest component are tested against a few
-of that component next, and small buckets are finished pair by pair. Members of all other buckets are joined on their rarest shingles, which finds every pair of the
-wanted similarity: a pair's first common shingle, rarest first, stands early in both sets and nearest to the front in the smaller one
-(the prefix and position filters of set joins). Only pairs across components are formed.
+other pair in it could change anything; so is a bucket of two whose pair was just tested, and of buckets with the same members one is enough.
+In round two each open bucket goes through one task, which keeps a union-find of its members: a member is compared with members of other components
+only, and only links that join two components leave the task. A bucket too large for one task is cut into blocks, and every pair of
+blocks goes through a task, so rows grow with the number of blocks and not with the number of pairs. Both rounds decide on the full sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pitpanel.llm.common import drop, slices, store
 from pitpanel.llm.components import connected
 
-#: Members of a bucket's largest component that each of its other members is tested against in round two.
-PARTNERS = 4
-#: Pairs of one member that are verified by one task.
+#: Members of a block, and code points of their texts.
+BLOCK_ROWS, BLOCK_CHARS = 2_000, 8_000_000
+#: Pairs of one member that are verified by one task in round one.
 PAIRS_A_TASK = 2_000
 
 Sets = Callable[[pa.Array], list[np.ndarray]]
 
 
 def members_of(keyed: DataFrame) -> DataFrame:
-    """(key, rep, lead) of the rows (key, rep) whose key others share; lead is the least of them."""
-    buckets = keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).filter("lead < last").drop("last")
-    return keyed.join(buckets, "key").select("key", "rep", "lead")
+    """(key, rep, lead) of the rows (key, rep) whose key others share; lead is the least of them. Of keys with the same rows one is kept."""
+    keyed = keyed.repartition("key")
+    buckets = keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("all"))
+    kept = buckets.filter("lead < last").groupBy("lead", "last", "n", "all").agg(F.min("key").alias("key")).select("key", "lead")
+    return keyed.join(kept, "key").select("key", "rep", "lead")
 
 
 def grouped(members: DataFrame, texts: DataFrame, sets: Sets, similar: int, prune: Callable[[DataFrame], DataFrame] | None = None,
-            pairs_a_bucket: int = 0) -> tuple[DataFrame, list[str]]:
+            block_rows: int = BLOCK_ROWS, block_chars: int = BLOCK_CHARS) -> tuple[DataFrame, list[str]]:
     """(node, root) for every member that is linked to another, and the scratch paths behind it.
 
     ``members`` has (key, rep, lead), ``texts`` (rep, text) for all of them; both are stored. ``sets`` gives the shingles of texts; a link
-    takes ``similar`` hundredths of their union. ``prune`` may drop candidate pairs (a, b) before they are verified. With ``pairs_a_bucket`` round two is
-    done, and what is left of a bucket is paired up if that takes so many pairs at most; it changes the cost, not the result.
+    takes ``similar`` hundredths of their union. ``prune`` may drop candidate pairs (a, b) of round one before they are verified.
+    The sizes of blocks change the cost, not the result.
     """
     spark = members.sparkSession
-    scratch: list[str] = []
-
-    def links(pairs: DataFrame) -> DataFrame:
-        candidates, p = store(prune(pairs) if prune else pairs, "candidates")
-        found, q = store(verified(candidates, texts, sets, similar), "links")
-        scratch.extend([p, q])
-        return found
-
-    found = links(members.filter("lead < rep").groupBy(F.col("rep").alias("b")).agg(F.min("lead").alias("a")).select("a", "b"))
+    tested, p_tested = store(members.filter("lead < rep").groupBy(F.col("rep").alias("b")).agg(F.min("lead").alias("a")).select("a", "b"), "candidates")
+    found, p_found = store(verified(prune(tested) if prune else tested, texts, sets, similar), "links")
     roots, p_roots = connected(found)
-    labelled, p = store(members.select("key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "key", "rep", F.coalesce("root", "rep").alias("comp")), "buckets")
-    scratch.append(p)
-    if pairs_a_bucket:
-        found = found.unionByName(links(_stray_pairs(labelled, PARTNERS)))
-        drop(spark, *p_roots)
-        roots, p_roots = connected(found)
-        labelled, p = store(labelled.drop("comp").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "key", "rep", F.coalesce("root", "rep").alias("comp")), "buckets")
-        scratch.append(p)
-    mixed, p = store(_mixed(labelled).select("key", (F.col("n") * (F.col("n") - F.col("most"))).alias("pairs")), "mixed")
-    scratch.append(p)
-    if pairs_a_bucket:
-        found = found.unionByName(links(_stray_pairs(labelled.join(mixed.filter(F.col("pairs") <= pairs_a_bucket).select("key"), "key"))))
-    open_, p = store(labelled.join(mixed.filter(F.col("pairs") > pairs_a_bucket).select("key"), "key").select("rep", "comp").distinct(), "unsettled")
-    scratch.append(p)
-    found = found.unionByName(links(_rare_pairs(open_, texts, sets, similar)))
+    sizes = texts.groupBy("rep").agg(F.max(F.length("text")).alias("chars"))
+    labelled = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(tested.toDF("tested", "rep"), "rep", "left").join(sizes, "rep").select(
+        "key", "rep", F.coalesce("root", "rep").alias("comp"), "chars", ((F.col("rep") == F.col("lead")) | (F.col("lead") == F.col("tested"))).alias("done"))
+    labelled, p_labelled = store(labelled, "buckets")
+    open_, p_open = store(_open(labelled, block_rows, block_chars), "open")
+    more, p_more = store(_linked(labelled.join(open_, "key"), texts, sets, similar), "links")
     drop(spark, *p_roots)
-    roots, p_roots = connected(found)
-    drop(spark, *scratch)
+    roots, p_roots = connected(found.unionByName(more))
+    drop(spark, p_tested, p_found, p_labelled, p_open, p_more)
     return roots, p_roots
 
 
-def _mixed(members: DataFrame) -> DataFrame:
-    """(key, n, most, largest): size, and size and name of the largest component, of every key with several components."""
-    sizes = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    whole = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("m"), F.count(F.lit(1)).alias("comps"))
-    return whole.filter("comps > 1").select("key", "n", F.col("m.n").alias("most"), F.col("m.comp").alias("largest"))
+def _open(labelled: DataFrame, block_rows: int, block_chars: int) -> DataFrame:
+    """(key, blocks) of the buckets in which links may still be missing."""
+    stats = labelled.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("n"), F.min("done").alias("done"), F.sum("chars").alias("chars"))
+    left = stats.filter((F.col("c1") < F.col("c2")) & ~((F.col("n") == 2) & F.col("done")))
+    return left.select("key", F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("chars") / block_chars)).cast("int").alias("blocks"))
 
 
-def _stray_pairs(members: DataFrame, partners: int = 0) -> DataFrame:
-    """Within each key, members outside the largest component against the members of other components, or against
-    that many of the largest one, chosen by hash. members: key, rep, comp."""
-    inside = members.join(_mixed(members).select("key", "largest"), "key")
-    strays = inside.filter("comp <> largest").select("key", F.col("rep").alias("x"), F.col("comp").alias("cx"))
-    others = inside.select("key", "rep", "comp")
-    if partners:
-        picks = [F.min_by(F.struct("rep", "comp"), F.xxhash64("rep", F.lit(k))) for k in range(partners)]
-        others = inside.filter("comp = largest").groupBy("key").agg(F.array(*picks).alias("picks")).select("key", F.inline("picks"))
-    met = strays.join(others, "key").filter("cx <> comp")
-    return met.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
+def _linked(rows: DataFrame, texts: DataFrame, sets: Sets, similar: int) -> DataFrame:
+    """Links (a, b) that join components within a bucket. rows: key, rep, comp, blocks."""
+    own = F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j")))
+    dealt = rows.withColumn("own", own).withColumn("cell", F.explode(cells)).select("key", "cell.i", "cell.j", (F.col("own") == F.col("cell.i")).alias("first"), "rep", "comp")
+    full = dealt.join(texts, "rep").select("key", "i", "j", "first", "comp", "rep", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    schema = f"a {rows.schema['rep'].dataType.simpleString()}, b {rows.schema['rep'].dataType.simpleString()}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held, out = None, [], []
+        for batch in batches:
+            for part in slices(batch, 6):
+                for row in zip(*(part.column(c).to_pylist() for c in range(6)), sets(part.column(6))):
+                    if row[:3] != name:
+                        out += joining(held, similar)
+                        name, held = row[:3], []
+                    held.append(row)
+                if len(out) > 10_000:
+                    yield _pairs(out)
+                    out = []
+        yield _pairs(out + joining(held, similar))
+
+    def _pairs(out: list[tuple]) -> pa.RecordBatch:
+        kind = pa.string() if out and isinstance(out[0][0], str) else pa.int64()
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i in (0, 1)], names=["a", "b"])
+
+    return full.mapInArrow(run, schema)
+
+
+def joining(rows: list[tuple], similar: int) -> list[tuple]:
+    """The links among rows (key, i, j, first, component, rep, set) that join two components; between two blocks only those across them."""
+    if len({r[4] for r in rows}) < 2:
+        return []
+    across = rows[0][1] != rows[0][2]
+    names: dict[object, int] = {}
+    comp = np.array([names.setdefault(r[4], len(names)) for r in rows])
+    side = np.array([r[3] for r in rows])
+    size = np.array([len(r[6]) for r in rows])
+    order = np.argsort(size, kind="stable")
+    comp, side, size = comp[order], side[order], size[order]
+    own = [rows[k] for k in order]
+    elements, ids = np.unique(np.concatenate([r[6] for r in own]), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(size)])
+    marked, out = np.zeros(len(elements), bool), []
+    for k in range(1, len(own)):
+        low = np.searchsorted(size, -(-similar * size[k] // 100))  # shorter ones cannot be similar
+        others = np.arange(low, k)
+        others = others[(comp[low:k] != comp[k]) & (side[low:k] != side[k] if across else True)]
+        if not len(others):
+            continue
+        mine = ids[starts[k] : starts[k + 1]]
+        marked[mine] = True
+        n = size[others]
+        at = np.repeat(starts[others] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        both = np.add.reduceat(marked[ids[at]].astype(np.int64), np.concatenate([[0], np.cumsum(n)[:-1]]))
+        marked[mine] = False
+        for m in others[100 * both >= similar * (n + size[k] - both)]:
+            if comp[m] != comp[k]:
+                out.append((min(own[m][5], own[k][5]), max(own[m][5], own[k][5])))
+                comp[comp == comp[m]] = comp[k]
+    return out
 
 
 def verified(pairs: DataFrame, texts: DataFrame, sets: Sets, similar: int) -> DataFrame:
@@ -124,35 +157,3 @@ def verified(pairs: DataFrame, texts: DataFrame, sets: Sets, similar: int) -> Da
 def similar_sets(x: np.ndarray, y: np.ndarray, similar: int) -> bool:
     both = len(np.intersect1d(x, y, True))
     return 100 * both >= similar * (len(x) + len(y) - both)
-
-
-def _rare_pairs(members: DataFrame, texts: DataFrame, sets: Sets, similar: int) -> DataFrame:
-    """Pairs across components that share an early shingle, as every similar pair does. members: rep, comp.
-
-    Within a shingle, members outside its largest component meet the others, so those of a large component do not meet each other.
-    """
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, 1):
-                own = sets(part.column(1))
-                sizes = [len(s) for s in own]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(len(own)), sizes))),
-                                                  pa.array(np.repeat(sizes, sizes), pa.int64()), pa.array(np.concatenate(own).view(np.int64))], names=["rep", "n", "shingle"])
-
-    some = texts.join(members.select("rep"), "rep", "left_semi").select("rep", "text")
-    shingles = some.mapInArrow(run, T.StructType([some.schema["rep"], *T._parse_datatype_string("n long, shingle long").fields]))
-    counted = shingles.join(shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("docs")), "shingle")
-    ranked = counted.withColumn("at", F.expr("row_number() over (partition by rep order by docs, shingle)")).filter("docs > 1")
-    early = F.col("at") <= F.col("n") - F.ceil(F.col("n") * 2 * similar / (100 + similar)) + 1
-    prefix = ranked.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * similar / 100) + 1).withColumn("early", early).join(members, "rep")
-    shares = prefix.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("c"), F.max("early").alias("early"))
-    useful = shares.groupBy("shingle").agg(F.max(F.struct("c", "comp"))["comp"].alias("largest"), F.count(F.lit(1)).alias("comps"),
-                                           F.max("early").alias("any_early")).filter("comps > 1 and any_early").select("shingle", "largest")
-    inside = prefix.join(useful, "shingle").select("shingle", "rep", "comp", "n", "at", "early", "largest")
-    x = inside.filter("comp <> largest").select("shingle", *(F.col(c).alias("x_" + c) for c in ("rep", "comp", "n", "at", "early")))
-    left_over = F.least(F.col("n") - F.col("at"), F.col("x_n") - F.col("x_at")) + 1
-    fits = (F.col("comp") != F.col("x_comp")) & ((F.col("early") & (F.col("n") <= F.col("x_n"))) | (F.col("x_early") & (F.col("x_n") <= F.col("n")))) & (
-        left_over * (100 + similar) >= similar * (F.col("n") + F.col("x_n")))
-    met = x.join(inside.drop("largest"), "shingle").filter(fits)
-    return met.select(F.least("x_rep", "rep").alias("a"), F.greatest("x_rep", "rep").alias("b")).distinct()

@@ -7,7 +7,6 @@ decides, and components over the links are the groups. Equal lines are one node
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +19,8 @@ from pitpanel.llm.common import SEPARATORS, drop, mix, powers, slices, store
 
 #: Characters of a shingle; a shorter line is one shingle. Similarity of a link in hundredths.
 SHINGLE, SIMILAR = 8, 80
-#: 24 bands of 4 values miss a pair at similarity 0.8 with a probability of 3e-6. So many bands are shuffled at once.
-BANDS, ROWS, BANDS_AT_ONCE = 24, 4, 8
-#: Lines are short, so a bucket that round one leaves open may be finished with so many pairs.
-PAIRS_A_BUCKET = 512
+#: 18 bands of 3 values miss a pair at similarity 0.8 with a probability of 2e-6.
+BANDS, ROWS = 18, 3
 
 _SEEDS = np.random.default_rng(9)
 _A = _SEEDS.integers(0, 2**31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -81,21 +78,25 @@ def _lines(texts: list[str]) -> tuple[np.ndarray, ...]:
 
 
 def _sign(texts: list[str]) -> tuple[np.ndarray, ...]:
-    """For each line with a word: its text, number, two hashes, and its band keys."""
+    """For each line with a word: its text, number, two hashes; then which lines are the first with their hash here, and the band keys of those."""
     points, doc, number, starts, ends = _lines(texts)
     if not len(doc):
-        return doc, number, doc.astype(np.int64), doc.astype(np.int64), np.zeros((0, BANDS), np.int64)
+        return doc, number, doc.astype(np.int64), doc.astype(np.int64), doc.astype(bool), np.zeros((0, BANDS), np.int64)
     grams, first, whole = _shingles(points, starts, ends)
+    second = mix(np.add.reduceat(mix(grams), first) + whole)
+    _, heads = np.unique(whole, return_index=True)
+    fresh = np.zeros(len(doc), bool)
+    fresh[heads] = True
+    grams, first, _ = _shingles(points, starts[fresh], ends[fresh])
     short = ((grams ^ (grams >> np.uint64(29))) * _ODD >> np.uint64(32)).astype(np.uint32)
-    keys, k = np.zeros((len(doc), BANDS), np.uint64), 0
+    keys, k = np.zeros((len(first), BANDS), np.uint64), 0
     for band in range(BANDS):
-        key = np.full(len(doc), band, np.uint64)
+        key = np.full(len(first), band, np.uint64)
         for _ in range(ROWS):
             key = key * _ODD + np.minimum.reduceat(short * _A[k] + _B[k], first)
             k += 1
         keys[:, band] = mix(key)
-    second = mix(np.add.reduceat(mix(grams), first) + whole)
-    return doc, number, whole.view(np.int64), second.view(np.int64), keys.view(np.int64)
+    return doc, number, whole.view(np.int64), second.view(np.int64), fresh, keys.view(np.int64)
 
 
 def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -109,18 +110,20 @@ def _signed(keyed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 2):
-                doc, number, node, check, bands = _sign(part.column(2).to_pylist())
+                doc, number, node, check, fresh, bands = _sign(part.column(2).to_pylist())
                 at = pa.array(doc)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(doc) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
+                # offsets with NULLs: a line that an earlier one of the slice repeats has no bands
+                offsets = np.concatenate([[0], np.cumsum(fresh)]).astype(np.int32) * BANDS
+                lists = pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(~fresh, False)), pa.array(bands.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(number.astype(np.int32)),
                                                   pa.array(node), pa.array(check), lists], names=schema.fieldNames())
 
     return keyed.mapInArrow(run, schema)
 
 
-def _texts_of(keyed: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
+def _texts_of(keyed: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """(rep, text) of the wanted lines, each read from the first document that has it."""
-    firsts = lines.join(wanted, lines.node == wanted.rep).groupBy("rep").agg(F.min(F.struct("doc_id", "text_hash", "line")).alias("m"))
+    firsts = nodes.join(wanted, nodes.node == wanted.rep).select("rep", F.col("first").alias("m"))
     by_doc = firsts.groupBy(F.col("m.doc_id").alias("d"), F.col("m.text_hash").alias("h")).agg(F.collect_list(F.struct(F.col("m.line").alias("line"), "rep")).alias("take"))
     rows = keyed.join(by_doc, keyed.doc_id.eqNullSafe(by_doc.d) & (keyed.text_hash == by_doc.h)).select("take", "text")
 
@@ -147,24 +150,23 @@ def group_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     spark = docs.sparkSession
     keyed = _keyed(docs, id_col, text)
     signed, p_signed = store(_signed(keyed), "line-signed")
-    some = [F.explode(F.slice("bands", k + 1, BANDS_AT_ONCE)).alias("key") for k in range(0, BANDS, BANDS_AT_ONCE)]
-    parts, p_members = zip(*(store(members_of(signed.select(key, F.col("node").alias("rep"))).distinct(), "line-members") for key in some))
-    members = reduce(DataFrame.unionByName, parts)
-    lines, p_lines = store(signed.drop("bands"), "lines")
+    where = F.min(F.struct("doc_id", "text_hash", "line")).alias("first")
+    clash = (F.min("check") != F.max("check")).alias("clash")
+    nodes, p_nodes = store(signed.groupBy("node").agg(where, F.count(F.lit(1)).alias("n"), clash, F.first("bands", True).alias("bands")), "line-nodes")
+    members, p_members = store(members_of(nodes.select(F.explode("bands").alias("key"), F.col("node").alias("rep"))), "line-members")
+    lines, p_lines = store(signed.select("doc_id", "text_hash", "line", "node"), "lines")
     drop(spark, p_signed)
-    texts, p_texts = store(_texts_of(keyed, lines, members.select("rep").distinct()), "line-texts")
-    roots, p_roots = grouped(members, texts, shingle_sets, SIMILAR, pairs_a_bucket=PAIRS_A_BUCKET)
-    distinct = lines.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash", "line")).alias("first"), F.count(F.lit(1)).alias("n"),
-                                         (F.min("check") != F.max("check")).alias("clash"))
-    named = distinct.join(roots, "node", "left").select("node", "first", "n", "clash", F.coalesce("root", "node").alias("group"))
-    named, p_named = store(named, "line-nodes")
+    texts, p_texts = store(_texts_of(keyed, nodes, members.select("rep").distinct()), "line-texts")
+    roots, p_roots = grouped(members, texts, shingle_sets, SIMILAR)
+    named = nodes.select("node", "first", "n", "clash").join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))
+    named, p_named = store(named.select("node", "first", "n", "clash", "group"), "line-named")
     heads, p_heads = store(named.filter("not clash").groupBy("group").agg(F.min("first").alias("head"), F.sum("n").alias("n_in_group")), "line-groups")
-    nodes, p_nodes = store(named.join(heads, "group", "left").select("node", "group", "clash", "head", "n_in_group"), "line-heads")
-    drop(spark, *p_members, p_texts, *p_roots, p_named, p_heads)
+    heads_of, p_heads_of = store(named.join(heads, "group", "left").select("node", "group", "clash", "head", "n_in_group"), "line-heads")
+    drop(spark, p_nodes, p_members, p_texts, *p_roots, p_named, p_heads)
     own = F.struct("doc_id", "text_hash", "line")
-    out = lines.select("doc_id", "text_hash", "line", "node").join(nodes, "node")
+    out = lines.join(heads_of, "node")
     kept = F.col("clash") | own.eqNullSafe(F.col("head"))
-    return out.select("doc_id", "text_hash", "line", "group", F.when(F.col("clash"), F.lit(1)).otherwise(F.col("n_in_group")).alias("n_in_group"), kept.alias("kept")), [p_lines, p_nodes]
+    return out.select("doc_id", "text_hash", "line", "group", F.when(F.col("clash"), F.lit(1)).otherwise(F.col("n_in_group")).alias("n_in_group"), kept.alias("kept")), [p_lines, p_heads_of]
 
 
 def without_lines(docs: DataFrame, grouped_lines: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitpanel.llm import bpe, chat, crosstok, decontam, langid, lines, neardup, quality, repeats, shards, urls, variants
+from pitpanel.llm import bpe, chat, crosstok, decontam, langid, lines, neardup, partenum, quality, repeats, shards, urls, variants
 from pitpanel.llm.common import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,6 +132,12 @@ def op4_decontamination(spark, sf_dir):
     return own.join(most, ["doc_id", "text_hash"], "left").select("doc_id", "kept", "m.item_id", "m.run", "m.slots", "m.changed_slots")
 
 
+@query
+def op11_ngram_jaccard_join(spark, sf_dir):
+    """Groups of documents linked by a Jaccard similarity of 0.85 of their four-word shingles."""
+    return partenum.link(_table(spark, sf_dir, "documents"))[0]
+
+
 PIECES = 32_000
 
 
@@ -186,14 +192,20 @@ SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOS
 NOT (n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words) AND left_percent >= {quality.LEAST_LEFT} AS kept FROM m"""
 
 _LOWER = "translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-ORACLES["op10_near_dedup"] = f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS ws FROM documents),
+
+
+def _components_sql(similar: int) -> str:
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, array_to_string(ws[i:i + 3], ' ') AS g FROM d, LATERAL (SELECT UNNEST(range(1, len(ws) - 2)) AS i) t
   UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM d WHERE len(ws) BETWEEN 1 AND 3) x),
 sizes AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY 1),
 common AS (SELECT a.doc_id AS a, b.doc_id AS b, COUNT(*) AS c FROM s a JOIN s b ON b.g = a.g AND b.doc_id > a.doc_id GROUP BY 1, 2),
-links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= {similar} * (x.n + y.n - c)),
 both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT a, b FROM both_ways UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.b),
 roots AS (SELECT a, MIN(LEAST(a, b)) AS root FROM reach GROUP BY 1)
-SELECT d.doc_id, COALESCE(n, 0) AS n_shingles, COALESCE(root, d.doc_id) AS component_id, COALESCE(root, d.doc_id) = d.doc_id AS kept
-FROM d LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN roots ON roots.a = d.doc_id"""
+SELECT d.doc_id, COALESCE(n, 0) AS n_shingles, COALESCE(root, d.doc_id) AS component_id FROM d LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN roots ON roots.a = d.doc_id"""
+
+
+ORACLES["op10_near_dedup"] = f"SELECT *, component_id = doc_id AS kept FROM ({_components_sql(80)}) x"
+ORACLES["op11_ngram_jaccard_join"] = _components_sql(partenum.SIMILAR)

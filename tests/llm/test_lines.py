@@ -2,10 +2,11 @@
 
 import random
 import re
+from functools import partial
 
 import pytest
 
-from pitpanel.llm import lines
+from pitpanel.llm import buckets, lines
 from pitpanel.llm.registered import QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]")
@@ -57,9 +58,9 @@ def test_query_equals_brute_force(spark, sf):
     assert all(r.n_in_group == sizes[want[r.doc_id, r.line]] for r in out)
 
 
-@pytest.mark.parametrize("pairs", [0, 20, 512])
-def test_families_of_lines_by_either_way(spark, monkeypatch, pairs):
-    monkeypatch.setattr(lines, "PAIRS_A_BUCKET", pairs)
+@pytest.mark.parametrize("block", [4, 20, 2000])
+def test_families_of_lines_in_blocks_of_any_size(spark, monkeypatch, block):
+    monkeypatch.setattr(lines, "grouped", partial(buckets.grouped, block_rows=block))
     rng = random.Random(6)
     letters = "abcdefghijklmnopqrstuvwxyz "
     rows = []
