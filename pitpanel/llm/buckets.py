@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitpanel.llm.common import drop, slices, store
@@ -27,12 +27,16 @@ PAIRS_A_TASK = 2_000
 Sets = Callable[[pa.Array], list[np.ndarray]]
 
 
-def members_of(keyed: DataFrame) -> DataFrame:
-    """(key, rep, lead) of the rows (key, rep) whose key others share; lead is the least of them. Of keys with the same rows one is kept."""
-    keyed = keyed.repartition("key")
-    buckets = keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("all"))
-    kept = buckets.filter("lead < last").groupBy("lead", "last", "n", "all").agg(F.min("key").alias("key")).select("key", "lead")
-    return keyed.join(kept, "key").select("key", "rep", "lead")
+def members_of(keyed: DataFrame) -> tuple[DataFrame, str]:
+    """(key, rep, lead) of the rows (key, rep) whose key others share; lead is the least of them. Of keys with the same rows one is kept. And the scratch path."""
+    spark, own = keyed.sparkSession, Window.partitionBy("key")
+    seen = keyed.select("key", "rep", F.min("rep").over(own).alias("lead"), F.max("rep").over(own).alias("last"), F.count(F.lit(1)).over(own).alias("n"),
+                        F.bit_xor(F.xxhash64("rep")).over(own).alias("all"))
+    shared, path = store(seen.filter("lead < last"), "shared")
+    kept = shared.groupBy("lead", "last", "n", "all").agg(F.min("key").alias("key"))
+    members, p_members = store(shared.select("key", "rep", "lead").join(kept.select("key"), "key"), "members")
+    drop(spark, path)
+    return members, p_members
 
 
 def grouped(members: DataFrame, texts: DataFrame, sets: Sets, similar: int, prune: Callable[[DataFrame], DataFrame] | None = None,

@@ -24,7 +24,6 @@ BANDS, ROWS = 18, 3
 
 _SEEDS = np.random.default_rng(9)
 _A = _SEEDS.integers(0, 2**31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
-_B = _SEEDS.integers(0, 2**32, BANDS * ROWS, np.uint32)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = np.array([*SEPARATORS, ord("\n")], np.uint32)
 
@@ -89,11 +88,12 @@ def _sign(texts: list[str]) -> tuple[np.ndarray, ...]:
     fresh[heads] = True
     grams, first, _ = _shingles(points, starts[fresh], ends[fresh])
     short = ((grams ^ (grams >> np.uint64(29))) * _ODD >> np.uint64(32)).astype(np.uint32)
-    keys, k = np.zeros((len(first), BANDS), np.uint64), 0
+    keys, permuted, k = np.zeros((len(first), BANDS), np.uint64), np.empty_like(short), 0
     for band in range(BANDS):
         key = np.full(len(first), band, np.uint64)
         for _ in range(ROWS):
-            key = key * _ODD + np.minimum.reduceat(short * _A[k] + _B[k], first)
+            np.multiply(short, _A[k], out=permuted)
+            key = key * _ODD + np.minimum.reduceat(permuted, first)
             k += 1
         keys[:, band] = mix(key)
     return doc, number, whole.view(np.int64), second.view(np.int64), fresh, keys.view(np.int64)
@@ -153,9 +153,9 @@ def group_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     where = F.min(F.struct("doc_id", "text_hash", "line")).alias("first")
     clash = (F.min("check") != F.max("check")).alias("clash")
     nodes, p_nodes = store(signed.groupBy("node").agg(where, F.count(F.lit(1)).alias("n"), clash, F.first("bands", True).alias("bands")), "line-nodes")
-    members, p_members = store(members_of(nodes.select(F.explode("bands").alias("key"), F.col("node").alias("rep"))), "line-members")
     lines, p_lines = store(signed.select("doc_id", "text_hash", "line", "node"), "lines")
     drop(spark, p_signed)
+    members, p_members = members_of(nodes.select(F.explode("bands").alias("key"), F.col("node").alias("rep")))
     texts, p_texts = store(_texts_of(keyed, nodes, members.select("rep").distinct()), "line-texts")
     roots, p_roots = grouped(members, texts, shingle_sets, SIMILAR)
     named = nodes.select("node", "first", "n", "clash").join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))

@@ -114,7 +114,7 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int
     signed, p_signed = store(over_text(slim, ["rep"], "text", fields, lambda: lambda t: _sign(t, k)), "near-signed")
     classes, p_classes = store(signed.filter("n_shingles > 0 and rep is not null").groupBy("n_shingles", "fp1", "fp2").agg(
         F.min(F.struct("rep", "signature")).alias("m")).select("m.rep", "n_shingles", "fp1", "fp2", "m.signature"), "near-classes")
-    members, p_members = store(_members(classes), "near-members")
+    members, p_members = _members(classes)
     texts, p_texts = store(slim.filter("text is not null").join(members.select("rep").distinct(), "rep"), "near-texts")
     roots, p_roots = grouped(members, texts, lambda t: shingle_sets(t, k), SIMILAR, lambda pairs: _prune(pairs, classes))
     labels, p_labels = store(classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
@@ -126,10 +126,10 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int
     return rows.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True))), [p_signed, p_labels]
 
 
-def _members(classes: DataFrame) -> DataFrame:
-    """(key, rep, lead) of every class in a bucket that holds others; lead is the bucket's least class."""
+def _members(classes: DataFrame) -> tuple[DataFrame, str]:
+    """(key, rep, lead) of every class in a bucket that holds others; lead is the bucket's least class. And the scratch path."""
     step = 4 * ROWS
     band = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))
     keyed = classes.select("rep", "signature", band.alias("band")).select(
         F.xxhash64("band", F.expr(f"substring(signature, band * {step} + 1, {step})")).alias("key"), "rep")
-    return members_of(keyed).distinct()
+    return members_of(keyed)

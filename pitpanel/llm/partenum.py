@@ -136,10 +136,12 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = S
     same = ["n_shingles", "fp1", "fp2"]
     classes, p_classes = store(signed.filter("n_shingles > 0 and rep is not null").groupBy(*same).agg(F.min("rep").alias("rep")), "set-classes")
     texts, p_texts = store(slim.filter("text is not null").join(classes.select("rep").distinct(), "rep", "left_semi"), "set-texts")
-    members, p_members = store(members_of(_keyed(texts, k, similar)), "set-members")
-    roots, p_roots = grouped(members, texts, lambda t: shingle_sets(t, k), similar)
+    members, p_members = members_of(_keyed(texts, k, similar))
+    some, p_some = store(texts.join(members.select("rep").distinct(), "rep", "left_semi"), "set-candidates")
+    drop(spark, p_texts)
+    roots, p_roots = grouped(members, some, lambda t: shingle_sets(t, k), similar)
     labels, p_labels = store(classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("root", "rep").alias("component")), "set-labels")
-    drop(spark, p_members, p_texts, p_classes, *p_roots)
+    drop(spark, p_members, p_some, p_classes, *p_roots)
     out = signed.join(labels, same, "left")
     component = F.when(F.col("rep").isNotNull(), F.coalesce("component", "rep"))
     return out.select(F.col("rep").alias(id_col), "n_shingles", component.alias("component_id")), [p_signed, p_labels]

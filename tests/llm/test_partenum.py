@@ -100,7 +100,7 @@ def test_blocks_of_a_bucket_find_the_same(spark, block):
     texts = [t for edits in (2, 6, 9) for t in _family(rng, words, 25, edits)]
     rows = list(enumerate(texts))
     frame = spark.createDataFrame(rows, "rep long, text string").repartition(2)
-    members = members_of(spark.createDataFrame([(7, i) for i, _ in rows] + [(8, i) for i, _ in rows[:40]], "key long, rep long"))
+    members = members_of(spark.createDataFrame([(7, i) for i, _ in rows] + [(8, i) for i, _ in rows[:40]], "key long, rep long"))[0]
     roots = {r.node: r.root for r in grouped(members, frame, lambda t: shingle_sets(t, 4), 80, block_rows=block)[0].collect()}
     assert {i: roots.get(i, i) for i, _ in rows} == {i: c for i, (_, c) in brute(rows, 80).items()}
 
