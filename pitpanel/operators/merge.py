@@ -1,14 +1,14 @@
 """Keyed merges, replacements and deletes on plain Parquet tables.
 
-Each function returns the table's new content as a DataFrame; ``swap_table`` writes it beside the
-old one and then renames, so a reader never sees half a table and a failed job changes nothing.
+Each function returns the new content of a table, or of those of its partitions that a payload touches, as a DataFrame;
+``operators.stored`` puts it in place.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitpanel.schemas import PREDICTION_SOURCE
@@ -151,21 +151,5 @@ def metrics_long(wide: DataFrame, names: list[str]) -> DataFrame:
         F.col("metric_value").isNotNull())
 
 
-def swap_table(spark: SparkSession, df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Write beside the table, then rename. ``df`` may read the table it replaces."""
-    staged, old = f"{path}__staged", f"{path}__old"
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(staged)
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(hadoop(old), True)
-    if fs.exists(hadoop(path)) and not fs.rename(hadoop(path), hadoop(old)):
-        raise OSError(f"could not set {path} aside")
-    if not fs.rename(hadoop(staged), hadoop(path)):
-        raise OSError(f"could not put the new content at {path}")
-    fs.delete(hadoop(old), True)
-
-
 def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)

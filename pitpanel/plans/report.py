@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitpanel.functions.scalars import session_of
+from pitpanel.operators.stored import VersionedTable
 from pitpanel.settings import EXPERIMENTS, Settings
 
 
@@ -35,9 +36,10 @@ def key_numbers(panel: DataFrame, runs: DataFrame, metrics: DataFrame, settings:
 
 
 def write_snapshot(panel: DataFrame, runs: DataFrame, metrics: DataFrame, settings: Settings, path: str) -> None:
+    """A new version of the snapshot. Readers see the one before until the new one is complete."""
     numbers = key_numbers(panel, runs, metrics, settings)
-    numbers.select(F.to_json(F.struct(*numbers.columns)).alias("value")).coalesce(1).write.text(path)
+    VersionedTable(path, "text").write(numbers.select(F.to_json(F.struct(*numbers.columns)).alias("value")).coalesce(1))
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).withColumnRenamed("value", "snapshot")
+    return VersionedTable(path, "text").read(spark).withColumnRenamed("value", "snapshot")

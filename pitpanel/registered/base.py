@@ -72,10 +72,10 @@ FROM generate_series(DATE '1995-03-01', DATE '2001-12-01', INTERVAL 3 MONTH) t(d
 piece("qmap", """SELECT quarter_end, MIN(trade_date) AS observation_date
 FROM quarters JOIN bench ON trade_date >= quarter_end + 30 GROUP BY quarter_end""", "quarters", "bench")
 piece("grid", "SELECT s_suppkey AS symbol, quarter_end, observation_date FROM supplier, qmap", "qmap")
-piece("state", """SELECT * EXCLUDE (rn, ok) FROM (
+_IN_TIME = ", ".join(f"CASE WHEN ok THEN {c} END DESC" for c in ("submission_date", *adapters.FILING_ORDER))
+piece("state", f"""SELECT * EXCLUDE (rn, ok) FROM (
 SELECT *, ROW_NUMBER() OVER (PARTITION BY symbol, quarter_end ORDER BY ok DESC,
-  CASE WHEN ok THEN submission_date END DESC, CASE WHEN ok THEN filing_id END DESC, CASE WHEN ok THEN line_no END DESC,
-  submission_date, filing_id, line_no) AS rn
+  {_IN_TIME}, submission_date, {", ".join(adapters.FILING_ORDER)}) AS rn
 FROM (SELECT *, submission_date <= quarter_end + 30 AS ok FROM filings) e) x WHERE rn = 1""", "filings")
 piece("traj_base", """SELECT g.symbol, g.quarter_end, s.submission_date, s.pledge_status, s.promoter_holding_pct,
   CASE WHEN s.pledge_status <> 'UNAVAILABLE' THEN s.pledge_pct_promoter END AS pledge_pct_promoter,

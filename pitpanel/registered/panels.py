@@ -30,7 +30,7 @@ def sql_tidy(columns: list[str], exact: tuple[str, ...] = (), places: int = 9) -
 
 
 def state(spark, sf):
-    return trajectory.latest_known_filing(src.filings(spark, sf), W.observation_lag_days, ("filing_id", "line_no"))
+    return trajectory.latest_known_filing(src.filings(spark, sf), W.observation_lag_days, src.FILING_ORDER)
 
 
 def grid(spark, sf):

@@ -355,9 +355,9 @@ def win_latest_per_key(spark, sf):
 
 
 @query("win_keep_last_dup", """SELECT symbol, quarter_end, filing_id, line_no, pledge_status FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY symbol, quarter_end
-ORDER BY filing_id DESC, line_no DESC) AS rn FROM filings) f WHERE rn = 1""", "filings")
+ORDER BY filing_id DESC, line_no DESC, pledge_status DESC) AS rn FROM filings) f WHERE rn = 1""", "filings")
 def win_keep_last_dup(spark, sf):
-    return trajectory.last_per_quarter(src.filings(spark, sf), ("filing_id", "line_no")).select(
+    return trajectory.last_per_quarter(src.filings(spark, sf), ("filing_id", "line_no", "pledge_status")).select(
         "symbol", "quarter_end", "filing_id", "line_no", "pledge_status")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pitpanel.functions import scalars as fx
 from pitpanel.operators import merge, runs as run_ops
+from pitpanel.operators.stored import PartitionedTable, VersionedTable
 from pitpanel.registered.base import compose, piece, query, r
 from pitpanel.registered.panels import panel, tidy
 from pitpanel.schemas import TABLES
@@ -112,6 +113,12 @@ def line_payload(spark, sf):
         (F.col("l_orderkey") + 3).alias("filing_id"), F.when(F.col("n") != 1, F.col("flag")).alias("status"))
 
 
+def _ledger_table(spark, sf):
+    table = PartitionedTable(scratch_path(spark, "ledger"), {"bucket": "pmod(filing_id div 32, 8)"})
+    table.create(ledger(spark, sf))
+    return table
+
+
 _LEDGER = "filing_id, symbol, submission_date, status, local_path"
 
 
@@ -119,19 +126,19 @@ _LEDGER = "filing_id, symbol, submission_date, status, local_path"
 CASE WHEN p.filing_id IS NOT NULL THEN p.status ELSE t.status END AS status, t.local_path
 FROM ledger t FULL JOIN line_counts p ON p.filing_id = t.filing_id""", "ledger", "line_counts")
 def merge_update(spark, sf):
-    out = merge.merge_update(ledger(spark, sf), line_payload(spark, sf), ["filing_id"])
-    path = scratch_path(spark, "ledger")
-    merge.swap_table(spark, out, path)
-    again = merge.merge_update(spark.read.parquet(path), line_payload(spark, sf), ["filing_id"])  # idempotent
-    return again.select("filing_id", "symbol", "submission_date", "status", "local_path")
+    """The ledger is stored in buckets of filings; only those of the payload's keys are read and written."""
+    table = _ledger_table(spark, sf)
+    table.upsert(spark, line_payload(spark, sf), ["filing_id"])
+    return table.rows(spark).select("filing_id", "symbol", "submission_date", "status", "local_path")
 
 
 @query("merge_insert_only", f"""SELECT {_LEDGER} FROM ledger UNION ALL
 SELECT filing_id, NULL, NULL, status, NULL FROM line_counts WHERE filing_id NOT IN (SELECT filing_id FROM ledger)""",
        "ledger", "line_counts")
 def merge_insert_only(spark, sf):
-    out = merge.merge_insert_only(ledger(spark, sf), line_payload(spark, sf), ["filing_id"])
-    return out.select("filing_id", "symbol", "submission_date", "status", "local_path")
+    table = _ledger_table(spark, sf)
+    table.insert_new(spark, line_payload(spark, sf), ["filing_id"])
+    return table.rows(spark).select("filing_id", "symbol", "submission_date", "status", "local_path")
 
 
 _NEWER = "SELECT symbol, MAX(event_date) AS event_date FROM pledge_events WHERE event_type = 'release' GROUP BY symbol HAVING COUNT(*) > 200"
@@ -144,7 +151,10 @@ def replace_by_key(spark, sf):
     newest = events.where(F.col("event_type") == "release").groupBy("symbol").agg(
         F.max("event_date").alias("event_date"), F.count("*").alias("n")).where(F.col("n") > 200).select(
         "symbol", "event_date", F.lit("snapshot").alias("event_type"))
-    return merge.replace_by_key(events, newest)
+    table = PartitionedTable(scratch_path(spark, "events"), {"bucket": "pmod(symbol, 8)"})
+    table.create(events)
+    table.replace(spark, newest, "symbol")
+    return table.rows(spark)
 
 
 @query("dedupe_natural_key", """SELECT symbol, event_type, shares, event_id, pct_equity FROM (SELECT *,
@@ -165,9 +175,10 @@ def overwrite_table(spark, sf):
     clean = frame.select(*[fx.known(F.col(c)).alias(c) if c in doubles else F.col(c) for c in frame.columns])
     root = scratch_path(spark, "tables")
     typed = clean.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES["panel"].fields])
-    merge.swap_table(spark, typed, f"{root}/panel")
-    merge.swap_table(spark, scans.scan_table(spark, root, "panel"), f"{root}/panel")
-    return tidy(scans.scan_table(spark, root, "panel").select(
+    table = VersionedTable(f"{root}/panel")
+    table.write(typed)
+    table.write(table.read(spark, TABLES["panel"]))  # from the version it replaces
+    return tidy(table.read(spark, TABLES["panel"]).select(
         "symbol", "observation_date", "volatility_90d", "consecutive_rising_q", "label", "label_is_valid"))
 
 
@@ -204,12 +215,18 @@ def append_metrics(spark, sf):
 (run_id = (SELECT run_id FROM runs WHERE is_active = 1) AND observation_date = DATE '1998-12-31' AND source = 'backtest')""",
        "predictions", "runs")
 def delete_scoped(spark, sf):
-    """One slice of the active run, found by a one-row semi-join rather than by a value on the driver."""
+    """One slice of the active run, found by a one-row semi-join. Predictions lie by date, so one partition is read and written."""
     rows = src.predictions(spark, sf).select("prediction_id", "run_id", "symbol", "observation_date", "source")
     active = src.runs(spark, sf).where(F.col("is_active") == 1).select("run_id", F.lit(True).alias("__active"))
-    scope = (F.col("observation_date") == F.lit(dt.date(1998, 12, 31))) & (F.col("source") == "backtest")
-    marked = rows.join(F.broadcast(active), "run_id", "left")
-    return merge.delete_where(marked, F.col("__active") & scope).select(*rows.columns)
+    table = PartitionedTable(scratch_path(spark, "predictions"), {"day": "observation_date"})
+    table.create(rows)
+
+    def kept(part):
+        scope = (F.col("observation_date") == F.lit(dt.date(1998, 12, 31))) & (F.col("source") == "backtest")
+        return merge.delete_where(part.join(F.broadcast(active), "run_id", "left"), F.col("__active") & scope).select(*rows.columns)
+
+    table.delete(spark, spark.sql("SELECT DATE '1998-12-31' AS observation_date"), kept)
+    return table.rows(spark).select(*rows.columns)
 
 
 piece("sessions", """SELECT SPLIT_PART(run_id, '_', 1) AS session, COUNT(*) AS n_runs, MIN(created_at) AS started_at, MAX(is_active) AS has_active
@@ -267,7 +284,9 @@ def update_status(spark, sf):
         F.when(late, "quarantined").otherwise("downloaded").alias("status"),
         F.when(late, "late lines").alias("error_message"))
     known = changes.join(ledger(spark, sf), "filing_id", "left_semi")
-    out = merge.update_status(ledger(spark, sf), known, F.lit(dt.date(2002, 1, 1)))
+    table = _ledger_table(spark, sf)
+    table.rewrite(spark, table.touched(known), lambda part: merge.update_status(part, known, F.lit(dt.date(2002, 1, 1))))
+    out = table.rows(spark)
     return out.select("filing_id", "status", "error_message", "local_path", "fetched_at")
 
 

@@ -46,6 +46,9 @@ FROM (SELECT l_suppkey AS symbol, l_orderkey AS filing_id, l_linenumber AS line_
              l_quantity, l_discount, l_tax
       FROM {lineitem}) f"""
 
+# What tells filings apart that repeat an (order, line): with these the order of a symbol's filings is total, up to equal rows.
+FILING_ORDER = ("filing_id", "line_no", "promoter_holding_pct", "pledge_pct_promoter", "pledge_pct_equity", "pledge_status")
+
 EVENTS = """
 SELECT l_orderkey * 10 + l_linenumber AS event_id, l_suppkey AS symbol,
        CAST(l_shipdate AS DATE) AS event_date,

@@ -46,13 +46,6 @@ def test_null_key_parts_match(spark):
     assert merge.dedupe_first(d, ["s", "p"], "pos").first().pos == 0
 
 
-def test_swap_may_read_the_table_it_replaces(spark, target):
-    path = scratch_path(spark, "t")
-    merge.swap_table(spark, target, path)
-    merge.swap_table(spark, spark.read.parquet(path).withColumn("status", F.lit("done")), path)
-    assert {r.status for r in spark.read.parquet(path).collect()} == {"done"} and spark.read.parquet(path).count() == 2
-
-
 def test_bad_predictions_are_refused(spark):
     ok = spark.createDataFrame([("r", 0.5)], "run_id string, probability double")
     assert merge.prepare_predictions(ok, F.current_timestamp()).first().source == "backtest"
