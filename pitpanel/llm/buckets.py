@@ -1,10 +1,11 @@
 """From buckets of candidates to connected groups, without ever pairing up a bucket in the plan.
 
-Round one tests each member against the least member of its buckets. A bucket whose members then form one component is settled: no
-other pair in it could change anything; so is a bucket of two whose pair was just tested, and of buckets with the same members one is enough.
-In round two each open bucket goes through one task, which keeps a union-find of its members: a member is compared with members of other components
-only, and only links that join two components leave the task. A bucket too large for one task is cut into blocks, and every pair of
-blocks goes through a task, so rows grow with the number of blocks and not with the number of pairs. Both rounds decide on the full sets.
+Round one tests each member against the least member of a bucket, of that one with which it shares most buckets. A bucket whose members then form one
+component is settled: no other pair in it could change anything. Round two tests what is left of (least member, member) across components, each pair once
+however many buckets it shares; that settles buckets of two. In round three each open bucket goes through one task, which keeps a union-find of its
+members: a member is compared with members of other components only, and only links that join two components leave the task. A bucket too large for one
+task is cut into blocks, and every pair of blocks goes through a task, so rows grow with the number of blocks and not with the number of pairs. Of
+buckets with the same members one is enough. All rounds decide on the full sets.
 """
 
 from __future__ import annotations
@@ -48,25 +49,42 @@ def grouped(members: DataFrame, texts: DataFrame, sets: Sets, similar: int, prun
     The sizes of blocks change the cost, not the result.
     """
     spark = members.sparkSession
-    tested, p_tested = store(members.filter("lead < rep").groupBy(F.col("rep").alias("b")).agg(F.min("lead").alias("a")).select("a", "b"), "candidates")
-    found, p_found = store(verified(prune(tested) if prune else tested, texts, sets, similar), "links")
+    shared = members.filter("lead < rep").groupBy("rep", "lead").agg(F.count(F.lit(1)).alias("n"))
+    best = F.max_by("lead", F.struct("n", "lead"))
+
+    def tests(pairs: DataFrame) -> tuple[DataFrame, list[str]]:
+        candidates, p = store(prune(pairs) if prune else pairs, "candidates")
+        found, q = store(verified(candidates, texts, sets, similar), "links")
+        return found, [p, q]
+
+    found, p_first = tests(shared.groupBy(F.col("rep").alias("b")).agg(best.alias("a")).select("a", "b"))
     roots, p_roots = connected(found)
-    sizes = texts.groupBy("rep").agg(F.max(F.length("text")).alias("chars"))
-    labelled = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(tested.toDF("tested", "rep"), "rep", "left").join(sizes, "rep").select(
-        "key", "rep", F.coalesce("root", "rep").alias("comp"), "chars", ((F.col("rep") == F.col("lead")) | (F.col("lead") == F.col("tested"))).alias("done"))
-    labelled, p_labelled = store(labelled, "buckets")
-    open_, p_open = store(_open(labelled, block_rows, block_chars), "open")
-    more, p_more = store(_linked(labelled.join(open_, "key"), texts, sets, similar), "links")
+    labelled, p_labelled = store(_labelled(members, roots), "buckets")
+    comps = labelled.filter("rep = lead").select(F.col("lead").alias("l"), F.col("comp").alias("lead_comp")).distinct()
+    across = labelled.filter("lead < rep").join(comps, F.col("lead") == F.col("l")).filter("comp <> lead_comp").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
+    more, p_second = tests(across.distinct())
     drop(spark, *p_roots)
     roots, p_roots = connected(found.unionByName(more))
-    drop(spark, p_tested, p_found, p_labelled, p_open, p_more)
+    drop(spark, p_labelled)
+    labelled, p_labelled = store(_labelled(members, roots), "buckets")
+    sized = labelled.join(texts.groupBy("rep").agg(F.max(F.length("text")).alias("chars")), "rep")
+    open_, p_open = store(_open(sized, block_rows, block_chars), "open")
+    last, p_last = store(_linked(labelled.join(open_, "key").select("key", "rep", "comp", "blocks"), texts, sets, similar), "links")
+    drop(spark, *p_roots)
+    roots, p_roots = connected(found.unionByName(more).unionByName(last))
+    drop(spark, *p_first, *p_second, p_labelled, p_open, p_last)
     return roots, p_roots
 
 
+def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, rep, lead, comp) with the component of each member so far."""
+    return members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "lead", F.coalesce("root", "rep").alias("comp"))
+
+
 def _open(labelled: DataFrame, block_rows: int, block_chars: int) -> DataFrame:
     """(key, blocks) of the buckets in which links may still be missing."""
-    stats = labelled.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("n"), F.min("done").alias("done"), F.sum("chars").alias("chars"))
-    left = stats.filter((F.col("c1") < F.col("c2")) & ~((F.col("n") == 2) & F.col("done")))
+    stats = labelled.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
+    left = stats.filter("c1 < c2 and n > 2")
     return left.select("key", F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("chars") / block_chars)).cast("int").alias("blocks"))
 
 
