@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitpanel.llm.buckets import grouped, members_of
+from pitpanel.llm.rounds import grouped, members_of
 from pitpanel.llm.common import SEPARATORS, drop, mix, powers, slices, store
 
 #: Characters of a shingle; a shorter line is one shingle. Similarity of a link in hundredths.

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitpanel.llm.buckets import grouped, members_of
+from pitpanel.llm.rounds import grouped, members_of
 from pitpanel.llm.common import drop, mix, over_text, slices, store
 from pitpanel.llm.neardup import shingle_sets
 

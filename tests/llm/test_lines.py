@@ -6,7 +6,7 @@ from functools import partial
 
 import pytest
 
-from pitpanel.llm import buckets, lines
+from pitpanel.llm import lines, rounds
 from pitpanel.llm.registered import QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]")
@@ -60,7 +60,7 @@ def test_query_equals_brute_force(spark, sf):
 
 @pytest.mark.parametrize("block", [4, 20, 2000])
 def test_families_of_lines_in_blocks_of_any_size(spark, monkeypatch, block):
-    monkeypatch.setattr(lines, "grouped", partial(buckets.grouped, block_rows=block))
+    monkeypatch.setattr(lines, "grouped", partial(rounds.grouped, block_rows=block))
     rng = random.Random(6)
     letters = "abcdefghijklmnopqrstuvwxyz "
     rows = []

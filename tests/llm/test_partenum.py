@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 from pitpanel.llm import partenum
-from pitpanel.llm.buckets import grouped, joining, members_of
+from pitpanel.llm.rounds import grouped, joining, members_of
 from pitpanel.llm.neardup import shingle_sets
 from pitpanel.llm.registered import QUERIES
 from test_neardup import _family, sets_of
