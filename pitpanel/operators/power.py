@@ -30,22 +30,28 @@ def _samples(values: DataFrame, keys: list[str], order: str, value: str) -> Data
 
 
 def resampled_means(samples: DataFrame, keys: list[str], n_bootstrap: int, seed: int) -> DataFrame:
-    """One row per (comparison, draw) with the mean and sample deviation of the resample.
+    """One row per (comparison, draw) with the mean and sample deviation of the resample; a resample of one value has no deviation.
 
-    Draws are dealt out in blocks, so the work spreads over tasks although it starts from one row.
+    Each draw folds its values inside its own row, by running means, so a resample without spread has deviation 0 exactly.
+    Draws are dealt out in blocks, so the work spreads over tasks although it starts from one row per comparison.
     """
     blocks = (n_bootstrap + _BLOCK - 1) // _BLOCK
     dealt = samples.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(*keys, "block")
     low = F.col("block") * _BLOCK
     high = F.least(low + _BLOCK - 1, F.lit(n_bootstrap - 1))
     draws = dealt.withColumn("draw", F.explode(F.sequence(low, high)))
-    # Spark evaluates explode before this projection, so each row hashes only its own positions.
     picked = F.transform(F.sequence(F.lit(0), F.col("n").cast("int") - 1),
                          lambda i: F.get(F.col("vals"), draw_index(F.col("draw"), i, seed, F.col("n"))))
-    flat = draws.select(*keys, "draw", "n", "theta", "sd", F.explode(picked).alias("x"))
-    return flat.groupBy(*keys, "draw").agg(
-        F.first("n").alias("n"), F.first("theta").alias("theta"), F.first("sd").alias("sd"),
-        F.avg("x").alias("m"), F.stddev_samp("x").alias("s"))
+
+    def add(acc, x):
+        k, off = acc["k"] + 1, x - acc["m"]
+        mean = acc["m"] + off / k
+        return F.struct(k.alias("k"), mean.alias("m"), (acc["q"] + off * (x - mean)).alias("q"))
+
+    empty = F.struct(F.lit(0).alias("k"), F.lit(0.0).alias("m"), F.lit(0.0).alias("q"))
+    folded = draws.select(*keys, "draw", "n", "theta", "sd", F.aggregate(picked, empty, add).alias("r"))
+    return folded.select(*keys, "draw", "n", "theta", "sd", F.col("r.m").alias("m"),
+                         F.when(F.col("n") > 1, F.sqrt(F.col("r.q") / (F.col("n") - 1))).alias("s"))
 
 
 def bootstrap_t_interval(values: DataFrame, keys: list[str], order: str, value: str, *, n_bootstrap: int = 10_000,

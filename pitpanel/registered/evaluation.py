@@ -263,10 +263,11 @@ piece("deltas", """SELECT t.model, t.experiment, c.experiment AS baseline, t.obs
   COUNT(*) OVER (PARTITION BY t.model, t.experiment) AS n
 FROM model_auc t JOIN model_auc c ON c.model = t.model AND c.observation_date = t.observation_date
 WHERE c.experiment = 'exp0_null' AND t.experiment <> 'exp0_null' AND t.auc IS NOT NULL AND c.auc IS NOT NULL""", "model_auc")
+_DRAWS = 10_000
 _HASH = "('0x' || SUBSTR(MD5(b || '-' || k || '-' || '42'), 1, 8))::BIGINT"
 piece("resamples", f"""SELECT r.model, r.experiment, r.baseline, b, AVG(v.delta) AS m, STDDEV_SAMP(v.delta) AS s, MAX(r.n) AS n
 FROM (SELECT model, experiment, baseline, n, b, k, {_HASH} % n AS pick
-      FROM (SELECT DISTINCT model, experiment, baseline, n FROM deltas) c, generate_series(0, 1999) bs(b), generate_series(0, n - 1) ks(k)) r
+      FROM (SELECT DISTINCT model, experiment, baseline, n FROM deltas) c, generate_series(0, {_DRAWS - 1}) bs(b), generate_series(0, n - 1) ks(k)) r
 JOIN deltas v ON v.model = r.model AND v.experiment = r.experiment AND v.i = r.pick GROUP BY 1, 2, 3, 4""", "deltas")
 piece("center", """SELECT model, experiment, baseline, COUNT(*) AS n, AVG(delta) AS theta, STDDEV_SAMP(delta) / SQRT(COUNT(*)) AS std_error
 FROM deltas GROUP BY 1, 2, 3""", "deltas")
@@ -277,7 +278,6 @@ FROM center c LEFT JOIN (SELECT model, experiment, QUANTILE_CONT(t, 0.975) AS hi
         JOIN center c ON c.model = r.model AND c.experiment = r.experiment WHERE s / SQRT(r.n) > 1e-12) x GROUP BY 1, 2) q
   ON q.model = c.model AND q.experiment = c.experiment""", "center", "resamples")
 _IDS = "model, experiment, baseline"
-_DRAWS = 2000
 
 
 def model_oof(spark, sf):
