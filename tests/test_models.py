@@ -61,6 +61,29 @@ def test_all_unknown_feature_is_left_alone(panel):
     assert (s.low, s.high, s.fill, s.std) == (None, None, 0.0, 1.0)
 
 
+def test_statistics_of_all_folds_equal_each_fold(panel):
+    odd = panel.withColumn("void", F.lit(None).cast("double")).withColumn("same", F.lit(3.0)).withColumn(
+        "late", F.when(F.col("observation_date") > "2022-06-30", F.col("sham")))
+    names = [*FEATURES, "void", "same", "late"]
+    plan = training.plan_folds(odd, SETTINGS)
+    known = training.fold_stats(odd, plan, names, SETTINGS)
+    for k, fold in enumerate(plan):
+        train = odd.where(F.col("observation_date") <= F.lit(fold["train_through"]))
+        alone = prep.fit(train, names)
+        assert known.counts[k] == (train.count(), train.where("label = 1").count())
+        assert known.ready[k].names == alone.names
+        for f in names:
+            for part, value in vars(alone.stats[f]).items():
+                assert getattr(known.ready[k].stats[f], part) == (None if value is None else pytest.approx(value, abs=1e-12)), (f, part)
+
+
+def test_folds_at_once_do_not_share_properties(panel):
+    plan = training.plan_folds(panel, SETTINGS)
+    stats = training.fold_stats(panel, plan, FEATURES[:2], SETTINGS)
+    runs = [training.walk_forward(panel, plan, FEATURES[:2], LOGREG, SETTINGS, stats=stats).oof.count() for _ in range(5)]
+    assert runs == [4 * 60] * 5
+
+
 @pytest.fixture(scope="module")
 def oof(panel):
     plan = training.plan_folds(panel, SETTINGS)
