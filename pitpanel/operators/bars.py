@@ -108,6 +108,7 @@ def market_and_label(
     void_breaks: bool = False,
     market: bool = True,
     label: bool = True,
+    marks: bool = False,
 ) -> DataFrame:
     """Market features and label per (symbol, observation_date), from one pass over the bars.
 
@@ -118,7 +119,8 @@ def market_and_label(
 
     ``blank_breaks`` voids a feature when a break lies within its own window, both ends included;
     ``void_breaks`` voids the label when a break lies in the bars after the entry, up to the horizon.
-    Only the nearest break matters for either test, so both are plain comparisons.
+    Only the nearest break matters for either test, so both are plain comparisons. ``marks`` adds what they took away:
+    ``n_blanked`` (features of the row) and ``is_voided`` (whether its label).
     """
     backs = {"vol": w.volatility_bars, "dd": w.drawdown_bars, "turn": w.turnover_bars} if market else {}
     reach = max([1, *backs.values()])
@@ -159,11 +161,8 @@ def market_and_label(
         found = found.join(F.broadcast(benchmark_returns(dates, benchmark, w.return_bars)), "observation_date", "left")
         enough = F.col("n_bars") >= 2
 
-        def clear(value: Column, window: int) -> Column:
-            if not blank_breaks:
-                return value
-            hit = F.coalesce(F.col("pos") - F.col("last_break") <= window, F.lit(False))
-            return F.when(~hit, value)
+        def hit_back(window: int) -> Column:
+            return F.coalesce(F.col("pos") - F.col("last_break") <= window, F.lit(False)) if blank_breaks else F.lit(False)
 
         volatility = F.when(F.col("n_sd") >= w.volatility_bars // 2, F.col("sd") * math.sqrt(w.bars_per_year))
         fall = F.when((F.col("n_top") >= 2) & (F.col("top") > 0), F.col("adj_close") / F.col("top") - 1)
@@ -175,13 +174,19 @@ def market_and_label(
             "rel_return_90d": (F.col("lagged_return") - F.col("bench_return"), w.return_bars),
             "log_turnover_90d": (median, w.turnover_bars),
         }
-        out += [F.when(enough, clear(v, n)).alias(c) for c, (v, n) in values.items()]
+        out += [F.when(enough, F.when(~hit_back(n), v)).alias(c) for c, (v, n) in values.items()]
+        if marks:
+            out.append(sum((F.when(enough & hit_back(n) & v.isNotNull(), 1).otherwise(0) for v, n in values.values()), F.lit(0)).alias("n_blanked"))
     if label:
         fall = F.when((F.col("n_ahead") == w.horizon_bars) & (F.col("adj_close") > 0),
                       F.col("trough") / F.col("adj_close") - 1)
         if void_breaks:
             hit = F.coalesce(F.col("next_break") - F.col("pos") <= w.horizon_bars, F.lit(False))
+            if marks:
+                out.append((hit & fall.isNotNull()).alias("is_voided"))
             fall = F.when(~hit, fall)
+        elif marks:
+            out.append(F.lit(False).alias("is_voided"))
         found = found.withColumn("fwd_max_drawdown", fall)
         out += [
             F.col("fwd_max_drawdown"),

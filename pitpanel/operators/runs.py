@@ -40,11 +40,11 @@ def prune_runs(tables: dict[str, DataFrame], keep: int = 3) -> tuple[dict[str, D
 
 
 def require_active_run(runs: DataFrame) -> DataFrame:
-    """The single active run; evaluating it fails when there is none."""
+    """The single active run; evaluating it fails when there is none or a second one."""
     picked = runs.agg(F.max_by(F.struct(*runs.columns), F.when(F.col("is_active") == 1, F.col("run_id"))).alias("__pick"),
                       F.count_if(F.col("is_active") == 1).alias("__n"))
-    guard = F.when(F.col("__n") >= 1, F.col("__pick.run_id")).otherwise(
-        F.raise_error(F.lit("no active run")).cast("string"))
+    odd = F.when(F.col("__n") == 0, F.lit("no active run")).otherwise(F.concat(F.col("__n").cast("string"), F.lit(" active runs")))
+    guard = F.when(F.col("__n") == 1, F.col("__pick.run_id")).otherwise(F.raise_error(odd).cast("string"))
     return picked.select(guard.alias("run_id"), *[F.col(f"__pick.{c}").alias(c) for c in runs.columns if c != "run_id"])
 
 

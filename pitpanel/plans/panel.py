@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pitpanel.operators.asof import observation_dates
@@ -13,7 +13,7 @@ from pitpanel.operators.events import event_features, filter_material
 from pitpanel.operators.trajectory import trajectory_features
 from pitpanel.settings import EVENT_FEATURES, PANEL_COLUMNS, Windows
 
-_FILED = "__filed"
+_FILED, _LATE = "__filed", "__late"
 
 
 def observation_grid(symbols: DataFrame, quarters: Column, benchmark: DataFrame, lag_days: int = 30) -> DataFrame:
@@ -35,10 +35,10 @@ def blank_when(df: DataFrame, condition: Column, columns: list[str]) -> DataFram
     return df.select(*[F.when(~hit, F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
-def point_in_time(grid: DataFrame, features: DataFrame, *, strict: bool = True) -> DataFrame:
+def point_in_time(grid: DataFrame, features: DataFrame, *, strict: bool = True, mark: str | None = None) -> DataFrame:
     """THE rule: what was filed after the observation date is blanked; the row stays.
 
-    ``strict`` asserts the rule again on the result, inside the same job.
+    ``strict`` asserts the rule again on the result, inside the same job. ``mark`` names a column that says which rows were filed late.
     """
     if "submission_date" not in features.columns:
         raise ValueError("features carry no submission_date, so the point-in-time rule cannot be applied")
@@ -46,6 +46,8 @@ def point_in_time(grid: DataFrame, features: DataFrame, *, strict: bool = True)
     late = F.col("submission_date") > F.col("observation_date")
     columns = [c for c in features.columns if c not in ("symbol", "quarter_end")]
     out = blank_when(merged.withColumn(_FILED, F.col("submission_date")), late, columns)
+    if mark:
+        out = out.withColumn(mark, F.coalesce(F.col(_FILED) > F.col("observation_date"), F.lit(False)))
     return (assert_point_in_time(out, columns, _FILED) if strict else out).drop(_FILED)
 
 
@@ -88,9 +90,13 @@ def build_panel(
     events: DataFrame | None = None,
     *,
     columns: list[str] | None = None,
+    counts: Observation | None = None,
 ) -> DataFrame:
     """All steps in order, as one lazy plan.
 
+    ``counts`` is filled by the job that reads the panel, without a pass of its own: n_rows, cells_blanked and labels_voided by price
+    breaks, rows_without_bars, rows_filed_late.
+
     Bars, quarters and event days are each shuffled by symbol once. ``columns`` lets a caller skip
     whole branches: Catalyst prunes unused columns, and branches no column needs are not planned.
     """
@@ -98,9 +104,9 @@ def build_panel(
     grid = observation_grid(symbols, quarters, benchmark, w.observation_lag_days)
     trajectory = trajectory_features(
         state, quarters, max_fill=w.max_fill_quarters, rolling_max=w.rolling_max_quarters)
-    frame = point_in_time(grid, trajectory)
-    bars = market_and_label(grid, prices, benchmark, w, blank_breaks=True, void_breaks=True)
-    frame = frame.join(bars.drop("pos", "entry_price", "last_break", "next_break"),
+    frame = point_in_time(grid, trajectory, mark=_LATE if counts else None)
+    bars = market_and_label(grid, prices, benchmark, w, blank_breaks=True, void_breaks=True, marks=counts is not None)
+    frame = frame.join(bars.drop("pos", "last_break", "next_break", *([] if counts else ["entry_price"])),
                        ["symbol", "observation_date"], "left")
     if wanted & set(EVENT_FEATURES):
         if events is None:
@@ -113,6 +119,11 @@ def build_panel(
             frame = frame.join(block, ["symbol", "observation_date"], "left")
     frame = frame.withColumn("is_stale", F.coalesce("is_stale", F.lit(0))).withColumn(
         "label_is_valid", F.coalesce("label_is_valid", F.lit(0)))
+    if counts:
+        frame = frame.observe(
+            counts, F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum("n_blanked"), F.lit(0)).alias("cells_blanked"),
+            F.count_if("is_voided").alias("labels_voided"), F.count_if(F.col("entry_price").isNull()).alias("rows_without_bars"),
+            F.count_if(_LATE).alias("rows_filed_late"))
     return frame.select(*[c for c in PANEL_COLUMNS if c in wanted])
 
 

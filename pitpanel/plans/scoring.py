@@ -10,7 +10,7 @@ from pitpanel.functions import scalars as fx, text, vectors
 from pitpanel.operators.merge import delete_where
 from pitpanel.operators.metrics import rank_groups
 from pitpanel.operators.ordering import quantiles
-from pitpanel.plans.training import score
+from pitpanel.plans.training import load_active, score
 from pitpanel.session import materialise
 from pitpanel.settings import Evaluation
 
@@ -32,6 +32,12 @@ def score_date(pipeline: PipelineModel, panel: DataFrame, features: list[str], r
         text.warning_messages(items).alias("warnings"), text.warning_messages(items, text.DATA_CODES).alias("data_warnings"))
 
 
+def score_active(runs: DataFrame, panel: DataFrame, date=None, e: Evaluation | None = None) -> DataFrame:
+    """``score_date`` by the stored pipeline of the active run, under that run's id."""
+    run, pipeline = load_active(runs)
+    return score_date(pipeline, panel, list(run["feature_list"]), run["run_id"], date, e)
+
+
 def replace_slice(predictions: DataFrame, scored: DataFrame, run_id: str, date, source: str = "backtest") -> DataFrame:
     """Stored predictions with one (run, date, source) slice replaced, so scoring again changes nothing."""
     scope = (F.col("run_id") == run_id) & (F.col("observation_date") == F.lit(date)) & (F.col("source") == source)

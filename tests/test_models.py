@@ -10,7 +10,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from pitpanel.operators import attribution, metrics, power
+from pitpanel.operators import attribution, merge, metrics, power
 from pitpanel.plans import prep, scoring, training
 from pitpanel.session import materialise, scratch_path
 from pitpanel.settings import ModelSpec, Settings
@@ -200,6 +200,17 @@ def test_scoring(spark, panel):
         training.check_features(fitted.pipeline, ["other"])
     from pyspark.ml import PipelineModel
 
+    runs = training.register(fitted, path, "r", "e", SETTINGS).unionByName(
+        training.register(fitted, scratch_path(spark, "model"), "other", "e", SETTINGS))
+    for wrong in (runs, runs.withColumn("is_active", F.lit(1)), merge.set_single_active(runs, "unknown")):
+        with pytest.raises(Exception, match="no active run|2 active runs|unknown run"):
+            training.load_active(wrong)
+    active = merge.set_single_active(runs, "r")
+    with pytest.raises(ValueError, match="stored model"):
+        training.load_active(active.withColumn("feature_list", F.array(F.lit("signal"))))
+    key = ["run_id", "symbol", "probability"]
+    assert sorted(scoring.score_active(active, panel).select(key).collect()) == sorted(
+        scoring.score_date(fitted.pipeline, panel, FEATURES, "r").select(key).collect())
     loaded = PipelineModel.load(path)
     scored = materialise(scoring.score_date(loaded, panel, FEATURES, "r"), "scored")
     assert scored.count() == 60 and {r["count"] for r in scored.groupBy("risk_decile").count().collect()} == {6}

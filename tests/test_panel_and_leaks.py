@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from pitpanel.operators import events as ev, strata
@@ -96,6 +97,32 @@ def test_folds_expand_and_skip_the_embargo(built):
         folds.fold_dates(built, 500).collect()
 
 
+def test_panel_counts_what_it_took_away(spark, sf):
+    from dataclasses import replace
+
+    from pitpanel.operators.bars import market_and_label
+    from pitpanel.registered.panels import grid, traj
+    from pitpanel.settings import MARKET_FEATURES
+
+    w = replace(W, break_floor=-0.2)  # smoothed prices hardly break at the default
+    parts = src.symbols(spark, sf).unionByName(spark.createDataFrame([(-5,)], "symbol long"), allowMissingColumns=True)
+    seen = Observation("panel")
+    rows = plan.build_panel(state(spark, sf), src.prices(spark, sf), src.benchmark(spark, sf), parts, src.quarter_array(), w, counts=seen)
+    assert rows.columns == plan.PANEL_COLUMNS
+    built = materialise(rows, "counted")
+    got = seen.get
+    places = plan.observation_grid(parts, src.quarter_array(), src.benchmark(spark, sf))
+    as_they_are, cleared = [market_and_label(places, src.prices(spark, sf), src.benchmark(spark, sf), w, blank_breaks=b, void_breaks=b)
+                            for b in (False, True)]
+    cells = [df.select(sum(F.count(c) for c in MARKET_FEATURES)).first()[0] for df in (as_they_are, cleared)]
+    labels = [df.agg(F.count("fwd_max_drawdown")).first()[0] for df in (as_they_are, cleared)]
+    assert got["n_rows"] == built.count()
+    assert got["cells_blanked"] == cells[0] - cells[1] > 0 and got["labels_voided"] == labels[0] - labels[1] > 0
+    assert got["rows_without_bars"] == cleared.where("entry_price IS NULL").count() >= places.where("symbol = -5").count() > 0
+    late = grid(spark, sf).join(traj(spark, sf), ["symbol", "quarter_end"]).where("submission_date > observation_date")
+    assert got["rows_filed_late"] == late.count()
+
+
 def test_shuffle_keeps_class_balance_and_nulls(built):
     mixed = materialise(leakage.permute_labels(built, 1), "mixed")
     count = lambda df: sorted(map(tuple, df.groupBy("observation_date").agg(
