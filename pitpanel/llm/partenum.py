@@ -139,7 +139,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = S
     members, p_members = members_of(_keyed(texts, k, similar))
     some, p_some = store(texts.join(members.select("rep").distinct(), "rep", "left_semi"), "set-candidates")
     drop(spark, p_texts)
-    roots, p_roots = grouped(members, some, lambda t: shingle_sets(t, k), similar)
+    roots, p_roots = grouped(members, some, lambda t: shingle_sets(t, k), similar, sketched=True)
     labels, p_labels = store(classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("root", "rep").alias("component")), "set-labels")
     drop(spark, p_members, p_some, p_classes, *p_roots)
     out = signed.join(labels, same, "left")

@@ -5,7 +5,8 @@ import random
 import numpy as np
 import pytest
 from pitpanel.llm import partenum
-from pitpanel.llm.rounds import grouped, joining, members_of
+from pitpanel.llm.common import mix
+from pitpanel.llm.rounds import grouped, joining, members_of, parities, possible, suspected
 from pitpanel.llm.neardup import shingle_sets
 from pitpanel.llm.registered import QUERIES
 from test_neardup import _family, sets_of
@@ -93,18 +94,53 @@ def test_families_around_the_threshold(spark):
     assert found(spark, rows) == brute(rows)
 
 
-@pytest.mark.parametrize("block", [3, 50, 2000])
-def test_blocks_of_a_bucket_find_the_same(spark, block):
+@pytest.mark.parametrize("block,sketched", [(3, False), (3, True), (50, True), (2000, False), (2000, True)])
+def test_blocks_of_a_bucket_find_the_same(spark, block, sketched):
     rng = random.Random(30)
     words = [f"w{i}" for i in range(4000)]
     texts = [t for edits in (2, 6, 9) for t in _family(rng, words, 25, edits)]
     rows = list(enumerate(texts))
     frame = spark.createDataFrame(rows, "rep long, text string").repartition(2)
     members = members_of(spark.createDataFrame([(7, i) for i, _ in rows] + [(8, i) for i, _ in rows[:40]], "key long, rep long"))[0]
-    roots = {r.node: r.root for r in grouped(members, frame, lambda t: shingle_sets(t, 4), 80, block_rows=block)[0].collect()}
+    roots = {r.node: r.root for r in grouped(members, frame, lambda t: shingle_sets(t, 4), 80, sketched, block_rows=block)[0].collect()}
     assert {i: roots.get(i, i) for i, _ in rows} == {i: c for i, (_, c) in brute(rows, 80).items()}
 
 
+def _pairs_around(rng, similar):
+    """Pairs of sets of 64-bit hashes with similarities on both sides of the threshold."""
+    for n in (1, 2, 7, 31, 32, 33, 63, 64, 65, 300, 3000):
+        for part in (0.0, 0.5, 0.7, 0.8, 0.85, 0.9, 1.0):
+            both = int(n * part)
+            pool = rng.integers(0, 2**63, 2 * n + 1, np.uint64) * np.uint64(2) + np.uint64(1)
+            pool = mix(np.unique(pool))
+            yield pool[:n], pool[n - both : n - both + n]
+
+
+def test_sketches_rule_out_no_similar_pair_and_most_others(spark):
+    rng = np.random.default_rng(4)
+    pairs = list(_pairs_around(rng, 80))
+    sets = [s for pair in pairs for s in pair]
+    signs = spark.createDataFrame([(i, len(s), parities(s).tolist()) for i, s in enumerate(sets)], "rep long, n long, bits array<long>")
+    wanted = spark.createDataFrame([(2 * i, 2 * i + 1) for i in range(len(pairs))], "a long, b long")
+    left = {r.a // 2 for r in possible(wanted, signs, 80).collect()}
+    for i, (x, y) in enumerate(pairs):
+        both = len(np.intersect1d(x, y))
+        share = both / (len(x) + len(y) - both)
+        by_task = suspected([(1, 0, 0, True, k, k, len(s), parities(s)) for k, s in enumerate((x, y))], 80)
+        assert (len(by_task) == 2) == (i in left)
+        assert i in left or share < 0.8
+        assert i not in left or share > 0.5
+
+
+def test_sketches_of_sets_far_apart_in_size(spark):
+    x, y = np.arange(32, dtype=np.uint64), np.arange(33, dtype=np.uint64)  # 64 and 128 cells, 32 of 33 in common
+    assert len(parities(x)) == 1 and len(parities(y)) == 2
+    assert sorted(suspected([(1, 0, 0, True, k, k, len(s), parities(s)) for k, s in enumerate((x, y))], 85)) == [0, 1]
+    big = np.arange(1000, dtype=np.uint64)
+    assert suspected([(1, 0, 0, True, k, k, len(s), parities(s)) for k, s in enumerate((x, big))], 85) == []
+    assert suspected([(1, 0, 1, True, k, k, len(s), parities(s)) for k, s in enumerate((x, y))], 85) == []  # of the same block
+
+
 def test_a_task_emits_only_links_that_join():
     same = np.arange(10, dtype=np.uint64)
     rows = [(1, 0, 0, True, i, i, same) for i in range(50)] + [(1, 0, 0, True, 99, 99, same + np.uint64(100))]
