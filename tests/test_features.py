@@ -215,16 +215,16 @@ def test_observation_dates_roll_forward_or_vanish(spark):
 def test_dates_meet_slices_and_not_every_bar_of_their_window(spark):
     df, days = prices(spark, [100, 101, 99, 103, 98, 97, 105, 104])
     df = df.unionByName(spark.createDataFrame([("A", None, 1.0, 100.0)], df.schema))  # a bar without a day is in no window
-    obs = spark.createDataFrame([("A", days[4]), ("A", days[4]), ("A", days[0]), ("Z", days[4]), (None, days[4])],
+    obs = spark.createDataFrame([("A", days[4]), ("A", days[4]), ("A", days[1]), ("Z", days[4]), (None, days[4])],
                                 "symbol string, observation_date date")
     w = Windows(volatility_bars=4, drawdown_bars=4, return_bars=2, turnover_bars=4, horizon_bars=3)
     found = bars.market_and_label(obs, df, df.where("trade_date IS NOT NULL").select("trade_date", "adj_close"), w)
     got = {(r.symbol, r.observation_date): r for r in found.collect()}
     assert len(got) == 4 and got[("Z", days[4])].pos is None and got[(None, days[4])].label_is_valid == 0
-    row, first = got[("A", days[4])], got[("A", days[0])]
+    row, first = got[("A", days[4])], got[("A", days[1])]
     closes = np.array([101.0, 99, 103, 98])
     moves = np.diff(np.log([100.0, 101, 99, 103, 98]))
-    assert row.pos == 5 and first.pos == 1 and first.volatility_90d is None
+    assert row.pos == 5 and first.pos == 2 and first.log_turnover_90d == pytest.approx(np.log(10050.0))
     assert row.volatility_90d == pytest.approx(moves.std(ddof=1) * 252 ** 0.5)
     assert row.trailing_dd_60d == pytest.approx(98 / 103 - 1)
     assert row.log_turnover_90d == pytest.approx(np.log(np.median(closes * 100)))
