@@ -236,3 +236,24 @@ def test_sentences(spark):
     got = attribution.sentences(rec, scored, ["id"]).first().summary
     assert got == ("CRITICAL (probability 0.61, decile 9). Raised by: 90-day volatility 42% (+0.30). "
                    "Lowered by: pledge_accel was unavailable (-0.15).")
+
+
+def test_fold_statistics_stay_narrow_however_many_folds(spark, monkeypatch):
+    """Each fold's numbers are those of a fit of its own rows, and what is stored does not widen with the folds."""
+    days = pd.date_range("2001-01-01", periods=20).date
+    rng = np.random.default_rng(5)
+    rows = [(days[i % 20], float(rng.normal()), float(i % 3), 7.25, None if i % 20 < 6 else float(i), None) for i in range(3000)]
+    rows += [(None, 1e9, 1e9, 1e9, 1e9, 1e9), (days[0], None, None, None, None, None)]
+    names = ["wide", "ties", "constant", "late", "never"]
+    df = spark.createDataFrame(rows, "observation_date date, " + ", ".join(f"{c} double" for c in names))
+    ends, stored = list(days[2:]), []
+    monkeypatch.setattr(prep, "materialise", lambda frame, name: stored.append(frame.columns) or materialise(frame, name))
+    monkeypatch.setattr(prep, "BLOCK", 64)
+    folds = prep.fit_folds(df, names, ends)
+    assert len(folds) == 18 and max(len(c) for c in stored) <= 6
+    for k in (3, 17):
+        alone = prep.fit(df.where(F.col("observation_date") <= F.lit(ends[k])), names)
+        assert folds[k].indicators == alone.indicators
+        for f in names:
+            got, want = vars(folds[k].stats[f]), vars(alone.stats[f])
+            assert got == {c: v if v is None else pytest.approx(v, rel=1e-9, abs=1e-9) for c, v in want.items()}, (k, f)
