@@ -67,6 +67,18 @@ def test_planted_window_shift_is_found(spark, sf, built):
     assert got.violations > 0 and not got.passed
 
 
+def test_label_window_multiplies_no_label(spark):
+    """Rows that repeat, bars without a price and labels near the end count as they did; the check explodes nothing."""
+    days = [D(2020, 1, 1) + dt.timedelta(days=i) for i in range(12)]
+    prices = spark.createDataFrame([(1, d, None if i == 7 else 10.0 - i) for i, d in enumerate(days)], "symbol int, trade_date date, adj_close double")
+    labels = [(1, days[0], 1, -0.3), (1, days[1], 1, -0.5), (1, days[5], 1, -0.6), (1, days[10], 1, -0.1),
+              (2, days[0], 1, -0.1), (None, days[0], 1, -0.1), (1, days[2], 1, -0.375), (1, days[2], 1, -0.375), (1, days[3], 0, None)]
+    panel = spark.createDataFrame(labels, "symbol int, observation_date date, label_is_valid int, fwd_max_drawdown double")
+    got = leakage.label_window_after_observation(panel, prices, 3)
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert (got.first().rows_checked, got.first().violations) == (3, 1)
+
+
 def test_planted_missing_buffer_is_found(spark, sf, built):
     from pitpanel.operators.events import event_features, filter_material
 
