@@ -21,11 +21,17 @@ from pitpanel.llm.common import SEPARATORS, drop, mix, powers, slices, store
 SHINGLE, SIMILAR = 8, 80
 #: 18 bands of 3 values miss a pair at similarity 0.8 with a probability of 2e-6.
 BANDS, ROWS = 18, 3
+#: Bytes of text signed at a time. The arrays of a slice have several numbers a character, and all of them should stay in a core's cache.
+SIGN_BYTES = 1 << 17
+#: Lines a task remembers, by hash, to sign each but once.
+SEEN = 1 << 17
 
 _SEEDS = np.random.default_rng(9)
 _A = _SEEDS.integers(0, 2**31, BANDS * ROWS, np.uint32) * np.uint32(2) + np.uint32(1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_BLANK = np.array([*SEPARATORS, ord("\n")], np.uint32)
+#: Whether a code point is part of a word; the last place stands for all others.
+_IN_WORD = np.ones(34, bool)
+_IN_WORD[[*SEPARATORS, ord("\n")]] = False
 
 
 def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -61,32 +67,51 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     points, offsets = _points(lines)
     starts, ends = offsets[:-1] + 1, offsets[1:]
     grams, first, _ = _shingles(points, starts, np.maximum(ends, starts))
-    return [np.unique(mix(g)) for g in np.split(grams, first[1:])]
+    grams, bounds = mix(grams), [*first.tolist(), len(grams)]
+    for a, b in zip(bounds, bounds[1:]):
+        grams[a:b].sort()
+    once = np.ones(len(grams), bool)
+    once[1:] = grams[1:] != grams[:-1]
+    once[first] = True
+    kept = np.concatenate([[0], np.cumsum(once)])[bounds].tolist()
+    grams = grams[once]
+    return [grams[a:b] for a, b in zip(kept, kept[1:])]
 
 
 def _lines(texts: list[str]) -> tuple[np.ndarray, ...]:
     """Lower-cased code points, and for each line with a word: its text, its number there, start and end."""
-    points, offsets = _points([t.lower() if len(t.lower()) == len(t) else "".join(c.lower() if len(c.lower()) == 1 else c for c in t) for t in texts])
+    points, offsets = _points([low if len(low := t.lower()) == len(t) else "".join(c.lower() if len(c.lower()) == 1 else c for c in t) for t in texts])
     feeds = np.flatnonzero(points == 10)
     starts, ends = feeds[:-1] + 1, feeds[1:]
     doc = np.searchsorted(offsets, starts - 1, "right") - 1
     number = np.arange(len(starts)) - np.searchsorted(starts, offsets[doc] + 1)
-    words = np.concatenate([[0], np.cumsum(~np.isin(points, _BLANK))])
+    words = np.concatenate([[0], np.cumsum(_IN_WORD[np.minimum(points, 33)])])
     some = words[ends] > words[starts]
     return points, doc[some], number[some], starts[some], ends[some]
 
 
-def _sign(texts: list[str]) -> tuple[np.ndarray, ...]:
-    """For each line with a word: its text, number, two hashes; then which lines are the first with their hash here, and the band keys of those."""
+def _sign(texts: list[str], seen: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each line with a word: its text, number, two hashes; then which lines are the first with their hash here, and the band keys of those.
+
+    Hashes that ``seen`` holds came before; new ones are put there, each in the one place it can have. A hash that another drives out is
+    signed again when it returns, which costs time only.
+    """
     points, doc, number, starts, ends = _lines(texts)
     if not len(doc):
         return doc, number, doc.astype(np.int64), doc.astype(np.int64), doc.astype(bool), np.zeros((0, BANDS), np.int64)
     grams, first, whole = _shingles(points, starts, ends)
     second = mix(np.add.reduceat(mix(grams), first) + whole)
-    _, heads = np.unique(whole, return_index=True)
+    names, heads = np.unique(whole, return_index=True)
+    place = (names & np.uint64(len(seen) - 1)).astype(np.int64)
+    new = seen[place] != names
+    seen[place[new]] = names[new]
     fresh = np.zeros(len(doc), bool)
-    fresh[heads] = True
-    grams, first, _ = _shingles(points, starts[fresh], ends[fresh])
+    fresh[heads[new]] = True
+    if not new.any():
+        return doc, number, whole.view(np.int64), second.view(np.int64), fresh, np.zeros((0, BANDS), np.int64)
+    own = np.concatenate([first, [len(grams)]])
+    sizes = np.diff(own)[fresh]
+    grams, first = grams[np.repeat(fresh, np.diff(own))], np.concatenate([[0], np.cumsum(sizes)[:-1]])
     short = ((grams ^ (grams >> np.uint64(29))) * _ODD >> np.uint64(32)).astype(np.uint32)
     keys, permuted, k = np.zeros((len(first), BANDS), np.uint64), np.empty_like(short), 0
     for band in range(BANDS):
@@ -108,9 +133,10 @@ def _signed(keyed: DataFrame) -> DataFrame:
     schema = T.StructType([keyed.schema["doc_id"], *T._parse_datatype_string("text_hash long, line int, node long, check long, bands array<long>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.arange(SEEN, dtype=np.uint64) ^ np.uint64(1)  # no hash has its place there
         for batch in batches:
-            for part in slices(batch, 2):
-                doc, number, node, check, fresh, bands = _sign(part.column(2).to_pylist())
+            for part in slices(batch, 2, SIGN_BYTES):
+                doc, number, node, check, fresh, bands = _sign(part.column(2).to_pylist(), seen)
                 at = pa.array(doc)
                 # offsets with NULLs: a line that an earlier one of the slice repeats has no bands
                 offsets = np.concatenate([[0], np.cumsum(fresh)]).astype(np.int32) * BANDS
@@ -157,7 +183,7 @@ def group_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     drop(spark, p_signed)
     members, p_members = members_of(nodes.select(F.explode("bands").alias("key"), F.col("node").alias("rep")))
     texts, p_texts = store(_texts_of(keyed, nodes, members.select("rep").distinct()), "line-texts")
-    roots, p_roots = grouped(members, texts, shingle_sets, SIMILAR)
+    roots, p_roots = grouped(members, texts, shingle_sets, SIMILAR, sketched=True)
     named = nodes.select("node", "first", "n", "clash").join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))
     named, p_named = store(named.select("node", "first", "n", "clash", "group"), "line-named")
     heads, p_heads = store(named.filter("not clash").groupBy("group").agg(F.min("first").alias("head"), F.sum("n").alias("n_in_group")), "line-groups")

@@ -18,7 +18,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,16 +35,34 @@ Sets = Callable[[pa.Array], list[np.ndarray]]
 
 def members_of(keyed: DataFrame) -> tuple[DataFrame, str]:
     """(key, rep, lead) of the rows (key, rep) whose key others share; lead is the least of them. Of keys with the same rows one is kept. And the scratch path."""
-    spark, own = keyed.sparkSession, Window.partitionBy("key")
-    seen = keyed.select("key", "rep", F.min("rep").over(own).alias("lead"), F.max("rep").over(own).alias("last"), F.count(F.lit(1)).over(own).alias("n"),
-                        F.bit_xor(F.xxhash64("rep")).over(own).alias("all"))
-    shared, path = store(seen.filter("lead < last"), "shared")
-    kept = shared.groupBy("lead", "last", "n", "all").agg(F.min("key").alias("key"))
-    members, p_members = store(shared.select("key", "rep", "lead").join(kept.select("key"), "key"), "members")
+    spark = keyed.sparkSession
+    rows = keyed.select("key", "rep").repartition("key").sortWithinPartitions("key")
+    shared, path = store(rows.mapInArrow(_shared, rows.schema), "shared")
+    buckets = shared.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("n"),
+                                        F.bit_xor(F.xxhash64("rep")).alias("all")).filter("lead < last")
+    kept = buckets.groupBy("lead", "last", "n", "all").agg(F.min("key").alias("key"))
+    members, p_members = store(shared.join(kept.select("key", "lead"), "key").select("key", "rep", "lead"), "members")
     drop(spark, path)
     return members, p_members
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by their first column those whose neighbour has the same value there. Most keys have one row, and it ends here."""
+    held, carry = None, False  # the last row so far, and whether the one before it had its key
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        keys = batch.column(0).to_numpy(zero_copy_only=False)
+        same = keys[1:] == keys[:-1]
+        before = np.concatenate([[carry], same])
+        yield batch.take(pa.array(np.flatnonzero(before[:-1] | same)))
+        held, carry = batch.slice(batch.num_rows - 1), bool(before[-1])
+    if carry:
+        yield held
+
+
 def grouped(members: DataFrame, texts: DataFrame, sets: Sets, similar: int, sketched: bool = False,
             block_rows: int = BLOCK_ROWS, block_chars: int = BLOCK_CHARS) -> tuple[DataFrame, list[str]]:
     """(node, root) for every member that is linked to another, and the scratch paths behind it.

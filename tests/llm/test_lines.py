@@ -4,6 +4,8 @@ import random
 import re
 from functools import partial
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from pitpanel.llm import lines, rounds
@@ -120,3 +122,44 @@ def test_no_pair_at_the_threshold_is_missed(spark):
         docs.append((i, "".join(own) + "\n" + "".join([*own[:40], "-", *own[41:]])))
     out = lines.group_lines(spark.createDataFrame(docs, "doc_id long, text string"))[0].collect()
     assert len(out) == 6000 and {(r.n_in_group, r.kept) for r in out} == {(2, True), (2, False)}
+
+
+def test_a_task_signs_each_line_once():
+    """A line that came in an earlier slice has no bands again; a hash driven out of its place only costs a repeat."""
+    texts = ["one line of some length\nanother line of it", "another line of it\nOne Line of some length"]
+    seen = np.arange(lines.SEEN, dtype=np.uint64) ^ np.uint64(1)
+    first, again = lines._sign(texts[:1], seen), lines._sign(texts[1:], seen)
+    assert first[4].all() and first[5].shape == (2, lines.BANDS)
+    assert not again[4].any() and again[5].shape == (0, lines.BANDS)
+    assert set(first[2]) == set(again[2])
+    one = np.arange(1, dtype=np.uint64) ^ np.uint64(1)
+    both = [lines._sign([t], one) for t in texts]
+    assert all(b[4].any() for b in both) and {tuple(x) for x in both[0][5]} == {tuple(x) for x in first[5]}
+
+
+def test_only_rows_of_shared_keys_leave_the_task():
+    """Runs of a key that cross batches, empty batches, and keys at either end."""
+    rng = random.Random(4)
+    for _ in range(200):
+        keys = sorted(rng.choices(range(12), k=rng.randint(0, 14)))
+        cuts = [0, *sorted(rng.choices(range(len(keys) + 1), k=4)), len(keys)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(keys[a:b], pa.int64()), pa.array(range(a, b), pa.int64())], names=["key", "rep"])
+                   for a, b in zip(cuts, cuts[1:])]
+        out = [x for b in rounds._shared(iter(batches)) for x in b.column(1).to_pylist()]
+        assert out == [i for i, k in enumerate(keys) if keys.count(k) > 1]
+
+
+def test_sketches_rule_pairs_out_before_texts_travel(spark, monkeypatch):
+    """Lines that share bands but are not similar are not verified on their texts; those that are similar still meet."""
+    tested = []
+    kept = rounds.verified
+    monkeypatch.setattr(rounds, "verified", lambda pairs, *rest: tested.append(pairs.count()) or kept(pairs, *rest))
+    rng = random.Random(5)
+    common = [rng.choice("abcdefghij") for _ in range(120)]
+    # each keeps a different two thirds of one line: many bands are shared, no pair is similar
+    texts = ["".join(common[:80] + [rng.choice("klmnopqrst") for _ in range(40)]) for _ in range(30)]
+    texts += ["".join(common) + "x", "".join(common) + "y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = lines.group_lines(docs)[0].collect()
+    assert heads(out) == brute(list(enumerate(texts)))
+    assert sum(tested) <= 10
