@@ -231,3 +231,22 @@ def test_dates_meet_slices_and_not_every_bar_of_their_window(spark):
     assert row.fwd_max_drawdown == pytest.approx(97 / 98 - 1) and row.label_is_valid == 1
     # The median was an aggregate over rows of date times bar, which were sorted and spilled.
     assert "percentile" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_entry_bars_equal_those_of_per_bar_windows_but_travel_narrow(spark):
+    rng = np.random.default_rng(8)
+    rows = [(s, D(2023, 1, 2) + dt.timedelta(days=int(d)), float(c), 100.0)
+            for s in "AB" for d, c in zip(range(0, 120, 2), rng.choice([0.0, 40.0, 100.0, 101.0], 60, p=[0.05, 0.2, 0.35, 0.4]))]
+    rows += [("A", D(2023, 6, 1), None, 100.0), ("A", D(2023, 6, 2), 99.0, None), ("B", None, 70.0, 100.0), (None, D(2023, 1, 2), 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "symbol string, trade_date date, adj_close double, volume double")
+    obs = spark.createDataFrame([(s, D(2023, 1, 1) + dt.timedelta(days=d)) for s in "ABC" for d in range(0, 160, 9)], "symbol string, observation_date date")
+    bench = df.where("trade_date IS NOT NULL AND symbol = 'A'").select("trade_date", "adj_close")
+    found = bars.market_and_label(obs, df, bench, W)
+    per_bar = bars.numbered_bars(df, return_bars=W.return_bars, floor=W.break_floor).where("trade_date IS NOT NULL")
+    want = bars.anchor(obs, per_bar).select("symbol", "observation_date", "pos", F.col("adj_close").alias("entry_price"), "last_break", "next_break",
+                                            F.when(F.col("n_bars") >= 2, F.col("lagged_return")).alias("return_90d"))
+    got = found.select(*want.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert got.where("last_break IS NOT NULL AND next_break IS NOT NULL").count() > 0
+    # Numbering, returns and breaks were columns beside each bar, sorted up and down and gathered, which spilled.
+    assert "row_number" not in found._jdf.queryExecution().executedPlan().toString()
