@@ -26,17 +26,18 @@ from pyspark.sql import functions as F
 from pitpanel.llm.common import drop, slices, store
 
 # What a run of letters is, the share of damaged runs, the least length and count of a word, and how much more often its form occurs.
-RUN = re.compile("[A-Za-zÀ-ÿ]+")
 DAMAGED, LEAST_LENGTH, LEAST_COUNT, TIMES = 199, 6, 5, 5
 
 #: Words of a shard, about; words with one half that a block holds, and that ask together.
 SHARD, BLOCK = 10_000, 20_000
 #: Counters of a task are handed on when they hold so many words.
 GATHER = 500_000
-_LOWER = {c: c + 32 for c in range(65, 91)}
+#: A maximal run that can still be a word: one shorter than ``LEAST_LENGTH`` is none, damaged or not.
+RUN = re.compile("[A-Za-zÀ-ÿ]{%d,}" % LEAST_LENGTH)
 #: Searches of one length that advance together.
 TOGETHER = 2_000
-_WINDOW = 64
+_WINDOW = 64  # bits of a number
+_ABOVE = np.array([(1 << k) - 1 for k in range(_WINDOW)], np.uint64)
 
 
 def word_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -50,11 +51,10 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
         for batch in batches:
             for part in slices(batch, 1):
                 for doc, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    name = "" if doc is None else str(doc)
-                    for word, n in Counter(RUN.findall(body.translate(_LOWER))).items():
-                        if len(word) < LEAST_LENGTH:
-                            continue
-                        h = crc32(f"{name}:{word}".encode())
+                    name = crc32(f"{'' if doc is None else doc}:".encode())  # carried on for each word
+                    # bytes.lower() changes A-Z only
+                    for word, n in Counter(RUN.findall(body.encode().lower().decode())).items():
+                        h = crc32(word.encode(), name)
                         if h % DAMAGED == 0:
                             at = h % len(word)
                             word = word[:at] + word[at + 1 :]
@@ -117,20 +117,28 @@ class Direction:
         below = np.concatenate([np.zeros((blocks, 1), np.int64), np.cumsum(per, axis=1)], axis=1)  # symbols less than each, per block
         self.below = np.concatenate([np.zeros((1, symbols + 1), np.int64), np.cumsum(below, axis=0)[:-1]]).astype(np.int32)
 
-    def less(self, symbol: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How many of the preceding symbols above each row are less than the symbol, and how many equal it."""
-        block, rest = row // _WINDOW, row % _WINDOW
-        window = self.windows[block]
-        above = np.arange(_WINDOW)[None, :] < rest[:, None]
-        fewer = self.below[block, symbol] + ((window < symbol[:, None]) & above).sum(axis=1)
-        same = self.below[block, symbol + 1] - self.below[block, symbol] + ((window == symbol[:, None]) & above).sum(axis=1)
-        return fewer, same
-
-    def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The interval with one more symbol in front, and by how much the interval of the other direction moves up."""
-        fewer, same = self.less(symbol, low)
-        fewer_to, same_to = self.less(symbol, high)
-        return self.first[symbol] + same, self.first[symbol] + same_to, fewer_to - fewer
+    def _marked(self, hits: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """How many of a window's symbols that are marked stand above the row."""
+        bits = np.packbits(hits, axis=1, bitorder="little").view("<u8")[:, 0]
+        return np.bitwise_count(bits & _ABOVE[row % _WINDOW]).astype(np.int64)
+
+    def same(self, symbol: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """How many of the preceding symbols above each row equal the symbol."""
+        block = row // _WINDOW
+        return self.below[block, symbol + 1] - self.below[block, symbol] + self._marked(self.windows[block] == symbol.astype(self.bwt.dtype)[:, None], row)
+
+    def fewer(self, symbol: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """How many of the preceding symbols above each row are less than the symbol."""
+        block = row // _WINDOW
+        return self.below[block, symbol] + self._marked(self.windows[block] < symbol.astype(self.bwt.dtype)[:, None], row)
+
+    def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The interval with one more symbol in front."""
+        return self.first[symbol] + self.same(symbol, low), self.first[symbol] + self.same(symbol, high)
+
+    def shift(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """By how much the interval of the other direction moves up when this one is extended."""
+        return self.fewer(symbol, high) - self.fewer(symbol, low)
 
     def followers(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(state, symbol) for every symbol but the delimiter that stands before a suffix of each interval."""
@@ -183,8 +191,8 @@ class Index:
         low, high, low2 = (np.zeros(len(q), np.int64) for _ in range(3))
         high[:] = inner.n
         for symbol in [*(codes[:, t] for t in range(half - 1, -1, -1)), np.zeros(len(codes), np.int64)]:
-            low, high, up = inner.extend(symbol[q], low, high)
-            low2 = low2 + up
+            low2 = low2 + inner.shift(symbol[q], low, high)
+            low, high = inner.extend(symbol[q], low, high)
             some = low < high
             q, low, high, low2 = q[some], low[some], high[some], low2[some]
         # only the other direction's interval is needed from here on
@@ -199,7 +207,7 @@ class Index:
                 own = codes[q[state], t] if t < length else np.zeros(len(state), np.int64)
                 differs = symbol != own
                 state, symbol = state[differs], symbol[differs]
-                a, b, _ = outer.extend(symbol, low[state], high[state])
+                a, b = outer.extend(symbol, low[state], high[state])
                 inserted = (q[state], a, b)  # the word has one more code point here
                 replaced = inserted if t < length else none
                 skipped = exact if t < length else none  # the word lacks this one
@@ -224,7 +232,7 @@ class Index:
     def _exactly(index: Direction, symbol: np.ndarray, q: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
         known = symbol[q] >= 0
         q, low, high = q[known], low[known], high[known]
-        low, high, _ = index.extend(symbol[q], low, high)
+        low, high = index.extend(symbol[q], low, high)
         some = low < high
         return q[some], low[some], high[some]
 

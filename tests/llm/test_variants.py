@@ -5,6 +5,7 @@ import re
 from collections import Counter
 from zlib import crc32
 
+import numpy as np
 import pytest
 from pitpanel.llm import variants
 from pitpanel.llm.registered import QUERIES
@@ -113,3 +114,19 @@ def test_search_of_one_shard():
         half = {w: (len(w) - 1) // 2 for w in words}
         want = {(u, v) for u in words for v in one_away(u, "abc") & known if (u[: half[u]] == v[: half[u]] if left else u[len(u) - half[u] :] == v[len(v) - half[u] :])}
         assert got[left] == want
+
+
+def test_index_counts_symbols_above_a_row_from_one_comparison():
+    words = [np.frombuffer(bytes(w), np.uint8) + 1 for w in np.random.default_rng(5).integers(0, 4, (60, 7), np.uint8)]
+    side = variants.Direction(words, 5)
+    rows = np.arange(side.n)
+    for s in range(5):
+        symbol = np.full(side.n, s, np.int64)
+        assert side.same(symbol, rows).tolist() == [int((side.bwt[:r] == s).sum()) for r in rows]
+        assert side.fewer(symbol, rows).tolist() == [int((side.bwt[:r] < s).sum()) for r in rows]
+        low, high = side.extend(symbol, np.zeros(side.n, np.int64), rows)
+        assert (high - low).tolist() == side.same(symbol, rows).tolist()
+
+
+def test_runs_too_short_for_a_word_are_not_looked_at():
+    assert variants.RUN.findall("short Größere abcde abcdef1ghijkl x") == ["Größere", "abcdef", "ghijkl"]
