@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from pitpanel.operators import attribution, merge, metrics, power
 from pitpanel.plans import prep, scoring, training
+from pitpanel.registered import QUERIES, models as registered
 from pitpanel.session import materialise, scratch_path
-from pitpanel.settings import ModelSpec, Settings
+from pitpanel.settings import ALL_FEATURES, EXPERIMENTS, MODELS, ModelSpec, Settings
 
 SETTINGS = replace(Settings(), min_train_dates=8)
 LOGREG = ModelSpec("logreg", "logreg", {"C": 1.0, "max_iter": 30, "balanced": True})
@@ -123,6 +124,32 @@ def test_search_points_are_distinct(spark):
     assert len(training.search_points(spark, spec, 99, 42)) == 12
 
 
+def _fits(spark, panel, monkeypatch, name):
+    """The registered query's result and what each of its fits is asked for; nothing is fitted."""
+    asked = []
+
+    def fit_fold(rows, fold, features, spec, settings, overrides=None, ready=None, counts=None):
+        asked.append((tuple(features), spec, rows.count(), fold["fold"], overrides or {}))
+        test = rows.where(F.col("observation_date") == F.lit(fold["test_date"]))
+        return test.select("symbol", "observation_date", "label", F.lit(0.5).alias("probability"), F.lit(fold["fold"]).alias("fold"))
+
+    wide = panel.select("symbol", "observation_date", "label", "label_is_valid", *[
+        F.when(F.col("symbol") != f"s{i:02d}", F.col("signal") * 4 + i).alias(f) for i, f in enumerate(ALL_FEATURES)])
+    frame = materialise(wide, "wide")
+    monkeypatch.setattr(registered, "stored_panel", lambda spark, sf: frame)
+    monkeypatch.setattr(training, "fit_fold", fit_fold)
+    return QUERIES[name](spark, "").collect(), asked
+
+
+def test_the_search_takes_every_point_of_the_settings(spark, panel, monkeypatch):
+    rows, asked = _fits(spark, panel, monkeypatch, "random_search")
+    spec = next(m for m in MODELS if m.name == Settings().search_model)
+    points = training.search_points(spark, spec, Settings().search_points, Settings().seed)
+    assert len(rows) == len(asked) == Settings().search_points == 20
+    assert sorted(asked, key=str) == sorted(((EXPERIMENTS[2].features, spec, panel.count(), Settings().search_fold, p) for p in points), key=str)
+    assert [{a: r[a] for a in spec.search_space} for r in sorted(rows, key=lambda r: r["point"])] == points
+
+
 @pytest.fixture(scope="module")
 def boosted(spark, panel):
     fitted = training.fit(panel, FEATURES, BOOSTED, SETTINGS)
