@@ -2,6 +2,7 @@
 
 import itertools
 import math
+from collections import Counter
 from dataclasses import replace
 
 import numpy as np
@@ -150,6 +151,17 @@ def test_the_search_takes_every_point_of_the_settings(spark, panel, monkeypatch)
     assert [{a: r[a] for a in spec.search_space} for r in sorted(rows, key=lambda r: r["point"])] == points
 
 
+def test_the_ladder_fits_every_experiment_with_every_model(spark, panel, monkeypatch):
+    rows, asked = _fits(spark, panel, monkeypatch, "train_ladder")
+    runs = {(m.name, e.name) for e in EXPERIMENTS for m in MODELS}
+    assert len(runs) == 30 and {(r["model"], r["experiment"]) for r in rows} == runs
+    wanted = {(e.features, m.name, k) for e in EXPERIMENTS for m in MODELS for k in range(4)}
+    assert len(asked) == 30 * 4 and {(f, spec.name, k) for f, spec, _, k, _ in asked} == wanted
+    assert all(spec in MODELS and not overrides for _, spec, _, _, overrides in asked)
+    smaller = Counter(f for f, _, n, _, _ in asked if n < panel.count())
+    assert smaller == {e.features: 3 * 4 for e in EXPERIMENTS if e.population == "pledged"}
+
+
 @pytest.fixture(scope="module")
 def boosted(spark, panel):
     fitted = training.fit(panel, FEATURES, BOOSTED, SETTINGS)
