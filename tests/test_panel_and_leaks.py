@@ -186,3 +186,29 @@ def test_history_pages_hold_everything(spark, sf):
     copies = lambda c: F.sum(F.aggregate(c, F.lit(0).cast("bigint"), lambda acc, x: acc + x["copies"]))
     got = pages.agg(copies("events"), copies("predictions")).first()
     assert got[0] == src.events(spark, sf).count() and got[1] == src.predictions(spark, sf).count()
+
+
+def test_history_rows_travel_once(spark, sf):
+    filings = spark.createDataFrame([(1, "2001-01-31", 7), (1, "2001-01-31", 7), (1, None, 8), (None, "2001-01-31", 9)], "symbol int, quarter_end string, x int")
+    events = spark.createDataFrame([(1, "2001-01-02", 1.5), (1, "2001-01-01", None), (3, "2001-02-01", 0.5)], "symbol int, event_date string, y double")
+    guesses = spark.createDataFrame([(1, None, "a"), (1, "2001-03-31", "b")], "symbol int, observation_date string, z string")
+    firms = spark.createDataFrame([(1, "one", "i"), (2, "two", "i"), (None, "none", "i")], "symbol int, company_name string, industry string")
+    dated = [df.withColumn(d, F.to_date(d)) for df, d in ((filings, "quarter_end"), (events, "event_date"), (guesses, "observation_date"))]
+    pages = plan.entity_history(firms, *dated)
+    assert pages._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2
+    rows = [(r.symbol, r.page and tuple(r.page), [(str(x[0]), *x[1:]) for x in r.filings], [(str(x[0]), *x[1:]) for x in r.events],
+             [(str(x[0]), *x[1:]) for x in r.predictions]) for r in pages.collect()]
+    assert sorted(rows, key=str) == sorted([
+        (1, (2001, 1), [("2001-01-31", 7, 2)], [("2001-01-01", None, 1), ("2001-01-02", 1.5, 1)], []),
+        (1, (2001, 3), [], [], [("2001-03-31", "b", 1)]), (1, (None, None), [("None", 8, 1)], [], [("None", "a", 1)]),
+        (2, None, [], [], []), (None, None, [], [], [])], key=str)
+
+
+def test_predictions_move_lines_once(spark, sf):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moved = src.predictions(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert moved.count("Exchange hashpartitioning") == 2  # lines and orders
