@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pitpanel.operators import attribution, merge, metrics, power
 from pitpanel.plans import prep, scoring, training
-from pitpanel.registered import QUERIES, models as registered
+from pitpanel.registered import QUERIES, models as registered, panels, scalars
 from pitpanel.session import materialise, scratch_path
 from pitpanel.settings import ALL_FEATURES, EXPERIMENTS, MODELS, ModelSpec, Settings
 
@@ -223,6 +223,17 @@ def test_tree_contributions_equal_brute_force(panel, boosted):
         assert got.get(name, 0.0) == pytest.approx(v, abs=1e-12)
 
 
+def test_linear_contributions_work_the_windows_out_once(spark, sf, monkeypatch):
+    stored = []
+    monkeypatch.setattr(scalars, "materialise", lambda df, name: stored.append(df) or materialise(df, name))
+    rows = QUERIES["attrib_linear"](spark, sf).collect()
+    searches = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("filter(all_trade_date")
+    alone = panels.panel(spark, sf, stored[0].columns)
+    assert searches(stored[0]) == searches(alone) > 0
+    full = alone.dropna(subset=list(scalars._COEF))
+    assert sorted((r["symbol"], r["observation_date"]) for r in rows) == sorted(3 * [tuple(r) for r in full.select("symbol", "observation_date").collect()])
+
+
 def test_linear_contributions_need_a_population(panel):
     one = panel.limit(1)
     alone = attribution.linear_contributions(one, one, {"signal": 2.0}, ["symbol"]).first().shap_value
