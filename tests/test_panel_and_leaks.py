@@ -1,6 +1,7 @@
 """The time rule, quality rules and leak checks; every guard meets the violation it is for."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import Observation
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pitpanel.operators import events as ev, strata
 from pitpanel.plans import folds, leakage, panel as plan, quality
 from pitpanel.registered.panels import W, panel, state
-from pitpanel.session import materialise
+from pitpanel.session import dealt, materialise
 from pitpanel.settings import Population
 from pitpanel.sources import adapters as src
 
@@ -212,3 +213,12 @@ def test_predictions_move_lines_once(spark, sf):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert moved.count("Exchange hashpartitioning") == 2  # lines and orders
+
+
+def test_dealt_rows_follow_the_size_of_their_files(spark, tmp_path):
+    spark.range(600_000).select(F.xxhash64("id").alias("k"), "id").write.parquet(str(tmp_path / "big"))
+    big = spark.read.parquet(str(tmp_path / "big"))
+    parts = lambda df: int(re.search(r"RepartitionByExpression \[k#\d+L?\](?:, (\d+))?", df._jdf.queryExecution().optimizedPlan().toString())[1] or 0)
+    assert parts(dealt(big.unionByName(big), "k", mb=1)) >= 8 and parts(dealt(big, "k", mb=1000)) == 0
+    assert parts(dealt(spark.createDataFrame([(1,)], "k long"), "k")) == 0
+    assert dealt(big.unionByName(big), "k", mb=1).count() == 1_200_000
